@@ -9,10 +9,13 @@ from lociq.operators.intervals import gene_at
 from lociq.operators.joins import lookup_join
 
 
-def with_gene_evidence(df: DataFrame, constraint: DataFrame, dosage: DataFrame) -> DataFrame:
+def with_gene_evidence(
+    df: DataFrame, constraint: DataFrame, dosage: DataFrame, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Left joins of the one-row-per-gene constraint and dosage tables."""
-    out = lookup_join(df, constraint, "gene_symbol")
-    return lookup_join(out, dosage, "gene_symbol")
+    sized_by = df if sized_by is None else sized_by
+    out = lookup_join(df, constraint, "gene_symbol", sized_by=sized_by)
+    return lookup_join(out, dosage, "gene_symbol", sized_by=sized_by)
 
 
 def first_locus(genes: DataFrame, order: str = "src_ord") -> DataFrame:
@@ -26,13 +29,16 @@ def first_locus(genes: DataFrame, order: str = "src_ord") -> DataFrame:
     )
 
 
-def with_gene_locus(df: DataFrame, genes: DataFrame, order: str = "src_ord") -> DataFrame:
-    return lookup_join(df, first_locus(genes, order), "gene_symbol")
+def with_gene_locus(
+    df: DataFrame, genes: DataFrame, order: str = "src_ord", sized_by: DataFrame | None = None
+) -> DataFrame:
+    return lookup_join(df, first_locus(genes, order), "gene_symbol", sized_by=sized_by)
 
 
-def with_diseases(df: DataFrame, gene_diseases: DataFrame) -> DataFrame:
+def with_diseases(df: DataFrame, gene_diseases: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
     """One row per candidate disease of the gene; genes without one stay with nulls."""
-    return lookup_join(df, gene_diseases.filter(F.col("gene_symbol").isNotNull()), "gene_symbol")
+    listed = gene_diseases.filter(F.col("gene_symbol").isNotNull())
+    return lookup_join(df, listed, "gene_symbol", sized_by=sized_by)
 
 
 def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, order: str = "src_ord") -> DataFrame:
@@ -53,7 +59,7 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
     located = gene_at(matched.filter(F.col("_listed").isNull()), genes, order).withColumnRenamed(
         "gene_symbol", "_located_gene"
     )
-    out = lookup_join(matched, located, ["chromosome", "position"])
+    out = lookup_join(matched, located, ["chromosome", "position"], sized_by=variants)
     in_known = F.coalesce("_listed", F.lit(False))
     return out.withColumns(
         {

@@ -10,6 +10,7 @@ from lociq.operators.ranking import first_per_key
 
 # Bin widths per level: 16 kb, 256 kb, 4 Mb, 64 Mb, and one that holds any coordinate.
 BIN_BITS = (14, 18, 22, 26, 40)
+_SLOTS = "array<struct<level:int,bin:bigint,first:bigint>>"
 
 
 def _level(length: Column) -> Column:
@@ -30,6 +31,14 @@ def _levels_of(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("_own").distinct().collect() if r[0] is not None)
 
 
+def _bins(level: int) -> Column:
+    first, last = (F.shiftright(c, BIN_BITS[level]) for c in ("_low", "_high"))
+    return F.transform(
+        F.sequence(first, last),
+        lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), first.alias("first")),
+    )
+
+
 def _binned(df: DataFrame, other_levels: list[int], own_levels: list[int]) -> DataFrame:
     """One row per bin the interval touches on each level where it can meet the other side.
 
@@ -43,21 +52,12 @@ def _binned(df: DataFrame, other_levels: list[int], own_levels: list[int]) -> Da
         above = level in other_levels and any(o < level for o in own_levels)
         if not own and not above:
             continue
-        bits = BIN_BITS[level]
         wanted = F.lit(False)
         if own:
             wanted = wanted | (F.col("_own") == level)
         if above:
             wanted = wanted | (F.col("_own") < level)
-        first, last = F.shiftright("_low", bits), F.shiftright("_high", bits)
-        bins = F.transform(
-            F.sequence(first, last),
-            lambda b, level=level, first=first: F.struct(
-                F.lit(level).alias("level"), b.alias("bin"), first.alias("first")
-            ),
-        )
-        empty = F.array().cast("array<struct<level:int,bin:bigint,first:bigint>>")
-        slots.append(F.when(wanted, bins).otherwise(empty))
+        slots.append(F.when(wanted, _bins(level)).otherwise(F.array().cast(_SLOTS)))
     if not slots:
         return df.withColumns(
             {"_level": F.lit(0), "_bin": F.lit(0).cast("bigint"), "_first": F.lit(0).cast("bigint")}

@@ -77,9 +77,14 @@ def spread_join(
     on: Sequence[str],
     how: str = "inner",
     hot_rows: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffled equi-join with the hot keys cut into slices.
 
+    Finding hot keys costs one pre-aggregated count over the key columns.  Where ``left`` is
+    itself the result of joins, ``sized_by`` names a cheaper table with the same keys (such as
+    the table it started from) to count instead.
+
     Inner joins slice both sides of a hot key and meet every pair of slices once.  Outer,
     semi and anti joins slice the left side only, so every left row is still seen once.
     Keys that are not hot get a single slice, which makes the extra key columns constant.
@@ -87,7 +92,7 @@ def spread_join(
     hot_rows = hot_rows or HOT_KEY_ROWS
     on = list(on)
     inner = how == "inner"
-    hot = _hot_keys(left, right if inner else None, on, hot_rows)
+    hot = _hot_keys(left if sized_by is None else sized_by, right if inner else None, on, hot_rows)
     if hot is None:
         return left.join(right, on, how)
 
@@ -107,7 +112,12 @@ def spread_join(
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", hot_rows: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: str | Sequence[str],
+    how: str = "left",
+    hot_rows: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a reference table.
 
@@ -117,4 +127,4 @@ def lookup_join(
     on = [on] if isinstance(on, str) else list(on)
     if is_small(right):
         return left.join(F.broadcast(right), on, how)
-    return spread_join(left, right, on, how, hot_rows)
+    return spread_join(left, right, on, how, hot_rows, sized_by)

@@ -56,8 +56,10 @@ def phenotype_scores(
     """Best disease of every distinct (patient, gene) pair that scores above zero.
 
     Score = weight of the disease's symptoms the patient has / weight of all its symptoms.
-    Each (patient, disease) is scored once, whatever number of genes or variants lead to it,
-    and symptoms are matched on (patient, symptom), a key no single patient can make hot.
+    Each (patient, disease) is scored once, whatever number of genes or variants lead to it.
+    Symptoms are matched on (patient, symptom) and scores on (patient, disease): both sides are
+    distinct there and a key repeats at most once per disease or gene, so neither a frequent
+    patient nor a frequent gene ends up in one task.
     """
     pairs = candidates.select("patient_id", "gene_symbol").filter(F.col("gene_symbol").isNotNull()).distinct()
     expanded = lookup_join(pairs, genes_to_diseases, "gene_symbol", "inner")
@@ -66,14 +68,14 @@ def phenotype_scores(
     totals = weights.groupBy("disease_id").agg(F.sum("weight").alias("_total")).filter("_total > 0")
     listed = lookup_join(probes, weights, "disease_id", "inner")
     scored = (
-        spread_join(listed, symptoms, ["patient_id", "hpo_id"], "left_semi")
+        listed.join(symptoms, ["patient_id", "hpo_id"], "left_semi")
         .groupBy("patient_id", "disease_id")
         .agg(F.sum("weight").alias("_matched"))
     )
-    scored = lookup_join(scored, totals, "disease_id", "inner").select(
+    scored = lookup_join(scored, totals, "disease_id", "inner", sized_by=probes).select(
         "patient_id", "disease_id", (F.col("_matched") / F.col("_total")).alias("score")
     )
-    ranked = spread_join(expanded, scored.filter("score > 0"), ["patient_id", "disease_id"], "inner")
+    ranked = expanded.join(scored.filter("score > 0"), ["patient_id", "disease_id"])
     best = first_per_key(
         ranked, ["patient_id", "gene_symbol"], [F.desc("score"), F.asc("disease_ord"), F.asc("disease_id")]
     )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from lociq.operators import explain, metrics, model
 from lociq.operators.joins import lookup_join
-from lociq.operators.ranking import top_per_key
 from lociq.schemas import PREDICTORS
 
 # Feature groups that ablations leave out.
@@ -124,8 +123,8 @@ def explanation_report(
     ready = model.lowest_of_multi_values(test)
     ids = ["patient_id", "variant_id", "gene_symbol"]
     importance = metrics.global_importance(explain.contributions(fitted, ready, ids))
-    causal = ready.filter(F.col(model.LABEL) == 1).withColumn("_all", F.lit(0))
+    causal = ready.filter(F.col(model.LABEL) == 1)
     order = [F.asc("patient_id"), F.asc("variant_id"), F.asc_nulls_last("gene_symbol")]
-    few = top_per_key(causal, ["_all"], order, examples).drop("_all")
+    few = causal.orderBy(*order).limit(examples)
     shown = explain.top_evidence(explain.contributions(fitted, few, ids), ids)
     return importance, explain.evidence_text(shown, ids)

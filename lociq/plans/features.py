@@ -34,8 +34,8 @@ def snv_features(
 ) -> DataFrame:
     """Variant × gene × disease rows with gene evidence."""
     out = with_gene_evidence(sites, _lookup_side(constraint), _lookup_side(dosage))
-    out = with_gene_locus(out, genes)
-    return with_diseases(out, _lookup_side(gene_diseases))
+    out = with_gene_locus(out, genes, sized_by=sites)
+    return with_diseases(out, _lookup_side(gene_diseases), sized_by=sites)
 
 
 def cnv_features(
@@ -45,9 +45,9 @@ def cnv_features(
     slim = deletions.select(
         "variant_id", "chromosome", "start_position", "end_position", "deletion_size", "allele_frequency"
     )
-    out = gene_overlaps(slim, genes, "inner")
-    out = with_gene_evidence(out, _lookup_side(constraint), _lookup_side(dosage))
-    return with_diseases(out, _lookup_side(gene_diseases))
+    pairs = gene_overlaps(slim, genes, "inner")
+    out = with_gene_evidence(pairs, _lookup_side(constraint), _lookup_side(dosage))
+    return with_diseases(out, _lookup_side(gene_diseases), sized_by=pairs)
 
 
 def training_table(scored: DataFrame, features: DataFrame, kind: str) -> DataFrame:

@@ -54,7 +54,9 @@ def read_structural(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+    """Patient key of a file: its ``patient=<id>`` folder if it lies in one, else its name."""
+    folder = F.regexp_extract(path, "/patient=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.substring_index(path, "/", -1))
 
 
 def _genotype(parts: Column) -> Column:
