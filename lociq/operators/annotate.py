@@ -56,9 +56,8 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
         F.lit(True).alias("_listed"),
     )
     matched = lookup_join(variants, listed, "variant_id")
-    located = gene_at(matched.filter(F.col("_listed").isNull()), genes, order).withColumnRenamed(
-        "gene_symbol", "_located_gene"
-    )
+    unlisted = matched.filter(F.col("_listed").isNull())
+    located = gene_at(unlisted, genes, order, sized_by=variants).withColumnRenamed("gene_symbol", "_located_gene")
     out = lookup_join(matched, located, ["chromosome", "position"], sized_by=variants)
     in_known = F.coalesce("_listed", F.lit(False))
     return out.withColumns(

@@ -10,7 +10,6 @@ from lociq.operators.ranking import first_per_key
 
 # Bin widths per level: 16 kb, 256 kb, 4 Mb, 64 Mb, and one that holds any coordinate.
 BIN_BITS = (14, 18, 22, 26, 40)
-_SLOTS = "array<struct<level:int,bin:bigint,first:bigint>>"
 
 
 def _level(length: Column) -> Column:
@@ -26,17 +25,11 @@ def _leveled(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumns({"_low": low, "_high": high, "_own": _level(high - low)})
 
 
-def _levels_of(df: DataFrame) -> list[int]:
-    """Levels in use; at most ``len(BIN_BITS)`` values reach the driver."""
-    return sorted(r[0] for r in df.select("_own").distinct().collect() if r[0] is not None)
-
-
-def _bins(level: int) -> Column:
-    first, last = (F.shiftright(c, BIN_BITS[level]) for c in ("_low", "_high"))
-    return F.transform(
-        F.sequence(first, last),
-        lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), first.alias("first")),
-    )
+def _levels_of(left: DataFrame, right: DataFrame) -> tuple[list[int], list[int]]:
+    """Levels in use on each side, in one job; a handful of integers reach the driver."""
+    sides = left.select(F.lit(0).alias("side"), "_own").unionByName(right.select(F.lit(1).alias("side"), "_own"))
+    found = sides.filter(F.col("_own").isNotNull()).distinct().collect()
+    return tuple(sorted(r["_own"] for r in found if r["side"] == side) for side in (0, 1))
 
 
 def _binned(df: DataFrame, other_levels: list[int], own_levels: list[int]) -> DataFrame:
@@ -44,29 +37,31 @@ def _binned(df: DataFrame, other_levels: list[int], own_levels: list[int]) -> Da
 
     Two intervals meet on the coarser of their levels: an interval is listed on its own
     level if the other side has that level or a finer one, and on coarser levels the other
-    side uses.
+    side uses.  Being shorter than a bin, it touches its first bin and at most the next.
     """
     slots = []
-    for level in range(len(BIN_BITS)):
-        own = level in own_levels and any(o <= level for o in other_levels)
-        above = level in other_levels and any(o < level for o in own_levels)
-        if not own and not above:
+    for level, bits in enumerate(BIN_BITS):
+        listed = F.lit(False)
+        if any(other <= level for other in other_levels):
+            listed = listed | (F.col("_own") == level)
+        if level in other_levels:
+            listed = listed | (F.col("_own") < level)
+        elif level not in own_levels:
             continue
-        wanted = F.lit(False)
-        if own:
-            wanted = wanted | (F.col("_own") == level)
-        if above:
-            wanted = wanted | (F.col("_own") < level)
-        slots.append(F.when(wanted, _bins(level)).otherwise(F.array().cast(_SLOTS)))
-    if not slots:
-        return df.withColumns(
-            {"_level": F.lit(0), "_bin": F.lit(0).cast("bigint"), "_first": F.lit(0).cast("bigint")}
-        ).limit(0)
-    return df.withColumn("_slot", F.explode(F.concat(*slots))).select(
-        *[c for c in df.columns if c not in ("_low", "_high")],
-        F.col("_slot.level").alias("_level"),
-        F.col("_slot.bin").alias("_bin"),
-        F.col("_slot.first").alias("_first"),
+        first, last = F.shiftright("_low", bits), F.shiftright("_high", bits)
+        for bin_, when in ((first, listed), (last, listed & (last != first))):
+            slot = F.struct(F.lit(level).alias("level"), bin_.alias("bin"), first.alias("first"))
+            slots.append(F.when(when, slot))
+    none = F.lit(None).cast("struct<level:int,bin:bigint,first:bigint>")
+    return (
+        df.withColumn("_slot", F.explode(F.array(none, *slots)))
+        .filter(F.col("_slot").isNotNull())
+        .select(
+            *[c for c in df.columns if c not in ("_low", "_high")],
+            F.col("_slot.level").alias("_level"),
+            F.col("_slot.bin").alias("_bin"),
+            F.col("_slot.first").alias("_first"),
+        )
     )
 
 
@@ -76,6 +71,7 @@ def overlap_pairs(
     left_span: tuple[str, str, str],
     right_span: tuple[str, str, str],
     hot_rows: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """All pairs on one chromosome with ``r.start <= l.end`` and ``r.end >= l.start``.
 
@@ -83,12 +79,14 @@ def overlap_pairs(
     join key is (chromosome, level, bin).  Every interval touches at most two bins per level
     however long it is, and a pair is taken only in the first bin both touch, so nothing is
     listed twice.  A small right side is broadcast; otherwise hot bins are split on both sides.
-    Column names of the two sides must differ.
+    Column names of the two sides must differ.  Where ``left`` is costly to compute,
+    ``sized_by`` is a cheaper table with the same span columns that shows the lengths in use.
     """
     lc, ls, le = left_span
     rc, rs, re = right_span
     lhs, rhs = _leveled(left, ls, le), _leveled(right, rs, re)
-    left_levels, right_levels = _levels_of(lhs), _levels_of(rhs)
+    lengths = lhs if sized_by is None else _leveled(sized_by, ls, le)
+    left_levels, right_levels = _levels_of(lengths, rhs)
     keys = ["_chrom", "_level", "_bin"]
     lhs = (
         _binned(lhs, right_levels, left_levels)
@@ -154,19 +152,28 @@ def gene_overlaps(deletions: DataFrame, genes: DataFrame, how: str = "inner", ho
     if how != "left":
         raise ValueError("how must be 'inner' or 'left'")
     span = ["chromosome", "deletion_start", "deletion_end"]
-    pairs = overlap_pairs(named.select(*span).distinct(), _gene_side(genes), tuple(span), _GENE_SPAN, hot_rows)
+    spans = named.select(*span)
+    pairs = overlap_pairs(spans.distinct(), _gene_side(genes), tuple(span), _GENE_SPAN, hot_rows, sized_by=spans)
     measured = _with_overlap_measures(pairs, "deletion_start", "deletion_end")
     out = lookup_join(named, measured, span, "left", hot_rows)
     return out.withColumn("overlap_length", F.coalesce("overlap_length", F.lit(0).cast("bigint")))
 
 
-def gene_at(points: DataFrame, genes: DataFrame, order: str = "src_ord", hot_rows: int | None = None) -> DataFrame:
+def gene_at(
+    points: DataFrame,
+    genes: DataFrame,
+    order: str = "src_ord",
+    hot_rows: int | None = None,
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
     """(chromosome, position) → symbol of the first gene in table order that contains it.
 
     Only positions inside some gene are returned, each once.
     """
-    spots = points.select("chromosome", "position").distinct().withColumn("position_end", F.col("position"))
+    end = F.col("position").alias("position_end")
+    spots = points.select("chromosome", "position").distinct().select("*", end)
+    shown = None if sized_by is None else sized_by.select("position", end)
     side = _gene_side(genes.withColumn("gene_biotype", F.col(order)))
-    pairs = overlap_pairs(spots, side, ("chromosome", "position", "position_end"), _GENE_SPAN, hot_rows)
+    pairs = overlap_pairs(spots, side, ("chromosome", "position", "position_end"), _GENE_SPAN, hot_rows, shown)
     first = first_per_key(pairs, ["chromosome", "position"], ["gene_biotype", "gene_symbol"])
     return first.select("chromosome", "position", "gene_symbol")

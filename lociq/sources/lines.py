@@ -14,20 +14,18 @@ from lociq.operators.joins import lookup_join
 _ROW_BITS = (1 << 33) - 1
 
 
+def line_order(path: Column, block: Column) -> Column:
+    """Place of a line: file, split offset, and the row counter inside the split's task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
+    return F.struct(path.alias("file"), block.alias("block"), row.alias("row"))
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``value``, ``file_path`` and the sortable ``src_ord`` of every line."""
     if any(str(p).endswith(".bgz") for p in ([path] if isinstance(path, str) else path)):
         raise ValueError("Spark reads .bgz as raw bytes; stage the file under a .gz name")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
-    return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            row.alias("row"),
-        ).alias("src_ord"),
-    )
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return spark.read.text(path).select("value", file.alias("file_path"), line_order(file, block).alias("src_ord"))
 
 
 def without_first_lines(lines: DataFrame, n: int) -> DataFrame:

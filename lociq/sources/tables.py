@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lociq import schemas
 from lociq.functions.text import attribute_value, empty_to_null
 from lociq.operators.joins import lookup_join
-from lociq.sources.lines import at, data_lines, fields, read_lines, without_first_lines
+from lociq.sources.lines import at, data_lines, fields, line_order, read_lines, without_first_lines
 
 
 def parse_gene_annotation(lines: DataFrame) -> DataFrame:
@@ -107,11 +107,7 @@ def read_ontology(spark: SparkSession, path: str, include_self: bool = False) ->
         .text(path)
         .select(
             F.translate("value", "\r", "").alias("value"),
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("src_ord"),
+            line_order(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("src_ord"),
         )
         .filter(F.ltrim(F.col("value")).startswith("[Term]") | F.contains(stanza, F.lit("\n[Term]\n")))
     )
