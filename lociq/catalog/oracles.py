@@ -102,16 +102,17 @@ SQL_VIEWS |= {
 
 def best_scores(candidates: str, weights: str = "@weights@", symptoms: str = "@symptoms@") -> str:
     """Best disease per (patient_id, gene_symbol) of ``candidates``, scores above zero only."""
+    score = "round(m.matched / t.total, 12)"
     return f"""SELECT patient_id, gene_symbol, score, disease_id, disease_name FROM (
-        SELECT p.patient_id, p.gene_symbol, g.disease_id, g.disease_name, m.matched / t.total AS score,
-               row_number() OVER (PARTITION BY p.patient_id, p.gene_symbol ORDER BY m.matched / t.total DESC, g.ord, g.disease_id) AS rn
+        SELECT p.patient_id, p.gene_symbol, g.disease_id, g.disease_name, {score} AS score,
+               row_number() OVER (PARTITION BY p.patient_id, p.gene_symbol ORDER BY {score} DESC, g.ord, g.disease_id) AS rn
         FROM (SELECT DISTINCT patient_id, gene_symbol FROM {candidates}) p
         JOIN @gene_ids@ g ON g.gene_symbol = p.gene_symbol
         JOIN (SELECT disease_id, sum(weight) AS total FROM {weights} GROUP BY disease_id) t ON t.disease_id = g.disease_id
         JOIN (SELECT s.patient_id, w.disease_id, sum(w.weight) AS matched FROM {symptoms} s
               JOIN {weights} w ON w.hpo_id = s.hpo_id GROUP BY ALL) m
           ON m.patient_id = p.patient_id AND m.disease_id = g.disease_id
-        WHERE t.total > 0 AND m.matched / t.total > 0) WHERE rn = 1"""
+        WHERE t.total > 0 AND {score} > 0) WHERE rn = 1"""
 
 
 SQL_VIEWS |= {

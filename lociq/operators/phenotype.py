@@ -59,7 +59,8 @@ def phenotype_scores(
     Each (patient, disease) is scored once, whatever number of genes or variants lead to it.
     Symptoms are matched on (patient, symptom) and scores on (patient, disease): both sides are
     distinct there and a key repeats at most once per disease or gene, so neither a frequent
-    patient nor a frequent gene ends up in one task.
+    patient nor a frequent gene ends up in one task.  Scores are rounded to 12 digits so that
+    the order in which weights happen to be summed cannot decide between equal diseases.
     """
     pairs = candidates.select("patient_id", "gene_symbol").filter(F.col("gene_symbol").isNotNull()).distinct()
     expanded = lookup_join(pairs, genes_to_diseases, "gene_symbol", "inner")
@@ -73,7 +74,7 @@ def phenotype_scores(
         .agg(F.sum("weight").alias("_matched"))
     )
     scored = lookup_join(scored, totals, "disease_id", "inner", sized_by=probes).select(
-        "patient_id", "disease_id", (F.col("_matched") / F.col("_total")).alias("score")
+        "patient_id", "disease_id", F.round(F.col("_matched") / F.col("_total"), 12).alias("score")
     )
     ranked = expanded.join(scored.filter("score > 0"), ["patient_id", "disease_id"])
     best = first_per_key(

@@ -43,6 +43,7 @@ def running_totals(
     order: Sequence[Column],
     totals: dict[str, Column],
     group_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` within ``group`` along a total ``order``.
 
@@ -51,11 +52,12 @@ def running_totals(
     alone and lifted by the totals of the slices before it.  A slice boundary is crossed by
     at most one group, so the lift table has fewer rows than there are slices and is
     broadcast.  The sliced rows are checkpointed first: slice numbers must not change when
-    a lost task is rerun.
+    a lost task is rerun.  ``largest`` is the size of the largest group where already known;
+    otherwise it is counted.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
     group = list(group)
-    if _largest_group(df, group) <= limit:
+    if (_largest_group(df, group) if largest is None else largest) <= limit:
         part = [F.col(g) for g in group] or [F.lit(0)]
         frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
@@ -100,7 +102,8 @@ def rank_rows(
     order: Sequence[Column],
     name: str = "rank",
     group_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Sequential rank 1..n of every row of every group."""
-    ranked = running_totals(df, group, order, {name: F.lit(1)}, group_rows)
+    ranked = running_totals(df, group, order, {name: F.lit(1)}, group_rows, largest)
     return ranked.withColumn(name, F.col(name).cast("bigint"))

@@ -63,8 +63,9 @@ def pick_one(left: DataFrame, pool: DataFrame, on: Sequence[str], pool_key: Sequ
 def number_pool(pool: DataFrame, row_key: Sequence[str], seed: int) -> tuple[DataFrame, int]:
     """The pool with ``_nth`` 0..n-1 in random order, and n."""
     keys = [F.col(k) for k in row_key]
-    numbered = rank_rows(pool, [], [order_hash(seed, *keys), *keys], "_nth").withColumn("_nth", F.col("_nth") - 1)
-    return numbered, pool.count()
+    size = pool.count()
+    numbered = rank_rows(pool, [], [order_hash(seed, *keys), *keys], "_nth", largest=size)
+    return numbered.withColumn("_nth", F.col("_nth") - 1), size
 
 
 def draw(patients: DataFrame, numbered: DataFrame, size: int, count: Column, seed: int, tag: str) -> DataFrame:
@@ -171,9 +172,9 @@ def first_pool_wins(pools: Sequence[DataFrame]) -> DataFrame:
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): exactly ``ceil(share * groups)`` whole groups go to test."""
     groups = df.select(group).distinct()
-    wanted = ceil(share * groups.count())
-    ranked = rank_rows(groups, [], [order_hash(seed, F.col(group)), F.col(group)], "_nth")
-    chosen = ranked.filter(F.col("_nth") <= wanted).select(group)
+    n = groups.count()
+    ranked = rank_rows(groups, [], [order_hash(seed, F.col(group)), F.col(group)], "_nth", largest=n)
+    chosen = ranked.filter(F.col("_nth") <= ceil(share * n)).select(group)
     return lookup_join(df, chosen, group, "left_anti"), lookup_join(df, chosen, group, "left_semi")
 
 

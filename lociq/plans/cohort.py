@@ -13,6 +13,7 @@ from lociq.operators.dedupe import most_dosage_sensitive
 from lociq.operators.joins import lookup_join
 from lociq.operators.phenotype import disease_symptoms, similar_diseases, usable_annotations
 from lociq.operators.ranking import first_per_key, rank_rows
+from lociq.session import staged
 
 # Cohort sizes.
 SNV_PATIENTS, CNV_PATIENTS, MAX_PER_GENE = 5000, 1000, 3
@@ -59,6 +60,11 @@ def gene_inheritance(gene_diseases: DataFrame, order: str = "src_ord") -> DataFr
     return first_per_key(listed, ["gene_symbol"], [F.asc(order)]).select("gene_symbol", "inheritance_modes")
 
 
+_CAUSAL = [
+    "variant_id", "gene_symbol", "disease_name", "phenotype_mim_number", "inheritance_modes",
+]
+
+
 def _patients(eligible: DataFrame, row_key: list[str], pairs: DataFrame, n: int, seed: int) -> DataFrame:
     """Up to ``n`` causal rows whose disease has symptoms, numbered in sample order."""
     sampled = sampling.capped_sample(eligible, "gene_symbol", row_key, int(n * OVERSAMPLE), MAX_PER_GENE, seed)
@@ -80,7 +86,7 @@ def _symptoms(patients: DataFrame, annotations: DataFrame, seed: int) -> DataFra
     """Kept and noise symptoms per patient, as distinct rows."""
     kept = sampling.weighted_symptoms(patients, usable_annotations(annotations), seed)
     pool = annotations.filter(F.col("aspect") == "P")
-    noise = sampling.noise_symptoms(patients, pool, seed, ["src_ord"])
+    noise = sampling.noise_symptoms(patients, pool, seed, ["src_ord", "disease_id", "hpo_id"])
     return kept.unionByName(noise).distinct()
 
 
@@ -101,7 +107,7 @@ def phenocopies(patients: DataFrame, annotations: DataFrame, gene_diseases: Data
     gets none.
     """
     pairs = disease_symptoms(annotations)
-    similar = similar_diseases(patients.select("disease_id"), pairs, MIN_SHARED)
+    similar = staged(similar_diseases(patients.select("disease_id"), pairs, MIN_SHARED), "similar")
     slim = patients.select("patient_id", "disease_id", "causal_gene", "causal_variant_id")
     chosen = sampling.pick_one(
         slim, similar.select("disease_id", "other_id"), ["disease_id"], ["other_id"], seed, F.lit("similar"), F.col("patient_id")
@@ -116,7 +122,7 @@ def phenocopies(patients: DataFrame, annotations: DataFrame, gene_diseases: Data
         ~F.equal_null("gene_symbol", "causal_gene")
     )
     order = [sampling.order_hash(seed, F.col("patient_id"), F.col("gene_symbol")), F.asc("gene_symbol")]
-    one_gene = first_per_key(options, ["patient_id"], order)
+    one_gene = staged(first_per_key(options, ["patient_id"], order), "phenocopy-genes")
     variants = known.select("variant_id", "gene_symbol").distinct()
     picked = sampling.pick_one(
         one_gene, variants, ["gene_symbol"], ["variant_id"], seed, F.lit("phenocopy"), F.col("patient_id")
@@ -149,19 +155,11 @@ def _rows(patients: DataFrame, background: DataFrame, causal_zygosity, other_zyg
     return causal.unionByName(others)
 
 
-def build_site_cohort(
-    features: DataFrame,
-    annotations: DataFrame,
-    known: DataFrame,
-    gene_diseases: DataFrame,
-    n_patients: int = SNV_PATIENTS,
-    seed: int = 42,
-    background: int = SNV_BACKGROUND,
-) -> tuple[DataFrame, DataFrame]:
-    """(patients, patient variants) of a point-variant cohort."""
+def site_patients(features: DataFrame, annotations: DataFrame, n_patients: int = SNV_PATIENTS, seed: int = 42) -> DataFrame:
+    """Patients of a point-variant cohort with their tier; written out, as every later step reads them."""
     pairs = disease_symptoms(annotations)
     key = ["variant_id", "phenotype_mim_number", "disease_name"]
-    eligible = eligible_sites(features)
+    eligible = staged(eligible_sites(features).select(*_CAUSAL), "eligible")
     tier = sampling.assign_tier(seed, F.lit("tier"), F.col("patient_id"))
     patients = _patients(eligible, key, pairs, n_patients, seed).withColumn("phenotype_tier", tier)
 
@@ -182,15 +180,29 @@ def build_site_cohort(
             ),
         }
     )
-    meta = _meta(
-        patients,
-        _symptoms(patients, annotations, seed),
-        [
-            "patient_id", "causal_variant_id", "causal_gene", "causal_disease", "causal_disease_mim",
-            "causal_inheritance_mode", "phenotype_tier",
-        ],
-    )
+    return staged(patients, "patients")
+
 
+def patient_meta(patients: DataFrame, annotations: DataFrame, seed: int = 42) -> DataFrame:
+    """Patients with the symptoms sampled for them."""
+    meta = [
+        "patient_id", "causal_variant_id", "causal_gene", "causal_disease", "causal_disease_mim",
+        "causal_inheritance_mode", "phenotype_tier",
+    ]
+    return _meta(patients, _symptoms(patients, annotations, seed), [c for c in meta if c in patients.columns])
+
+
+def site_rows(
+    patients: DataFrame,
+    annotations: DataFrame,
+    known: DataFrame,
+    gene_diseases: DataFrame,
+    seed: int = 42,
+    background: int = SNV_BACKGROUND,
+) -> DataFrame:
+    """Causal variant and background of every patient.  Hard negatives are written out: they
+    are counted for the fill and then united with it."""
+    known = staged(known.select("variant_id", "gene_symbol", "clinvar_significance"), "known")
     pools = {name: pool.select("variant_id", "gene_symbol") for name, pool in candidate_pools(known).items()}
     row = ["variant_id", "gene_symbol"]
     uncertain = sampling.foreign_draws(
@@ -200,13 +212,14 @@ def build_site_cohort(
         patients, pools["pathogenic"], row, PATHOGENIC_NEGATIVES, SPARE_HARD, seed, "pathogenic"
     )
     copies = phenocopies(patients, annotations, gene_diseases, known, seed)
+    uncertain, pathogenic, copies = (staged(p, "hard") for p in (uncertain, pathogenic, copies))
     hard = uncertain.unionByName(pathogenic).unionByName(copies)
     general = sampling.foreign_draws(patients, pools["general"], row, background, SPARE_FILL, seed, "general")
     general = _fill(general, hard, background)
     tagged = [p.withColumn("is_hard_negative", F.lit(1)) for p in (uncertain, pathogenic, copies)]
     chosen = sampling.first_pool_wins([*tagged, general.withColumn("is_hard_negative", F.lit(0))])
     chosen = lookup_join(chosen, gene_inheritance(gene_diseases), "gene_symbol")
-    rows = _rows(
+    return _rows(
         patients,
         chosen,
         zygosity_from_inheritance(F.col("causal_inheritance_mode"), seed, F.lit("zygosity"), F.col("patient_id")),
@@ -214,20 +227,30 @@ def build_site_cohort(
             F.col("inheritance_modes"), seed, F.lit("zygosity"), F.col("patient_id"), F.col("variant_id")
         ),
     )
-    return meta, rows
 
 
-def build_deletion_cohort(
+def build_site_cohort(
     features: DataFrame,
-    population: DataFrame,
     annotations: DataFrame,
-    n_patients: int = CNV_PATIENTS,
+    known: DataFrame,
+    gene_diseases: DataFrame,
+    n_patients: int = SNV_PATIENTS,
     seed: int = 42,
-    background: int = CNV_BACKGROUND,
+    background: int = SNV_BACKGROUND,
 ) -> tuple[DataFrame, DataFrame]:
-    """(patients, patient variants) of a deletion cohort: hard, genic and intergenic background."""
+    """(patients, patient variants) of a point-variant cohort."""
+    patients = site_patients(features, annotations, n_patients, seed)
+    rows = site_rows(patients, annotations, known, gene_diseases, seed, background)
+    return patient_meta(patients, annotations, seed), rows
+
+
+def deletion_patients(
+    features: DataFrame, annotations: DataFrame, n_patients: int = CNV_PATIENTS, seed: int = 42
+) -> DataFrame:
+    """Patients of a deletion cohort, written out."""
     pairs = disease_symptoms(annotations)
-    patients = _patients(eligible_deletions(features), ["variant_id"], pairs, n_patients, seed).withColumns(
+    eligible = staged(eligible_deletions(features).select(*_CAUSAL), "eligible")
+    patients = _patients(eligible, ["variant_id"], pairs, n_patients, seed).withColumns(
         {
             "keep_fraction": sampling.between(
                 *[F.lit(f) for f in CNV_KEEP_FRACTION], seed, F.lit("keep"), F.col("patient_id")
@@ -237,24 +260,23 @@ def build_deletion_cohort(
             ),
         }
     )
-    meta = _meta(
-        patients,
-        _symptoms(patients, annotations, seed),
-        [
-            "patient_id", "causal_variant_id", "causal_gene", "causal_disease", "causal_disease_mim",
-            "causal_inheritance_mode",
-        ],
-    )
-    slim = features.select("variant_id", "gene_symbol", "haploinsufficiency_score")
+    return staged(patients, "patients")
+
+
+def deletion_rows(
+    patients: DataFrame, features: DataFrame, population: DataFrame, seed: int = 42, background: int = CNV_BACKGROUND
+) -> DataFrame:
+    """Causal deletion plus hard, genic and intergenic background of every patient."""
+    slim = staged(features.select("variant_id", "gene_symbol", "haploinsufficiency_score"), "genic")
     hard_pool = slim.filter(F.col("haploinsufficiency_score").isNotNull()).select("variant_id", "gene_symbol")
     genic_pool = first_per_key(slim, ["variant_id"], [F.asc("gene_symbol")]).select("variant_id", "gene_symbol")
     inter_pool = (
-        without_match(population.select("variant_id").distinct(), features, "variant_id")
+        without_match(population.select("variant_id").distinct(), slim, "variant_id")
         .withColumn("gene_symbol", F.lit(None).cast("string"))
         .select("variant_id", "gene_symbol")
     )
     row = ["variant_id", "gene_symbol"]
-    hard = sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, SPARE_HARD, seed, "hard")
+    hard = staged(sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, SPARE_HARD, seed, "hard"), "hard")
 
     genic = sampling.foreign_draws(patients, genic_pool, row, background, SPARE_FILL, seed, "genic")
     inter = sampling.foreign_draws(patients, inter_pool, row, background, SPARE_FILL, seed, "intergenic")
@@ -270,7 +292,7 @@ def build_deletion_cohort(
             inter.withColumn("is_hard_negative", F.lit(0)),
         ]
     )
-    rows = _rows(
+    return _rows(
         patients,
         chosen,
         zygosity_from_inheritance(F.col("causal_inheritance_mode"), seed, F.lit("zygosity"), F.col("patient_id")),
@@ -278,4 +300,16 @@ def build_deletion_cohort(
             F.lit(None).cast("string"), seed, F.lit("zygosity"), F.col("patient_id"), F.col("variant_id")
         ),
     )
-    return meta, rows
+
+
+def build_deletion_cohort(
+    features: DataFrame,
+    population: DataFrame,
+    annotations: DataFrame,
+    n_patients: int = CNV_PATIENTS,
+    seed: int = 42,
+    background: int = CNV_BACKGROUND,
+) -> tuple[DataFrame, DataFrame]:
+    """(patients, patient variants) of a deletion cohort."""
+    patients = deletion_patients(features, annotations, n_patients, seed)
+    return patient_meta(patients, annotations, seed), deletion_rows(patients, features, population, seed, background)

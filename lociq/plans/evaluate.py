@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lociq.operators import explain, metrics, model
 from lociq.operators.joins import lookup_join
 from lociq.schemas import PREDICTORS
+from lociq.session import staged
 
 # Feature groups that ablations leave out.
 GENE_LEVEL = [
@@ -50,7 +51,8 @@ def fit(train: DataFrame, kind: str, leave_out: Sequence[str] = (), **settings)
 
 
 def scored_test(fitted: model.RankingModel, test: DataFrame, name: str = "relevance_score") -> DataFrame:
-    return fitted.score(model.lowest_of_multi_values(test), name)
+    """Scored test rows, written out once because every metric reads them again."""
+    return staged(fitted.score(model.lowest_of_multi_values(test), name), "scored")
 
 
 def evaluate(scored: DataFrame, score: str = "relevance_score", patient: str = "patient_id") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "lociq") -> SparkSession:
@@ -49,3 +49,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder unless the session already has one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Used where a result feeds several steps: its lineage is not run again, lost executors do
+    not take it along, and the table's real size is known to later joins.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
