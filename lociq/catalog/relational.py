@@ -11,6 +11,7 @@ from lociq.operators.joins import lookup_join
 from lociq.operators.model import rank_candidates
 from lociq.operators.ranking import rank_rows, top_per_key
 from lociq.plans import clean, cohort, features
+from lociq.session import staged
 
 
 def sites(t: Tables) -> DataFrame:
@@ -230,8 +231,10 @@ def _(t: Tables):
 
 
 def phenotype_inputs(t: Tables, duplicates: str = "last"):
-    weights = phenotype.disease_weights(annotations(t), duplicates)
-    return t.patient_symptoms, phenotype.gene_disease_ids(gene_diseases(t)), weights
+    """Symptoms, gene → disease ids and symptom weights, the last two as stage tables."""
+    weights = staged(phenotype.disease_weights(annotations(t), duplicates), "weights")
+    ids = staged(phenotype.gene_disease_ids(gene_diseases(t)), "gene-diseases")
+    return t.patient_symptoms, ids, weights
 
 
 @query(

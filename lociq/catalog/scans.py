@@ -8,7 +8,6 @@ from lociq.catalog.registry import Tables, query
 from lociq.catalog.relational import constraint, sites
 from lociq.operators.ranking import first_per_key
 from lociq.plans import clean
-from lociq.schemas import PREDICTOR_PLACES
 from lociq.session import scratch_path
 from lociq.sources import sinks, tables, vcf
 from lociq.sources.lines import read_lines
@@ -326,17 +325,17 @@ def _(t: Tables):
 )
 def _(t: Tables):
     raw = t.sites_raw
-    widths = F.sequence(F.lit(4), F.lit(max(PREDICTOR_PLACES) + 5))
     key = F.col("src_ord").cast("string")
-    cells = F.transform(
-        widths,
-        lambda i: F.when((i == 48) & (F.col("src_ord") % 4 == 0), F.lit("."))
-        .when(i == 48, F.concat(F.lit("s"), key, F.lit(";48")))
-        .otherwise(F.concat(F.lit("v"), key, F.lit("_"), i.cast("string"))),
-    )
-    value = F.concat_ws(
-        "\t", "chromosome", F.col("position").cast("string"), "reference_allele", "alternate_allele", F.array_join(cells, "\t")
-    )
+    sift = F.when(F.col("src_ord") % 4 == 0, F.lit(".")).otherwise(F.concat(F.lit("s"), key, F.lit(";48")))
+
+    def filler(cells: int):
+        return F.repeat(F.lit("0.5\t"), F.lit(cells))
+
+    value = F.concat(
+        F.concat_ws("\t", "chromosome", F.col("position").cast("string"), "reference_allele", "alternate_allele"),
+        F.lit("\t"), filler(44), sift, F.lit("\t"), filler(105), F.concat(F.lit("v"), key, F.lit("_154\t")), filler(23),
+        F.concat(F.lit("v"), key, F.lit("_178\t")), filler(200),
+    )
     data = raw.select((F.col("src_ord") % 8).alias("part"), F.col("src_ord").alias("place"), value.alias("value"))
     path = staged_files(t, "wide", _with_head(data, "part", ["#chr\tpos\tref\talt\trest"]), "part", "place")
     odd = t.region.select(F.concat(F.lit("not_an_id_"), F.col("r_name"), F.lit("_x_y")).alias("variant_id"))

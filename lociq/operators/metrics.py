@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lociq.operators.joins import lookup_join
 from lociq.operators.ranking import running_totals
+from lociq.session import staged
 
 
 def first_hit_ranks(
@@ -53,13 +54,14 @@ def ranking_metrics_by(ranks: DataFrame, tier: str) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, label: str, group_rows: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counting half, as one row.
 
-    Rows are reduced to distinct scores before the running count of positives.
+    Rows are reduced to distinct scores, written out once, before the running count of positives.
     """
     counts = (
         df.filter(F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
+    counts = staged(counts, "score-counts")
     walked = running_totals(counts, [], [F.desc("score")], {"upto": F.col("pos")}, group_rows)
     above = F.col("upto").cast("double") - F.col("pos") / 2
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

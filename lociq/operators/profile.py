@@ -12,6 +12,7 @@ from lociq.functions.variants import STANDARD_CHROMOSOMES
 from lociq.operators.dedupe import keep_first
 from lociq.operators.joins import lookup_join
 from lociq.operators.ranking import running_totals
+from lociq.session import staged
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -30,12 +31,16 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _quartiles(df: DataFrame, column: str, group_rows: int | None) -> tuple[list[Column], DataFrame]:
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).count()
-    rows = counts.agg(F.sum("count")).first()[0] or 0
-    walked = running_totals(counts, [], [F.asc("value")], {"upto": F.col("count")}, group_rows)
+    """Quartile expressions and the distinct values with running counts they are read from."""
+    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).count()
+    counts = staged(values, "values")
+    size = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("values")).first()
+    walked = running_totals(
+        counts, [], [F.asc("value")], {"upto": F.col("count")}, group_rows, largest=size["values"]
+    )
     measures = []
     for name, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        place = share * max(rows - 1, 0)
+        place = share * max(size["rows"] - 1, 0)
         low = F.min(F.when(F.col("upto") > floor(place), F.col("value")))
         high = F.min(F.when(F.col("upto") > ceil(place), F.col("value")))
         measures.append((low + (high - low) * F.lit(place - floor(place))).alias(name))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lociq.functions.hashing import hash_number, order_hash, unit_hash
 from lociq.operators.joins import lookup_join
 from lociq.operators.ranking import first_per_key, rank_rows, running_totals, top_per_key
+from lociq.session import staged
 
 # Phenotyping tiers with share, kept symptom fraction and number of noise symptoms.
 PHENOTYPE_TIERS = {
@@ -33,7 +34,7 @@ def capped_sample(
     """
     keys = [F.col(k) for k in row_key]
     order = [order_hash(seed, *keys), *keys]
-    capped = top_per_key(df, [group], order, max_per_group, rank="_nth")
+    capped = staged(top_per_key(df, [group], order, max_per_group, rank="_nth"), "capped")
     sizes = capped.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     walked = running_totals(sizes, [], [order_hash(seed, F.col(group)), F.col(group)], {"_upto": F.col("_size")})
     starts = walked.select(group, (F.col("_upto") - F.col("_size")).alias("_start")).filter(F.col("_start") < n)
@@ -116,12 +117,15 @@ def weighted_symptoms(patients: DataFrame, annotations: DataFrame, seed: int, or
     """Weighted sample without replacement of each patient's disease symptoms.
 
     ``patients`` carries patient_id, disease_id and keep_fraction.  The share kept is
-    ``max(1, floor(symptoms * keep_fraction))``; keys -ln(u)/w order the symptoms.
+    ``max(1, floor(symptoms * keep_fraction))``; keys -ln(u)/w order the symptoms.  A patient's
+    list is never longer than the longest disease, which is all the ranking needs to know.
     """
     listed = first_per_key(annotations, ["disease_id", "hpo_id"], [F.asc(order)]).select(
         "disease_id", "hpo_id", (F.coalesce("frequency_numeric", F.lit(0.3)) + 0.01).alias("_w")
     )
+    listed = staged(listed, "symptom-weights")
     sizes = listed.groupBy("disease_id").agg(F.count(F.lit(1)).alias("_n"))
+    longest = sizes.agg(F.max("_n")).first()[0] or 0
     asked = lookup_join(patients.select("patient_id", "disease_id", "keep_fraction"), sizes, "disease_id", "inner")
     asked = asked.withColumn(
         "_keep", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("keep_fraction"))).cast("bigint")
@@ -129,7 +133,7 @@ def weighted_symptoms(patients: DataFrame, annotations: DataFrame, seed: int, or
     listed = lookup_join(asked, listed, "disease_id", "inner")
     u = F.lit(1.0) - unit_hash(seed, F.lit("symptom"), F.col("patient_id"), F.col("hpo_id"))
     keyed = listed.withColumn("_key", -F.log(u) / F.col("_w"))
-    ranked = rank_rows(keyed, ["patient_id"], [F.asc("_key"), F.asc("hpo_id")], "_rank")
+    ranked = rank_rows(keyed, ["patient_id"], [F.asc("_key"), F.asc("hpo_id")], "_rank", largest=longest)
     return ranked.filter("_rank <= _keep").select("patient_id", "hpo_id")
 
 
