@@ -377,11 +377,14 @@ def _(t: Tables):
 
 @query(
     "a7_diseases_per_symptom",
-    """SELECT hpo_id, array_to_string(list_sort(list_distinct(list(disease_id))), ';') AS disease_id_set FROM @usable@ GROUP BY 1""",
+    """SELECT DISTINCT hpo_id, disease_id, count(DISTINCT disease_id) OVER (PARTITION BY hpo_id) AS diseases
+        FROM (SELECT DISTINCT hpo_id, disease_id FROM @usable@)""",
 )
 def _(t: Tables):
-    sets = phenotype.symptom_sets(phenotype.disease_symptoms(annotations(t)), "hpo_id", "disease_id")
-    return sets.select("hpo_id", F.array_join("disease_id_set", ";").alias("disease_id_set"))
+    """The inverse index stays a pair table: a frequent symptom's diseases are not gathered in one row."""
+    pairs = phenotype.disease_symptoms(annotations(t))
+    sizes = pairs.groupBy("hpo_id").agg(F.count(F.lit(1)).alias("diseases"))
+    return lookup_join(pairs, sizes, "hpo_id").select("hpo_id", "disease_id", "diseases")
 
 
 @query("a8_symptom_weights_last", "SELECT disease_id, hpo_id, round(weight, 9) AS weight FROM @weights@")

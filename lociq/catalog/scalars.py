@@ -309,7 +309,7 @@ def _(t: Tables):
     )
 
 
-@query("p1_select_rename", """SELECT gene AS gene_symbol, "pLI", oe_lof FROM @constraint_raw@""")
+@query("p1_select_rename", """SELECT gene AS gene_symbol, round("pLI", 9) AS "pLI", round(oe_lof, 9) AS oe_lof FROM @constraint_raw@""")
 def _(t: Tables):
     return t.constraint_raw.select(F.col("gene").alias("gene_symbol"), "pLI", "oe_lof")
 

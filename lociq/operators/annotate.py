@@ -45,8 +45,11 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
     """Gene and significance of patient variants.
 
     A variant listed in ``known`` takes its first row there; the others get the first gene
-    whose span contains the position.
+    whose span contains the position.  Each distinct variant is resolved once and the result
+    joined back, so a variant carried by many patients is searched a single time.
     """
+    key = ["variant_id", "chromosome", "position"]
+    distinct = variants.select(*key).distinct()
     listed = keep_first(known, ["variant_id"], [F.asc(order)]).select(
         "variant_id",
         F.col("gene_symbol").alias("_listed_gene"),
@@ -55,18 +58,21 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
         F.col("has_multiple_genes").alias("_multi"),
         F.lit(True).alias("_listed"),
     )
-    matched = lookup_join(variants, listed, "variant_id")
+    matched = lookup_join(distinct, listed, "variant_id")
     unlisted = matched.filter(F.col("_listed").isNull())
     located = gene_at(unlisted, genes, order, sized_by=variants).withColumnRenamed("gene_symbol", "_located_gene")
-    out = lookup_join(matched, located, ["chromosome", "position"], sized_by=variants)
+    # Distinct variants of one position differ in their alleles only, so no position is hot here.
+    resolved = matched.join(located, ["chromosome", "position"], "left")
     in_known = F.coalesce("_listed", F.lit(False))
-    return out.withColumns(
-        {
-            "gene_symbol": F.when(in_known, F.col("_listed_gene")).otherwise(F.col("_located_gene")),
-            "has_multiple_genes": F.coalesce("_multi", F.lit(False)),
-            "in_clinvar": in_known,
-        }
-    ).drop("_listed_gene", "_located_gene", "_multi", "_listed")
+    resolved = resolved.select(
+        *key,
+        F.when(in_known, F.col("_listed_gene")).otherwise(F.col("_located_gene")).alias("gene_symbol"),
+        "clinvar_significance",
+        "review_status",
+        F.coalesce("_multi", F.lit(False)).alias("has_multiple_genes"),
+        in_known.alias("in_clinvar"),
+    )
+    return lookup_join(variants, resolved, key)
 
 
 def with_features(rows: DataFrame, features: DataFrame, columns: list[str], order: list) -> DataFrame:

@@ -20,9 +20,13 @@ def disease_symptoms(annotations: DataFrame) -> DataFrame:
     return usable_annotations(annotations).select("disease_id", "hpo_id").distinct()
 
 
-def symptom_sets(pairs: DataFrame, key: str = "disease_id", item: str = "hpo_id") -> DataFrame:
-    """Sorted item array per key; an array holds at most the vocabulary of ``item``."""
-    return pairs.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias(f"{item}_set"))
+def symptom_sets(pairs: DataFrame) -> DataFrame:
+    """Sorted symptom array per disease.
+
+    ``pairs`` is distinct, so an array holds at most the fixed vocabulary of the ontology.  The
+    inverse, whose lists grow with the number of diseases, is the pair table itself.
+    """
+    return pairs.groupBy("disease_id").agg(F.array_sort(F.collect_set("hpo_id")).alias("hpo_id_set"))
 
 
 def disease_weights(annotations: DataFrame, duplicates: str = "last", order: str = "src_ord") -> DataFrame:

@@ -42,7 +42,7 @@ def _records(lines: DataFrame, columns: list[str], sep: str) -> DataFrame:
 
 def _header(lines: DataFrame, sep: str) -> list[str]:
     """Column names from the first line of the first file; one line reaches the driver."""
-    first = lines.orderBy("src_ord").select("value").first()
+    first = lines.filter(F.col("src_ord.block") == 0).orderBy("src_ord").select("value").first()
     if first is None:
         raise ValueError("file has no header line")
     return [name.strip().strip('"') for name in first[0].split(sep)]
