@@ -32,6 +32,7 @@ from lociq.sources import vcf
 
 _ROUNDS = 5
 _STAGES: dict[tuple[str, str, str], str] = {}
+_MODELS: dict[tuple[str, str, str], model.RankingModel] = {}
 _IDS = ["patient_id", "variant_id", "gene_symbol"]
 
 
@@ -82,8 +83,16 @@ def _stage(t: Tables, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(t.spark.read.parquet(f"{path}/{name}") for name in ("train", "test", "patients"))
 
 
+def _once(t: Tables, name: str, fit) -> model.RankingModel:
+    """A model trained once per session and data folder; several queries use it."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _MODELS:
+        _MODELS[key] = fit()
+    return _MODELS[key]
+
+
 def _fitted(t: Tables, kind: str) -> model.RankingModel:
-    return evaluate.fit(_stage(t, kind)[0], kind, rounds=_ROUNDS)
+    return _once(t, kind, lambda: evaluate.fit(_stage(t, kind)[0], kind, rounds=_ROUNDS))
 
 
 @query("g1_prepared_features")
@@ -231,7 +240,7 @@ def _live_model(t: Tables, kind: str) -> model.RankingModel:
     train = model.lowest_of_multi_values(_stage(t, kind)[0])
     present = [c for c in names if c in train.columns]
     categories = {"snv": model.SNV_CATEGORIES, "cnv": model.CNV_CATEGORIES}[kind]
-    return model.train(train, present, categories, rounds=_ROUNDS)
+    return _once(t, f"live-{kind}", lambda: model.train(train, present, categories, rounds=_ROUNDS))
 
 
 @query("e1_analyze_sites")

@@ -10,7 +10,7 @@ from lociq.operators.search import search_many, search_terms
 from lociq.plans import analyze, evaluate
 from lociq.plans.analyze import ReferenceTables, analyze_cohort
 from lociq.sources import vcf
-from lociq.streaming.arrivals import analyze_arrivals, arriving_lines
+from lociq.streaming.arrivals import analyze_arrivals, arriving_lines, rank_arrivals
 
 HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE\n"
 
@@ -130,6 +130,20 @@ def test_arrivals_are_analysed_once(spark, tmp_path):
     assert got.count() == 6 and got.filter("patient_file = 'late.vcf'").first().variant_id == "2_9_A_T"
 
 
+def test_arriving_files_are_ranked_like_a_batch(spark, reference, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_sites(folder)
+    fitted = trained(spark, "snv")
+    symptoms = spark.createDataFrame([("a.vcf", "HP:0003002"), ("b.vcf", "HP:0003002")], "patient_id string, hpo_id string")
+    lines = arriving_lines(spark, str(folder), files_per_batch=1)
+    out = str(tmp_path / "out")
+    rank_arrivals(lines, symptoms, "snv", reference, fitted, out, str(tmp_path / "state")).awaitTermination(120)
+    columns = ["patient_id", "variant_id", "gene_symbol", "rank", "phenotype_similarity_score"]
+    batch = analyze_cohort(spark, str(folder), ["HP:0003002"], "snv", reference, fitted).results.select(*columns)
+    assert sorted(map(repr, spark.read.parquet(out).select(*columns).collect())) == sorted(map(repr, batch.collect()))
+
+
 def test_evaluation_reports(spark):
     rng = random.Random(8)
     data = []
