@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,19 +24,18 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "lociq")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master, where driver
-    and executors are one process, falls back to a temporary folder.
+    A local master, where driver and executors are one process, gets a temporary folder if none
+    is named; on a cluster that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = os.path.join(tempfile.gettempdir(), f"lociq-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lociq-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
