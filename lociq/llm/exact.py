@@ -30,17 +30,17 @@ def normalised(text) -> F.Column:
 
 def _slot(depth: int) -> F.Column:
     """Directory slot: the hash's leading ``depth`` bits."""
-    return F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    return F.shiftrightunsigned("h", 64 - depth)
 
 
 def build_directory(hashes: DataFrame, capacity: int, stages: Stages) -> tuple[DataFrame, int]:
     """Directory ``(slot, bucket, local_depth)`` over distinct hashes ``h``, and its depth.
 
-    Starts with one slot for each ``capacity`` hashes and splits overfull buckets until none is
+    Starts with a slot for each ``capacity`` hashes, two at least, and splits overfull buckets until none is
     left; at 64 bits hashes are equal, which makes a chain, not a bucket to split.
     """
     total = hashes.count()
-    depth = max(0, math.ceil(math.log2(total / capacity))) if total else 0
+    depth = max(1, math.ceil(math.log2(total / capacity))) if total else 1
     pending, parts, first = hashes, [], depth
     while True:
         sizes = stages.keep(pending.groupBy(_slot(depth).alias("prefix")).count(), f"depth{depth}")

@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociq.llm.bpe import encode_documents
 from lociq.llm.chat import chat_report
 from lociq.llm.common import table
 from lociq.llm.exact import exact_groups
+from lociq.llm.main_text import extract_main_text
 from lociq.llm.mixing import MOST, SEED, SHARE, WEIGHTS, Mix
 from lociq.llm.quality import quality_report
 from lociq.llm.secret_scan import scan
 from lociq.llm.url_rules import judge_urls
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_rules, op5_exact_dedup, op6_secret_scan, op7_source_mix, op8_chat_format, op10_quality_rules)
+    for f in (op1_url_rules, op2_main_text, op3_bpe_round_trip, op5_exact_dedup, op6_secret_scan, op7_source_mix, op8_chat_format, op10_quality_rules)
 }
 
 _OP5 = r"""
