@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociq.llm.bpe import encode_documents
 from lociq.llm.common import Stages, table
 from lociq.llm.exact import keep_first_copies
 from lociq.llm.mixing import Mix
+from lociq.llm.ngram_join import keep_one_per_group
 from lociq.llm.quality import keep_good
+from lociq.llm.queries import vocabulary_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +26,27 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return keep_first_copies(docs)
 
 
+def one_per_near_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one_per_group(docs)
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to twice."""
     return Mix(docs).documents()
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document of the mix, a row per copy."""
+    return encode_documents(docs, vocabulary_path())
+
+
 STAGES = [
     ("quality rules", good_documents),
     ("exact dedup", first_copies),
+    ("near duplicates", one_per_near_group),
     ("source mix", mixed_sources),
+    ("tokens", tokens),
 ]
 
 #: The rules are learned and the last stages run outside SQL; tests hold run() against brute force.

@@ -12,8 +12,10 @@ from lociq.llm.common import table
 from lociq.llm.exact import exact_groups
 from lociq.llm.main_text import extract_main_text
 from lociq.llm.mixing import MOST, SEED, SHARE, WEIGHTS, Mix
+from lociq.llm.ngram_join import near_duplicates
 from lociq.llm.quality import quality_report
 from lociq.llm.secret_scan import scan
+from lociq.llm.suffix_dedup import remove_repeats
 from lociq.llm.url_rules import judge_urls
 
 
@@ -36,6 +38,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -56,13 +62,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(conversations.unionByName(extra))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_rules, op2_main_text, op3_bpe_round_trip, op5_exact_dedup, op6_secret_scan, op7_source_mix, op8_chat_format, op10_quality_rules)
+    for f in (
+        op1_url_rules, op2_main_text, op3_bpe_round_trip, op4_suffix_dedup, op5_exact_dedup,
+        op6_secret_scan, op7_source_mix, op8_chat_format, op9_ngram_join, op10_quality_rules,
+    )
 }
 
 _OP5 = r"""
