@@ -208,12 +208,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, with_ids: bool = Fal
     Null texts are empty and have no tokens.  Special tokens inside a text count as such, none is
     added.  Rows are independent of each other; nothing is shuffled.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
+    tables = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.read(vocabulary_path)))
     slim = plain(docs, "doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tables.value)
+        encoder = Encoder(Vocabulary(**tables.value))
         for batch in batches:
             ids_col = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -238,12 +238,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, with_ids: bool = Fal
 
 def decode_ids(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give an empty text."""
-    tables = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
+    tables = encoded.sparkSession.sparkContext.broadcast(vars(Vocabulary.read(vocabulary_path)))
     slim = plain(encoded, "doc_id", "ids")
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Encoder(tables.value)
+        decoder = Encoder(Vocabulary(**tables.value))
         for batch in batches:
             texts = [decoder.decode(np.array(i or [], np.int64)).decode() for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -1,14 +1,17 @@
 """N-gram Jaccard join by prefix trees.
 
 A document is the set of its word n-grams in one global order, rare ones first.  Two sets with
-Jaccard J or more share an item among their first ``n - ceil(J n) + 1``, so only those prefixes
-are shuffled, and candidates must share as many prefix items as J demands of them.  Candidate sets
-are then stored in a prefix tree that one set walks: overlaps counted along a shared path are
-counted once, and a subtree is left as soon as what remains cannot reach the bound.
-
-Links matter only as components, so a group is never paired with itself: first every set is tested
-against one other set of its groups, then only sets still in different components meet, and of
-those each group's largest component is only met by the rest.
+Jaccard J or more share many items of their first ``PREFIX`` percent, so only those prefixes are
+shuffled, and a set goes on only if it shares as many prefix items with others as J demands of any
+pair.  Sets that are left are stored in prefix trees that others walk: overlaps counted along a
+shared path are counted once, and a subtree is left as soon as what remains cannot reach the bound.
+
+Links matter only as components, so a group is never paired with itself.  Rounds of sorted
+neighbours come first: sets that share an item are sorted by a min-hash, and neighbours of
+different components are tested.  Then every component that is the largest of some items becomes a
+home, whose trees hold its sets and those of smaller components around it.  A set that is not of
+the home's own component walks the trees of each home with which it shares enough items, and looks
+for one link to each other component.  The rounds only save work, the last step misses no link.
 
 The order comes from bounded statistics of all documents: word frequencies, and a list of n-grams
 that very many documents have, which go last.  Equal sets are one node.
@@ -32,6 +35,13 @@ from lociq.llm.packed import Substrings, heavy_hitters, mixed, packed, runs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N, PERCENT = 4, 85
+#: Share of a set that is shuffled; more than the least that J needs, which makes the count of
+#: shared items telling.
+PREFIX = 20
+#: An item with sets of so many components is worth another round of neighbours; most rounds.
+CROWD, ROUNDS = 12, 2
+#: Neighbours each set is tested against in a round.
+NEIGHBOURS = 3
 #: An n-gram that at least so many documents have goes last in the order (more on large inputs).
 FREQUENT = 32
 #: A word is listed with its frequency from this share on; others count as just below.
@@ -114,7 +124,6 @@ class Order:
         self.frequent = frequent
         self.place = np.empty(len(frequent), np.int64)
         self.place[np.lexsort((frequent, counts))] = np.arange(len(frequent))
-        self.most = int(counts.max(initial=0))
         # Quarter bits, whole numbers: an n-gram's class is the same wherever it stands.
         self.words, self.bits = words, np.round(4 * np.log2(np.maximum(shares, WORD_SHARE) / WORD_SHARE)).astype(np.int64)
 
@@ -160,11 +169,18 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def prefix_length(n: int, percent: int) -> int:
+    return n * max(PREFIX, 100 - percent) // 100 + 1
+
+
 # ---- the order's statistics
 
 
-def global_order(docs: DataFrame, n: int, stages: Stages) -> Order:
-    """Word shares and frequent n-grams over all documents; rare ones are dropped inside tasks."""
+def global_order(docs: DataFrame, n: int, stages: Stages) -> dict[str, np.ndarray]:
+    """What :class:`Order` is made of: word shares and frequent n-grams over all documents.
+
+    Rare ones are dropped inside tasks.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {"word": [], "gram": []}
@@ -201,7 +217,7 @@ def global_order(docs: DataFrame, n: int, stages: Stages) -> Order:
     words, n_words, total = heavy_hitters(counted.where("kind = 'word'").drop("kind"), 2)
     listed = n_words >= max(2, total * WORD_SHARE)
     stages.drop("counted")
-    return Order(grams, n_grams, words[listed], n_words[listed] / max(1, total))
+    return {"frequent": grams, "counts": n_grams, "words": words[listed], "shares": n_words[listed] / max(1, total)}
 
 
 def _once(doc: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -216,41 +232,55 @@ def _once(doc: np.ndarray, grams: np.ndarray) -> np.ndarray:
 # ---- prefixes and candidates
 
 
-def _need(nx: Column, ny: Column, percent: int) -> Column:
+def _rest(n: str, percent: int) -> Column:
+    return F.expr(f"{n} - {n} * {max(PREFIX, 100 - percent)} div 100 - 1")
+
+
+def _need(percent: int) -> Column:
     """Prefix items two sets must share: their least overlap, less what lies past the prefixes."""
     overlap = F.expr(f"({percent} * (nx + ny) + {percent + 99}) div {percent + 100}")
-    rest = F.greatest(F.expr(f"({percent} * nx + 99) div 100 - 1"), F.expr(f"({percent} * ny + 99) div 100 - 1"))
-    return F.greatest(F.lit(1), overlap - rest)
+    return F.greatest(F.lit(1), overlap - F.greatest(_rest("nx", percent), _rest("ny", percent)))
+
+
+def _busy(held: DataFrame, percent: int) -> DataFrame:
+    """Rows of nodes that share enough items with others, for items that two such nodes have.
+
+    The least count over all partner sizes is that of the smallest partner.
+    """
+    least = F.expr(f"greatest(1, ({max(0, percent + PREFIX - 100)} * n + 99) div 100)")
+    nodes = held.groupBy("node", "n").count().where(F.col("count") >= least).select("node")
+    left = held.join(nodes, "node", "left_semi")
+    shared = left.groupBy("item").count().where("count > 1").select("item")
+    return left.join(shared, "item", "left_semi")
 
 
-def _likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(x, nx, y, ny)`` whose sizes and shared prefix items allow the bound."""
-    sized = pairs.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    return sized.groupBy("x", "nx", "y", "ny").count().where(F.col("count") >= _need(F.col("nx"), F.col("ny"), percent))
+def sorted_leaves(leaves: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, np.ndarray]]:
+    """Sets ``(node, component, items)`` as leaves of a prefix tree, from left to right."""
+    return sorted(leaves, key=lambda leaf: leaf[2].astype(">i8").tobytes())
 
 
-def tree_links(x: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int) -> list[int]:
-    """Members with Jaccard ``percent`` or more to ``x``.
+def tree_links(x: np.ndarray, component: int, leaves: list[tuple[int, int, np.ndarray]], percent: int) -> list[int]:
+    """Leaves with Jaccard ``percent`` or more to ``x``: one of each component but its own.
 
-    Members in lexicographic order are the tree's leaves in order; two neighbours share the path of
-    their common prefix, whose overlaps with ``x`` are not counted again.
+    Two neighbouring leaves share the path of their common prefix, whose overlaps with ``x`` are
+    not counted again.
     """
-    leaves = sorted(((items.astype(">i8").tobytes(), node, items) for node, items in members), key=lambda m: m[0])
     least = least_overlap(len(x), percent)
-    found: list[int] = []
+    known, found = {component}, []
     before = np.empty(0, np.int64)
     path = np.zeros(1, np.int64)  # overlap of the path's first k items with x
     dead = None  # depth from which the last path cannot reach the bound
-    for _, node, items in leaves:
+    for node, other, items in leaves:
+        if other in known or 100 * min(len(x), len(items)) < percent * max(len(x), len(items)):
+            continue
         m = min(len(before), len(items))
         differ = np.flatnonzero(before[:m] != items[:m])
         shared = int(differ[0]) if len(differ) else m
         if dead is not None and shared >= dead:
             continue
-        shared = min(shared, len(path) - 1)
         rest = items[shared:]
         at = np.searchsorted(x, rest)
-        hit = (x[np.minimum(at, len(x) - 1)] == rest) if len(x) else np.zeros(len(rest), bool)
+        hit = x[np.minimum(at, len(x) - 1)] == rest
         path = np.concatenate([path[: shared + 1], path[shared] + np.cumsum(hit)])
         before = items
         # What x still has after each item of the path bounds what any leaf below can gain.
@@ -260,43 +290,31 @@ def tree_links(x: np.ndarray, members: list[tuple[int, np.ndarray]], percent: in
         overlap = int(path[-1])
         if 100 * overlap >= percent * (len(x) + len(items) - overlap):
             found.append(node)
+            known.add(other)
     return found
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` that are links, as ``(a, b)``.
-
-    Texts of the nodes concerned are read again, one document for each; a tree of at most about
-    ``TREE`` sets is one group.
-    """
-    sizes = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("members"))
-    slices = F.ceil(F.col("members") / TREE).cast("long")
-    placed = pairs.select("x", "y").join(sizes, "y").withColumn("tree", F.xxhash64("y", F.pmod(F.xxhash64("x"), slices)))
-    roles = placed.select(F.col("x").alias("node"), "tree", F.lit(1).alias("role")).unionByName(
-        placed.select(F.col("y").alias("node"), "tree", F.lit(0).alias("role")).distinct()
-    )
-    trees = roles.groupBy("node").agg(F.collect_list(F.struct("tree", "role")).alias("trees"))
+def full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, order, n: int) -> DataFrame:
+    """``(node, items)``: the whole sets of ``nodes``, from one document each."""
     firsts = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    wanted = trees.join(firsts, "node").select("node", "trees", "row")
-    texts = docs.join(wanted, "row").select("text", "node", "trees")
+    texts = docs.join(nodes.join(firsts, "node"), "row").select("text", "node")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Order(**order.value)
         for batch in batches:
             for start, end in _chunks(batch.column(0)):
                 part = batch.slice(start, end - start)
-                nodes, lists = part.column(1).to_pylist(), part.column(2).to_pylist()
-                rows = [
-                    (t["tree"], t["role"], node, items.tobytes())
-                    for node, trees_of, items in zip(nodes, lists, item_sets(part.column(0), order.value, n))
-                    if set_node(items) == node
-                    for t in trees_of
-                ]
-                if rows:
-                    columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())],
-                        names=["tree", "role", "node", "items"],
-                    )
+                found = [i.tobytes() if set_node(i) == v else None for v, i in zip(part.column(1).to_pylist(), item_sets(part.column(0), own, n))]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], names=["node", "items"])
+
+    return texts.mapInArrow(build, "node long, items binary").where("items is not null").dropDuplicates(["node"])
+
+
+def tree_join(places: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between the sets that walk a tree and its leaves.
+
+    ``places`` has ``node, component, tree, walks``.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "tree"):
@@ -305,18 +323,89 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order, n: int,
             links = []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 group = table.slice(a, b - a)
-                nodes = group.column("node").to_pylist()
-                items = [np.frombuffer(i, np.int64) for i in group.column("items").to_pylist()]
-                role = group.column("role").to_pylist()
-                probe = role.index(0)
-                members = [(v, i) for v, i, r in zip(nodes, items, role) if r]
-                links += [(v, nodes[probe]) for v in tree_links(items[probe], members, percent)]
+                rows = zip(*[group.column(c).to_pylist() for c in ("walks", "node", "component", "items")])
+                rows = [(w, v, c, np.frombuffer(i, np.int64)) for w, v, c, i in rows]
+                leaves = sorted_leaves([(v, c, i) for w, v, c, i in rows if not w])
+                for w, v, c, i in rows:
+                    if w:
+                        links += [(found, v) for found in tree_links(i, c, leaves, percent)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v for v, _ in links], pa.int64()), pa.array([p for _, p in links], pa.int64())], names=["a", "b"]
             )
 
-    built = texts.mapInArrow(build, "tree long, role int, node long, items binary")
-    return built.repartition("tree").sortWithinPartitions("tree", "role").mapInArrow(walk, "a long, b long")
+    placed = places.join(whole, "node").select("tree", "walks", "node", "component", "items")
+    return placed.repartition("tree").sortWithinPartitions("tree", "walks").mapInArrow(walk, "a long, b long")
+
+
+def _pair_trees(pairs: DataFrame) -> DataFrame:
+    """Places for pairs ``(x, y)``: ``y`` walks trees of at most about ``TREE`` of its ``x``."""
+    slices = F.ceil(F.col("members") / TREE).cast("long")
+    placed = pairs.select("x", "y").join(pairs.groupBy("y").agg(F.count(F.lit(1)).alias("members")), "y")
+    placed = placed.select("x", "y", F.xxhash64("y", F.pmod(F.xxhash64("x"), slices)).alias("tree"))
+    places = placed.select(F.col("x").alias("node"), "tree", F.lit(False).alias("walks")).unionByName(
+        placed.select(F.col("y").alias("node"), "tree", F.lit(True).alias("walks")).distinct()
+    )
+    return places.withColumn("component", F.col("node"))
+
+
+def _home_trees(mine: DataFrame, parts: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """Places that bring every pair of different components that may link into one tree.
+
+    Such a pair shares enough items with each other, and so with each other's homes.
+    """
+    apart = stages.keep(mine.join(parts.select("item", "main"), "item"), "apart")
+    homes = apart.groupBy("node", "main").count().groupBy("node").agg(F.max_by("main", F.struct("count", "main")).alias("home"))
+    nodes = stages.keep(apart.select("node", "n", "component").distinct().join(homes, "node"), "nodes")
+    sizes = stages.keep(nodes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), "homes")
+    at_home = apart.select("item", "node", "component").join(nodes.select("node", "home"), "node")
+    there = at_home.groupBy("item", "home").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # A set has to walk where an item is shared with another component.
+    met = apart.select("item", "node", "n", "component").join(there, "item").where(
+        (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+    )
+    least = F.expr(f"greatest(1, ({max(0, percent + PREFIX - 100)} * n + 99) div 100)")
+    walkers = met.groupBy("node", "n", "component", "home").count().where(F.col("count") >= least)
+    own = nodes.select("node", F.col("home").alias("own")).join(sizes.select(F.col("home").alias("own"), F.col("size").alias("own_size")), "own")
+    walkers = walkers.join(own, "node").join(sizes, "home")
+    # At home the sets of the home's component stand still; between homes the smaller one walks.
+    walkers = walkers.where(
+        F.when(F.col("own") == F.col("home"), F.col("component") != F.col("home")).otherwise(
+            F.struct("own_size", "own") < F.struct("size", "home")
+        )
+    )
+    slices = F.ceil(F.col("size") / TREE).cast("long")
+    tree = lambda number: F.xxhash64("home", number)
+    walkers = walkers.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    walkers = stages.keep(walkers.select("node", "component", tree(F.col("slice")).alias("tree"), F.lit(True).alias("walks")), "walkers")
+    leaves = nodes.join(sizes, "home").select(
+        "node", "component", tree(F.pmod(F.xxhash64("node"), slices)).alias("tree"), F.lit(False).alias("walks")
+    )
+    return walkers.unionByName(leaves.join(walkers.select("tree").distinct(), "tree", "left_semi").select(*walkers.columns))
+
+
+def _neighbours(mine: DataFrame, groups: int, number: int, percent: int) -> DataFrame:
+    """Likely pairs ``(x, y)`` of different components, next to each other among an item's nodes.
+
+    Nodes are sorted by the smallest hash of their items, which near duplicates often share.  The
+    first round takes only pairs that are neighbours for a good part of the items they need; in a
+    crowd, where others stand between them, later rounds take each node's most frequent neighbour.
+    """
+    pairs = None
+    for k in range(NEIGHBOURS):
+        seed = F.lit(number * NEIGHBOURS + k)
+        signature = mine.groupBy("node").agg(F.min(F.xxhash64("item", seed)).alias("sign"))
+        signed = mine.join(signature, "node")
+        slice_of = F.when(F.col("item") >= LAST, F.pmod(F.xxhash64("sign"), F.lit(groups))).otherwise(0)
+        window = Window.partitionBy("item", "slice").orderBy("sign", "node")
+        near = F.lag(F.struct("node", "n", "component")).over(window)
+        found = signed.withColumn("slice", slice_of).withColumn("near", near).where("near.component != component").select(
+            F.col("node").alias("x"), F.col("n").alias("nx"), F.col("near.node").alias("y"), F.col("near.n").alias("ny")
+        )
+        found = found.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).groupBy("x", "nx", "y", "ny").count()
+        found = found.where(F.col("count") >= _need(percent)) if number == 0 else found
+        best = found.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+        pairs = best if pairs is None else pairs.unionByName(best)
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -331,22 +420,24 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     stages = Stages(spark, "ngrams")
     # Ids may repeat or be null; a row is known by its id and text.
     rows = plain(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    order = spark.sparkContext.broadcast(global_order(rows, n, stages))
+    statistics = global_order(rows, n, stages)
+    order = spark.sparkContext.broadcast(statistics)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        own = Order(**order.value)
         for batch in batches:
             for start, end in _chunks(batch.column(2)):
                 part = batch.slice(start, end - start)
                 sizes, nodes, items = [], [], []
-                for found in item_sets(part.column(2), order.value, n):
+                for found in item_sets(part.column(2), own, n):
                     sizes.append(len(found))
                     node = set_node(found) if len(found) else None
                     nodes.append(node)
                     # Copies within a task bring their prefix once.
                     new = node is not None and node not in seen
-                    items.append(found[: len(found) - least_overlap(len(found), percent) + 1] if new else None)
+                    items.append(found[: prefix_length(len(found), percent)] if new else None)
                     if new:
                         seen.add(node)
                 yield pa.RecordBatch.from_arrays(
@@ -357,53 +448,43 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     sets = stages.keep(rows.mapInArrow(prefixes, f"doc_id {kind}, row long, n long, node long, items array<long>"), "sets")
 
     # One row per node and prefix item; a frequent item is dealt out over several groups.
-    groups = max(1, order.value.most // ITEM_ROWS)
+    groups = max(1, int(statistics["counts"].max(initial=0)) // ITEM_ROWS)
     held = sets.where("items is not null").select("node", "n", F.explode("items").alias("item"))
     held = held.withColumn("slice", F.when(F.col("item") >= LAST, F.pmod(F.xxhash64("node"), F.lit(groups))).otherwise(0))
-    together, ordered = Window.partitionBy("item", "slice"), Window.partitionBy("item", "slice").orderBy("n", "node")
+    together, ordered = Window.partitionBy("item", "slice"), Window.partitionBy("item", "slice").orderBy("node")
     held = held.select(
         "*",
-        F.first(F.struct("node", "n")).over(ordered).alias("center"),
         (F.lag("node").over(ordered) == F.col("node")).alias("again"),
         (F.min("node").over(together) != F.max("node").over(together)).alias("met"),
     )
-    held = held.where((F.col("met") | (F.col("item") >= LAST)) & ~F.coalesce("again", F.lit(False)))
-    held = stages.keep(held.select("item", "node", "n", F.col("center.node").alias("c"), F.col("center.n").alias("cn")), "held")
-
-    # Every node against the center it shares most prefix items with; centers of one item meet too.
-    stars = held.where("node != c").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("y"), F.col("cn").alias("ny"))
-    heads = held.where((F.col("item") >= LAST) & (F.col("node") == F.col("c")))
-    head = F.first(F.struct("node", "n")).over(Window.partitionBy("item").orderBy("n", "node"))
-    heads = heads.withColumn("h", head).where("node != h.node").select(
-        F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny")
-    )
-    likely = _likely(stars.unionByName(heads), percent)
-    best = likely.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
-    links = stages.keep(verified(stages.keep(best, "stars"), sets, rows, order, n, percent), "links1")
-    labels = stages.keep(components(links), "labels1")
+    held = held.where((F.col("met") | (F.col("item") >= LAST)) & ~F.coalesce("again", F.lit(False))).select("item", "node", "n")
+    held = stages.keep(held, "held")
+    busy = stages.keep(_busy(_busy(held, percent), percent), "busy")
+    whole = stages.keep(full_sets(busy.select("node").distinct(), sets, rows, order, n), "whole")
+
+    links, labels = None, busy.select("node", F.col("node").alias("component")).limit(0)
+    for number in range(ROUNDS + 1):
+        mine = busy.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mine = stages.keep(mine, f"mine{number}")
+        parts = mine.groupBy("item", "component").count().groupBy("item").agg(
+            F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
+        )
+        parts = stages.keep(parts.where("parts > 1"), f"parts{number}")
+        if number == ROUNDS or (number and parts.where(F.col("parts") >= CROWD).isEmpty()):
+            break
+        some = mine if number == 0 else mine.join(parts.where(F.col("parts") >= CROWD).select("item"), "item", "left_semi")
+        pairs = stages.keep(_neighbours(some, groups, number, percent), f"pairs{number}")
+        found = stages.keep(tree_join(_pair_trees(pairs), whole, percent), f"links{number}")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = stages.keep(components(links), f"labels{number}")
 
     # What is left: nodes that share items across components.
-    mine = held.select("item", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mine = stages.keep(mine, "mine")
-    parts = mine.groupBy("item", "component").count().groupBy("item").agg(
-        F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
-    )
-    parts = stages.keep(parts.where("parts > 1").drop("parts"), "parts")
-    mixed_items = mine.join(parts, "item")
-    rest = mixed_items.where("component != main").select("item", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "main")
-    others = mixed_items.select("item", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    meet = rest.join(others, "item").where(
-        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    )
-    # A pair is named the same way round for each of its items.
-    pair = meet.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(
-        F.least("x", "y").alias("x"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("nx"),
-        F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("ny"),
-    )
-    late = stages.keep(_likely(pair, percent).select("x", "y"), "late")
-    if not late.isEmpty():
-        more = stages.keep(verified(late, sets, rows, order, n, percent), "links2")
-        labels = stages.keep(components(links.unionByName(more)), "labels2")
+    places = _home_trees(mine, parts, percent, stages)
+    found = stages.keep(tree_join(places, whole, percent), "links_late")
+    links = found if links is None else links.unionByName(found)
+    labels = stages.keep(components(links), "labels_late")
 
     firsts = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = firsts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
