@@ -387,25 +387,21 @@ def _neighbours(mine: DataFrame, groups: int, number: int, percent: int) -> Data
     """Likely pairs ``(x, y)`` of different components, next to each other among an item's nodes.
 
     Nodes are sorted by the smallest hash of their items, which near duplicates often share.  The
-    first round takes only pairs that are neighbours for a good part of the items they need; in a
-    crowd, where others stand between them, later rounds take each node's most frequent neighbour.
+    first round takes only pairs that are neighbours as often as they need items; in a crowd, where
+    others stand between them, later rounds take each node's most frequent neighbours.
     """
-    pairs = None
-    for k in range(NEIGHBOURS):
-        seed = F.lit(number * NEIGHBOURS + k)
-        signature = mine.groupBy("node").agg(F.min(F.xxhash64("item", seed)).alias("sign"))
-        signed = mine.join(signature, "node")
-        slice_of = F.when(F.col("item") >= LAST, F.pmod(F.xxhash64("sign"), F.lit(groups))).otherwise(0)
-        window = Window.partitionBy("item", "slice").orderBy("sign", "node")
-        near = F.lag(F.struct("node", "n", "component")).over(window)
-        found = signed.withColumn("slice", slice_of).withColumn("near", near).where("near.component != component").select(
-            F.col("node").alias("x"), F.col("n").alias("nx"), F.col("near.node").alias("y"), F.col("near.n").alias("ny")
-        )
-        found = found.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).groupBy("x", "nx", "y", "ny").count()
-        found = found.where(F.col("count") >= _need(percent)) if number == 0 else found
-        best = found.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
-        pairs = best if pairs is None else pairs.unionByName(best)
-    return pairs.distinct()
+    signs = [F.min(F.xxhash64("item", F.lit(number * NEIGHBOURS + k))).alias(f"sign{k}") for k in range(NEIGHBOURS)]
+    signed = mine.join(mine.groupBy("node").agg(*signs), "node")
+    signed = signed.withColumn("slice", F.when(F.col("item") >= LAST, F.pmod(F.xxhash64("sign0"), F.lit(groups))).otherwise(0))
+    here = Window.partitionBy("item", "slice")
+    near = {f"near{k}": F.lag(F.struct("node", "n", "component")).over(here.orderBy(f"sign{k}", "node")) for k in range(NEIGHBOURS)}
+    found = signed.withColumns(near).select("node", "n", "component", F.explode(F.array(*near)).alias("near"))
+    found = found.where("near.component != component")
+    found = found.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("near.node").alias("y"), F.col("near.n").alias("ny"))
+    found = found.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).groupBy("x", "nx", "y", "ny").count()
+    found = found.where(F.col("count") >= _need(percent)) if number == 0 else found
+    best = F.row_number().over(Window.partitionBy("x").orderBy(F.col("count").desc(), "y"))
+    return found.withColumn("best", best).where(F.col("best") <= NEIGHBOURS).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -459,7 +455,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     )
     held = held.where((F.col("met") | (F.col("item") >= LAST)) & ~F.coalesce("again", F.lit(False))).select("item", "node", "n")
     held = stages.keep(held, "held")
-    busy = stages.keep(_busy(_busy(held, percent), percent), "busy")
+    busy = stages.keep(_busy(held, percent), "busy")
     whole = stages.keep(full_sets(busy.select("node").distinct(), sets, rows, order, n), "whole")
 
     links, labels = None, busy.select("node", F.col("node").alias("component")).limit(0)

@@ -100,9 +100,11 @@ def battery(token: Column) -> Column:
     # Under ordinary text the sum of squared frequencies is about 0.065 whatever the alphabet.
     shift = F.greatest(n * (k * 0.065 - 1), F.lit(0.0))
     z_chi = (df + shift - chi) / F.sqrt(2 * (df + 2 * shift))
-    runs = F.regexp_count(token, F.lit("[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+")).cast("double")
-    switches = runs - 1
-    z_runs = (switches - (n - 1) * ORDINARY_SWITCH) / F.sqrt((n - 1) * ORDINARY_SWITCH * (1 - ORDINARY_SWITCH))
+    # Separators join the words of ordinary names; only digits and cases make runs.
+    core = F.regexp_replace(token, "[^0-9A-Za-z]", "")
+    places = F.greatest(F.length(core) - 1, F.lit(1)).cast("double")
+    runs = F.regexp_count(core, F.lit("[0-9]+|[A-Z]+|[a-z]+")).cast("double")
+    z_runs = (runs - 1 - places * ORDINARY_SWITCH) / F.sqrt(places * ORDINARY_SWITCH * (1 - ORDINARY_SWITCH))
     codes = F.transform(letters, lambda c: F.ascii(c).cast("double"))
     mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
     off = F.transform(codes, lambda x: x - mean)

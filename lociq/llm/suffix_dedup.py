@@ -52,9 +52,8 @@ def place_of(start: np.ndarray, size: np.ndarray, off: np.ndarray) -> np.ndarray
     return (start << 20) | (size << 10) | off
 
 
-START = F.expr("cast(shiftright(place, 20) as int)")
-SIZE = F.expr("cast(shiftright(place, 10) & 1023 as int)")
-OFF = F.expr("cast(place & 1023 as int)")
+#: The same three numbers, read back in SQL.
+START, SIZE, OFF = "cast(shiftright(place, 20) as int)", "cast(shiftright(place, 10) & 1023 as int)", "cast(place & 1023 as int)"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -280,13 +279,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (F.count(F.lit(1)).over(whole_seg) + F.max("state").over(whole_seg) > 1).alias("full"),
     )
     met = stages.keep(met.where(F.col("mixed") | F.col("full")).drop("state"), "met")
-    span = ["doc_id", "row", START.alias("start"), SIZE.alias("size")]
+    start, size, off = F.expr(START).alias("start"), F.expr(SIZE).alias("size"), F.expr(OFF).alias("off")
+    span = ["doc_id", "row", start, size]
     done = met.where("full").select(*span).unionByName(cuts.where(F.col("state") == COPY).select(*span))
 
     # Different segments of one anchor, one row each, with their bytes.  Single windows need none.
     open_keys = met.where("mixed and not full").select("key").distinct()
     unlike = met.where("mixed and nth = 1").join(open_keys, "key", "left_semi")
-    wanted = unlike.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", START.alias("start"), SIZE.alias("size"), OFF.alias("off"), "full")).alias("parts"))
+    wanted = unlike.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", start, size, off, "full")).alias("parts"))
     wanted = wanted.withColumnRenamed("doc_id", "_id")
     texts = docs.join(wanted, (docs["row"] == wanted["row"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select(
         docs["doc_id"], docs["row"], "text", "parts"

@@ -129,17 +129,18 @@ def judge_urls(
         .withColumns({"rule": rule, "action": action, "tokens": url_tokens(F.col("url"), F.col("host"), F.col("path"))})
     )
     urls = stages.keep(urls.drop("url").withColumn("row", F.monotonically_increasing_id()), "urls")
+    # The URL side grows with the pages and its written size understates it: merge, do not broadcast.
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     known = plain(labels, "doc_id", "quality", "toxic").groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    labelled = stages.keep(urls.join(known, F.col("page_id") == F.col("doc_id")).select("tokens", "bad"), "labelled")
+    labelled = stages.keep(urls.join(known.hint("merge"), F.col("page_id") == F.col("doc_id")).select("tokens", "bad"), "labelled")
     rules = stages.keep(mine_rules(labelled, min_support, min_confidence), "rules")
     index = rule_index(rules, labelled)
 
     probes = urls.where(F.col("rule").isNull()).select(
         "row", "tokens", F.explode("tokens").alias("token"), F.pmod(F.xxhash64("row"), F.lit(SLICES)).cast("int").alias("slice")
     )
-    hits = probes.join(index, ["token", "slice"]).where(F.size(F.array_except("items", "tokens")) == 0)
+    hits = probes.join(index.hint("merge"), ["token", "slice"]).where(F.size(F.array_except("items", "tokens")) == 0)
     best = hits.groupBy("row").agg(F.max_by("rule_id", F.struct("confidence", "support", "rule_id")).alias("mined_rule"))
-    judged = urls.join(best, "row", "left")
+    judged = urls.join(best.hint("merge"), "row", "left")
     verdict = F.coalesce("action", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mined_rule")
