@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lociq.operators.joins import lookup_join
-
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -32,13 +30,15 @@ def without_first_lines(lines: DataFrame, n: int) -> DataFrame:
     """Leave out the first ``n`` lines of every file.
 
     They sit in the split that starts at offset 0, so one small aggregate per file finds them.
+    It has one row per file, no more than the file listing the driver holds anyway, and is
+    broadcast: the lines themselves never move.
     """
     starts = (
         lines.filter(F.col("src_ord.block") == 0)
         .groupBy("file_path")
         .agg(F.min("src_ord.row").alias("_first"))
     )
-    marked = lookup_join(lines, starts, "file_path")
+    marked = lines.join(F.broadcast(starts), "file_path", "left")
     keep = (F.col("src_ord.block") > 0) | (F.col("src_ord.row") >= F.col("_first") + n)
     return marked.filter(keep).drop("_first")
 

@@ -41,11 +41,14 @@ def _records(lines: DataFrame, columns: list[str], sep: str) -> DataFrame:
 
 
 def _header(lines: DataFrame, sep: str) -> list[str]:
-    """Column names from the first line of the first file; one line reaches the driver."""
-    first = lines.filter(F.col("src_ord.block") == 0).orderBy("src_ord").select("value").first()
-    if first is None:
+    """Column names, which all files must share; at most two lines reach the driver."""
+    first = lines.filter(F.col("src_ord.block") == 0).groupBy("file_path").agg(F.min_by("value", "src_ord").alias("_line"))
+    found = first.select("_line").distinct().limit(2).collect()
+    if not found:
         raise ValueError("file has no header line")
-    return [name.strip().strip('"') for name in first[0].split(sep)]
+    if len(found) > 1:
+        raise ValueError("files differ in their header lines")
+    return [name.strip().strip('"') for name in found[0][0].split(sep)]
 
 
 def read_constraint(spark: SparkSession, path: str) -> DataFrame:
