@@ -51,11 +51,11 @@ def _jumps(nodes: DataFrame, stages: Stages) -> list[DataFrame]:
     while (left := jump.where(F.col("up").isNotNull()).count()) not in (0, open_rows):
         open_rows = left
         above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("sum").alias("s"), F.col("steps").alias("n"))
-        jump = jump.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("far").alias("up"),
-            (F.col("sum") + F.coalesce("s", F.lit(0.0))).alias("sum"),
-            (F.col("steps") + F.coalesce("n", F.lit(0))).alias("steps"),
+        # Only messages that are not at their root yet go on.
+        farther = jump.where(F.col("up").isNotNull()).join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("far").alias("up"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("steps") + F.col("n")).alias("steps")
         )
+        jump = farther.unionByName(jump.where(F.col("up").isNull()))
         jump = stages.keep(jump, f"jump{len(tables)}")
         tables.append(jump)
     return tables
