@@ -108,3 +108,17 @@ def test_json_sink_writes_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), None)], "a int, b double, c string")
     sinks.write_json(df, str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).first()[0] == '{"a":1,"b":null,"c":null}'
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("gene\toe_lof\nA\t1\n")
+    (tmp_path / "b.tsv").write_text("oe_lof\tgene\n1\tA\n")
+    with pytest.raises(ValueError, match="header"):
+        tables.read_constraint(spark, str(tmp_path))
+
+
+def test_header_drop_does_not_move_the_lines(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("gene\n" + "A\n" * 1000)
+    lines = without_first_lines(read_lines(spark, str(tmp_path)), 1)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert lines.count() == 1000 and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
