@@ -95,31 +95,40 @@ def _(t: Tables):
     return sampling.noise_symptoms(_sick(t), pool, _SEED, ["src_ord", "disease_id", "hpo_id"])
 
 
-def _foreign_sql(pool: str, tag: str, n: int, spare: int) -> str:
-    return f"""WITH {_drawn(pool, ["variant_id", "gene_symbol"], tag, str(n + spare))}
-        SELECT patient_id, variant_id, gene_symbol, place FROM (SELECT a.patient_id, p.variant_id, p.gene_symbol,
-          row_number() OVER (PARTITION BY a.patient_id ORDER BY a.draw) AS place FROM asked a JOIN pool p ON p.nth = a.nth
-          WHERE p.gene_symbol IS DISTINCT FROM a.causal_gene AND p.variant_id IS DISTINCT FROM a.causal_variant_id) WHERE place <= {n}"""
+def _foreign_sql(pool: str, tag: str, n: int) -> str:
+    gene = "coalesce('=' || gene_symbol, '')"
+    return f"""WITH pool AS (SELECT *, {gene} AS gene, row_number() OVER (ORDER BY {gene}, {order(_SEED, "variant_id || '|' || gene_symbol")}, variant_id, gene_symbol) - 1 AS nth FROM {pool}),
+        blocks AS (SELECT gene, min(nth) AS start, count(*) AS length FROM pool GROUP BY 1),
+        listed AS (SELECT variant_id, count(*) AS listed FROM pool GROUP BY 1),
+        asked AS (SELECT a.*, coalesce(b.start, 0) AS start, coalesce(b.length, 0) AS length, (SELECT count(*) FROM pool) - coalesce(b.length, 0) AS places,
+            {n} + coalesce(l.listed, 0) AS wanted FROM {_SICK} a LEFT JOIN blocks b ON b.gene = coalesce('=' || a.causal_gene, '')
+            LEFT JOIN listed l ON l.variant_id IS NOT DISTINCT FROM a.causal_variant_id),
+        dealt AS (SELECT *, unnest(range(0, least(wanted, places)::BIGINT)) AS draw FROM asked WHERE places > 0),
+        drawn AS (SELECT *, ({number(_SEED, f"'{tag}|' || patient_id")} + draw * {sampling.STEPS}[1 + {number(_SEED, f"'step|{tag}|' || patient_id")} % {len(sampling.STEPS)}]) % places AS i FROM dealt)
+        SELECT patient_id, variant_id, gene_symbol, place FROM (SELECT d.patient_id, p.variant_id, p.gene_symbol,
+          row_number() OVER (PARTITION BY d.patient_id ORDER BY d.draw) AS place FROM drawn d
+          JOIN pool p ON p.nth = CASE WHEN d.i < d.start THEN d.i ELSE d.i + d.length END
+          WHERE p.variant_id IS DISTINCT FROM d.causal_variant_id) WHERE place <= {n}"""
 
 
 @query(
     "m4_hard_negative_draws",
-    _foreign_sql("(SELECT variant_id, gene_symbol FROM @sites@ WHERE clinvar_significance IN ('Uncertain_significance', 'Conflicting'))", "uncertain", 3, 2),
+    _foreign_sql("(SELECT variant_id, gene_symbol FROM @sites@ WHERE clinvar_significance IN ('Uncertain_significance', 'Conflicting'))", "uncertain", 3),
 )
 def _(t: Tables):
     pool = cohort.candidate_pools(sites(t))["uncertain"].select("variant_id", "gene_symbol")
-    out = sampling.foreign_draws(_sick(t), pool, ["variant_id", "gene_symbol"], 3, 2, _SEED, "uncertain")
+    out = sampling.foreign_draws(_sick(t), pool, ["variant_id", "gene_symbol"], 3, _SEED, "uncertain")
     return out.withColumnRenamed("_place", "place")
 
 
 @query(
     "m5_genic_background_draws",
-    _foreign_sql("(SELECT variant_id, min(gene_symbol) AS gene_symbol FROM @population_overlaps@ WHERE variant_id IS NOT NULL GROUP BY 1)", "genic", 30, 5),
+    _foreign_sql("(SELECT variant_id, min(gene_symbol) AS gene_symbol FROM @population_overlaps@ WHERE variant_id IS NOT NULL GROUP BY 1)", "genic", 30),
 )
 def _(t: Tables):
     pairs = gene_overlaps(population(t), genes(t))
     pool = first_per_key(pairs, ["variant_id"], [F.asc("gene_symbol")]).select("variant_id", "gene_symbol")
-    out = sampling.foreign_draws(_sick(t), pool, ["variant_id", "gene_symbol"], 30, 5, _SEED, "genic")
+    out = sampling.foreign_draws(_sick(t), pool, ["variant_id", "gene_symbol"], 30, _SEED, "genic")
     return out.withColumnRenamed("_place", "place")
 
 

@@ -24,6 +24,9 @@ PHENOTYPE_TIERS = {
     "poorly_phenotyped": {"probability": 0.3, "keep_fraction": (0.15, 0.4), "noise_symptoms": (2, 5)},
 }
 
+#: Primes just below 2**40, more than any pool has rows.
+STEPS = [2**40 - 87, 2**40 - 167, 2**40 - 195, 2**40 - 203]
+
 
 def capped_sample(
     df: DataFrame, group: str, row_key: Sequence[str], n: int, max_per_group: int, seed: int, place: str = "sample_ord"
@@ -144,20 +147,35 @@ def noise_symptoms(patients: DataFrame, pool: DataFrame, seed: int, row_key: Seq
     return drawn.select("patient_id", "hpo_id").distinct()
 
 
-def foreign_draws(
-    patients: DataFrame, pool: DataFrame, row_key: Sequence[str], n: int, spare: int, seed: int, tag: str
-) -> DataFrame:
-    """Up to ``n`` pool rows per patient outside the causal gene and variant.
+def _null_safe(text: str) -> Column:
+    """A join key under which nulls meet."""
+    return F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit(""))
+
+
+def foreign_draws(patients: DataFrame, pool: DataFrame, row_key: Sequence[str], n: int, seed: int, tag: str) -> DataFrame:
+    """``n`` pool rows per patient outside the causal gene and variant, or all of them if fewer.
 
-    ``n + spare`` rows are drawn first and the causal ones left out afterwards.
+    The pool is numbered gene by gene, so what a patient may draw is all places but one block.
+    Places are a hashed start and multiples of one of ``STEPS``: a prime above the number of
+    places meets none twice.  The causal variant may be listed under other genes too; as many
+    more places are drawn as it has rows, and its rows left out.
     """
-    numbered, size = number_pool(pool, row_key, seed)
-    drawn = draw(
-        patients.select("patient_id", "causal_gene", "causal_variant_id"), numbered, size, F.lit(n + spare), seed, tag
-    )
-    foreign = drawn.filter(
-        ~F.equal_null("gene_symbol", "causal_gene") & ~F.equal_null("variant_id", "causal_variant_id")
-    )
+    keys = [F.col(k) for k in row_key]
+    size = pool.count()
+    gened = pool.withColumn("_gene", _null_safe("gene_symbol"))
+    numbered = rank_rows(gened, [], [F.asc("_gene"), order_hash(seed, *keys), *keys], "_nth", largest=size)
+    numbered = staged(numbered.withColumn("_nth", F.col("_nth") - 1), "pool")
+    blocks = numbered.groupBy("_gene").agg(F.min("_nth").alias("_start"), F.count(F.lit(1)).alias("_length"))
+    listed = numbered.groupBy(_null_safe("variant_id").alias("_variant")).agg(F.count(F.lit(1)).alias("_listed"))
+    asked = patients.select("patient_id", "causal_variant_id", _null_safe("causal_gene").alias("_gene"), _null_safe("causal_variant_id").alias("_variant"))
+    asked = lookup_join(lookup_join(asked, blocks, "_gene"), listed, "_variant").na.fill(0, ["_start", "_length", "_listed"])
+    asked = asked.withColumn("_places", F.lit(size) - F.col("_length")).filter("_places > 0")
+    step = F.element_at(F.array(*[F.lit(s) for s in STEPS]), (hash_number(seed, F.lit("step"), F.lit(tag), F.col("patient_id")) % len(STEPS) + 1).cast("int"))
+    drawn = asked.withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(n) + F.col("_listed"), F.col("_places")) - 1)))
+    place = (hash_number(seed, F.lit(tag), F.col("patient_id")) + F.col("_draw") * step) % F.col("_places")
+    drawn = drawn.withColumn("_nth", place).withColumn("_nth", F.col("_nth") + F.when(F.col("_nth") < F.col("_start"), 0).otherwise(F.col("_length")))
+    found = lookup_join(drawn.select("patient_id", "causal_variant_id", "_draw", "_nth"), numbered, ["_nth"], "inner")
+    foreign = found.filter(~F.equal_null("variant_id", "causal_variant_id"))
     return top_per_key(foreign, ["patient_id"], [F.asc("_draw")], n, rank="_place").select(
         "patient_id", "variant_id", "gene_symbol", "_place"
     )

@@ -20,7 +20,6 @@ SNV_PATIENTS, CNV_PATIENTS, MAX_PER_GENE = 5000, 1000, 3
 SNV_BACKGROUND, UNCERTAIN_NEGATIVES, PATHOGENIC_NEGATIVES, MIN_SHARED = 100, 3, 2, 2
 CNV_BACKGROUND, CNV_NEGATIVES, GENIC_SHARE = 30, 3, 0.57
 CNV_KEEP_FRACTION, CNV_NOISE = (0.6, 0.9), (0, 2)
-OVERSAMPLE, SPARE_HARD, SPARE_FILL = 1.2, 2, 5
 MENDELIAN = [clinical.CONFIRMED, clinical.UNCONFIRMED]
 
 
@@ -67,10 +66,10 @@ _CAUSAL = [
 
 def _patients(eligible: DataFrame, row_key: list[str], pairs: DataFrame, n: int, seed: int) -> DataFrame:
     """Up to ``n`` causal rows whose disease has symptoms, numbered in sample order."""
-    sampled = sampling.capped_sample(eligible, "gene_symbol", row_key, int(n * OVERSAMPLE), MAX_PER_GENE, seed)
-    ided = sampled.withColumn("disease_id", disease_id(F.col("phenotype_mim_number")))
+    ided = eligible.withColumn("disease_id", disease_id(F.col("phenotype_mim_number")))
     usable = lookup_join(ided, pairs.select("disease_id").distinct(), "disease_id", "left_semi")
-    numbered = rank_rows(usable, [], [F.asc("sample_ord")], "patient_id").filter(F.col("patient_id") <= n)
+    sampled = sampling.capped_sample(usable, "gene_symbol", row_key, n, MAX_PER_GENE, seed)
+    numbered = rank_rows(sampled, [], [F.asc("sample_ord")], "patient_id")
     return numbered.select(
         "patient_id",
         F.col("variant_id").alias("causal_variant_id"),
@@ -206,15 +205,15 @@ def site_rows(
     pools = {name: pool.select("variant_id", "gene_symbol") for name, pool in candidate_pools(known).items()}
     row = ["variant_id", "gene_symbol"]
     uncertain = sampling.foreign_draws(
-        patients, pools["uncertain"], row, UNCERTAIN_NEGATIVES, SPARE_HARD, seed, "uncertain"
+        patients, pools["uncertain"], row, UNCERTAIN_NEGATIVES, seed, "uncertain"
     )
     pathogenic = sampling.foreign_draws(
-        patients, pools["pathogenic"], row, PATHOGENIC_NEGATIVES, SPARE_HARD, seed, "pathogenic"
+        patients, pools["pathogenic"], row, PATHOGENIC_NEGATIVES, seed, "pathogenic"
     )
     copies = phenocopies(patients, annotations, gene_diseases, known, seed)
     uncertain, pathogenic, copies = (staged(p, "hard") for p in (uncertain, pathogenic, copies))
     hard = uncertain.unionByName(pathogenic).unionByName(copies)
-    general = sampling.foreign_draws(patients, pools["general"], row, background, SPARE_FILL, seed, "general")
+    general = sampling.foreign_draws(patients, pools["general"], row, background, seed, "general")
     general = _fill(general, hard, background)
     tagged = [p.withColumn("is_hard_negative", F.lit(1)) for p in (uncertain, pathogenic, copies)]
     chosen = sampling.first_pool_wins([*tagged, general.withColumn("is_hard_negative", F.lit(0))])
@@ -276,10 +275,10 @@ def deletion_rows(
         .select("variant_id", "gene_symbol")
     )
     row = ["variant_id", "gene_symbol"]
-    hard = staged(sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, SPARE_HARD, seed, "hard"), "hard")
+    hard = staged(sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, seed, "hard"), "hard")
 
-    genic = sampling.foreign_draws(patients, genic_pool, row, background, SPARE_FILL, seed, "genic")
-    inter = sampling.foreign_draws(patients, inter_pool, row, background, SPARE_FILL, seed, "intergenic")
+    genic = sampling.foreign_draws(patients, genic_pool, row, background, seed, "genic")
+    inter = sampling.foreign_draws(patients, inter_pool, row, background, seed, "intergenic")
     used = hard.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_used"))
     left = F.lit(background) - F.coalesce("_used", F.lit(0))
     genic_room = F.floor(left * F.lit(GENIC_SHARE))

@@ -38,19 +38,34 @@ def test_draws_are_distinct_and_foreign(spark):
         F.col("id").alias("patient_id"), F.concat(F.lit("G"), F.col("id") % 3).alias("causal_gene"), F.lit("v1").alias("causal_variant_id")
     )
     pool = spark.range(60).select(F.concat(F.lit("v"), "id").alias("variant_id"), F.concat(F.lit("G"), F.col("id") % 5).alias("gene_symbol"))
-    out = sampling.foreign_draws(patients, pool, ["variant_id", "gene_symbol"], 4, 2, 7, "t")
+    out = sampling.foreign_draws(patients, pool, ["variant_id", "gene_symbol"], 4, 7, "t")
     joined = out.join(patients, "patient_id")
     assert joined.filter("gene_symbol = causal_gene or variant_id = 'v1'").isEmpty()
     sizes = out.groupBy("patient_id").agg(F.count("*").alias("n"), F.count_distinct("variant_id").alias("d")).collect()
-    assert len(sizes) == 30 and all(r.n == r.d <= 4 for r in sizes)
+    assert len(sizes) == 30 and all(r.n == r.d == 4 for r in sizes)
 
 
 def test_draws_from_a_pool_smaller_than_asked(spark):
     patients = spark.createDataFrame([(1, "A", "x")], "patient_id long, causal_gene string, causal_variant_id string")
     pool = spark.createDataFrame([("v1", "B"), ("v2", "A")], "variant_id string, gene_symbol string")
-    out = sampling.foreign_draws(patients, pool, ["variant_id", "gene_symbol"], 5, 2, 7, "t")
+    out = sampling.foreign_draws(patients, pool, ["variant_id", "gene_symbol"], 5, 7, "t")
     assert [r.variant_id for r in out.collect()] == ["v1"]
-    assert sampling.foreign_draws(patients, pool.limit(0), ["variant_id", "gene_symbol"], 5, 2, 7, "t").isEmpty()
+    assert sampling.foreign_draws(patients, pool.limit(0), ["variant_id", "gene_symbol"], 5, 7, "t").isEmpty()
+
+
+def test_every_patient_gets_all_that_is_asked(spark):
+    """Half of the pool is the causal gene's, and the causal variant stands under other genes too."""
+    patients = spark.range(200).select(
+        F.col("id").alias("patient_id"), F.lit("G").alias("causal_gene"), F.lit("v3").alias("causal_variant_id")
+    )
+    pool = spark.range(40).select(
+        F.concat(F.lit("v"), F.when(F.col("id") < 6, 3).otherwise(F.col("id"))).alias("variant_id"),
+        F.when(F.col("id") % 2 == 0, "G").when(F.col("id") < 39, F.concat(F.lit("F"), "id")).alias("gene_symbol"),
+    )
+    for n in (3, 17, 30):
+        sizes = sampling.foreign_draws(patients, pool, ["variant_id", "gene_symbol"], n, 7, "t").groupBy("patient_id")
+        sizes = sizes.agg(F.count("*").alias("n"), F.count_distinct("variant_id").alias("d")).collect()
+        assert len(sizes) == 200 and all(r.n == r.d == min(n, 17) for r in sizes)
 
 
 def tables(spark, seed=4):
