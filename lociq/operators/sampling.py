@@ -181,13 +181,19 @@ def foreign_draws(patients: DataFrame, pool: DataFrame, row_key: Sequence[str],
     )
 
 
-def first_pool_wins(pools: Sequence[DataFrame]) -> DataFrame:
-    """Union of pools; a variant listed for a patient by several pools stays in the first."""
+def first_pool_wins(pools: Sequence[DataFrame], total: int | None = None) -> DataFrame:
+    """Union of pools; a variant listed for a patient by several pools stays in the first.
+
+    With ``total``, the first so many of a patient's variants stay, earlier pools first.
+    """
     out = None
     for priority, pool in enumerate(pools):
         tagged = pool.withColumn("_priority", F.lit(priority))
         out = tagged if out is None else out.unionByName(tagged)
-    kept = first_per_key(out, ["patient_id", "variant_id"], [F.asc("_priority"), F.asc("_place")])
+    order = [F.asc("_priority"), F.asc("_place")]
+    kept = first_per_key(out, ["patient_id", "variant_id"], order)
+    if total is not None:
+        kept = top_per_key(kept, ["patient_id"], [*order, F.asc("variant_id")], total, rank="_nth").drop("_nth")
     return kept.drop("_priority", "_place")
 
 

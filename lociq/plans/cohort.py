@@ -131,13 +131,6 @@ def phenocopies(patients: DataFrame, annotations: DataFrame, gene_diseases: Data
     )
 
 
-def _fill(drawn: DataFrame, hard: DataFrame, total: int) -> DataFrame:
-    """Cut a fill pool to what each patient's hard negatives leave of ``total``."""
-    used = hard.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_used"))
-    room = F.lit(total) - F.coalesce("_used", F.lit(0))
-    return lookup_join(drawn, used, "patient_id").filter(F.col("_place") <= room).drop("_used")
-
-
 def _rows(patients: DataFrame, background: DataFrame, causal_zygosity, other_zygosity) -> DataFrame:
     causal = patients.select(
         "patient_id",
@@ -199,8 +192,8 @@ def site_rows(
     seed: int = 42,
     background: int = SNV_BACKGROUND,
 ) -> DataFrame:
-    """Causal variant and background of every patient.  Hard negatives are written out: they
-    are counted for the fill and then united with it."""
+    """Causal variant and background of every patient: hard negatives, then general ones up to
+    ``background`` rows, counted after a variant's second listing is left out."""
     known = staged(known.select("variant_id", "gene_symbol", "clinvar_significance"), "known")
     pools = {name: pool.select("variant_id", "gene_symbol") for name, pool in candidate_pools(known).items()}
     row = ["variant_id", "gene_symbol"]
@@ -211,12 +204,9 @@ def site_rows(
         patients, pools["pathogenic"], row, PATHOGENIC_NEGATIVES, seed, "pathogenic"
     )
     copies = phenocopies(patients, annotations, gene_diseases, known, seed)
-    uncertain, pathogenic, copies = (staged(p, "hard") for p in (uncertain, pathogenic, copies))
-    hard = uncertain.unionByName(pathogenic).unionByName(copies)
     general = sampling.foreign_draws(patients, pools["general"], row, background, seed, "general")
-    general = _fill(general, hard, background)
     tagged = [p.withColumn("is_hard_negative", F.lit(1)) for p in (uncertain, pathogenic, copies)]
-    chosen = sampling.first_pool_wins([*tagged, general.withColumn("is_hard_negative", F.lit(0))])
+    chosen = sampling.first_pool_wins([*tagged, general.withColumn("is_hard_negative", F.lit(0))], background)
     chosen = lookup_join(chosen, gene_inheritance(gene_diseases), "gene_symbol")
     return _rows(
         patients,
