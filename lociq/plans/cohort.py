@@ -12,7 +12,7 @@ from lociq.operators.annotate import without_match
 from lociq.operators.dedupe import most_dosage_sensitive
 from lociq.operators.joins import lookup_join
 from lociq.operators.phenotype import disease_symptoms, similar_diseases, usable_annotations
-from lociq.operators.ranking import first_per_key, rank_rows
+from lociq.operators.ranking import first_per_key, rank_rows, top_per_key
 from lociq.session import staged
 
 # Cohort sizes.
@@ -265,9 +265,14 @@ def deletion_rows(
         .select("variant_id", "gene_symbol")
     )
     row = ["variant_id", "gene_symbol"]
-    hard = staged(sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, seed, "hard"), "hard")
+    hard = sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, seed, "hard")
+    hard = staged(first_per_key(hard, ["patient_id", "variant_id"], [F.asc("_place")]), "hard")
 
+    # A deletion that is a hard negative already takes no place among the genic ones.
     genic = sampling.foreign_draws(patients, genic_pool, row, background, seed, "genic")
+    genic = lookup_join(genic, hard.select("patient_id", "variant_id"), ["patient_id", "variant_id"], "left_anti")
+    genic = top_per_key(genic, ["patient_id"], [F.asc("_place")], background, rank="_nth").drop("_place")
+    genic = genic.withColumnRenamed("_nth", "_place")
     inter = sampling.foreign_draws(patients, inter_pool, row, background, seed, "intergenic")
     used = hard.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_used"))
     left = F.lit(background) - F.coalesce("_used", F.lit(0))
