@@ -456,6 +456,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     held = held.where((F.col("met") | (F.col("item") >= LAST)) & ~F.coalesce("again", F.lit(False))).select("item", "node", "n")
     held = stages.keep(held, "held")
     busy = stages.keep(_busy(held, percent), "busy")
+    stages.drop("held")
     whole = stages.keep(full_sets(busy.select("node").distinct(), sets, rows, order, n), "whole")
 
     links, labels = None, busy.select("node", F.col("node").alias("component")).limit(0)
@@ -475,12 +476,15 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
             break
         links = found if links is None else links.unionByName(found)
         labels = stages.keep(components(links), f"labels{number}")
+        stages.drop(f"mine{number}", f"parts{number}", f"pairs{number}")
 
     # What is left: nodes that share items across components.
     places = _home_trees(mine, parts, percent, stages)
     found = stages.keep(tree_join(places, whole, percent), "links_late")
     links = found if links is None else links.unionByName(found)
     labels = stages.keep(components(links), "labels_late")
+    # Only these two are read again.
+    stages.drop(*(set(stages.paths) - {"sets", "labels_late"}))
 
     firsts = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = firsts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
