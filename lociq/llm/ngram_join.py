@@ -50,6 +50,8 @@ WORD_SHARE = 1 / (1 << 17)
 CHUNK, COUNTED = 4_000_000, 4_000_000
 #: Sets a tree holds; a node with more candidates walks several trees.
 TREE = 500
+#: Words of 64 bits in the bitmap that thins out documents before they are shuffled (2 MB).
+FILTER_WORDS = 1 << 18
 #: Rows of a frequent item that one task looks through.
 ITEM_ROWS = 2_000
 
@@ -294,10 +296,24 @@ def tree_links(x: np.ndarray, component: int, leaves: list[tuple[int, int, np.nd
     return found
 
 
-def full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, order, n: int) -> DataFrame:
+def narrowed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose ``row`` may be one of ``wanted``: all that are, and some others.
+
+    Works before any shuffle by a broadcast bitmap of at most ``FILTER_WORDS`` rows whatever the
+    input, under one bit of each row; with very many rows wanted it just keeps more.
+    """
+    word, bit = F.expr(f"pmod(shiftright(row, 6), {FILTER_WORDS})"), "cast(pmod(row, 64) AS int)"
+    bits = wanted.groupBy(word.alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    found = docs.withColumn("word", word).join(F.broadcast(bits), "word")
+    return found.where(F.expr(f"shiftright(bits, {bit}) & 1L = 1L")).select("row", "text")
+
+
+def full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, order, n: int, stages: Stages) -> DataFrame:
     """``(node, items)``: the whole sets of ``nodes``, from one document each."""
     firsts = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    texts = docs.join(nodes.join(firsts, "node"), "row").select("text", "node")
+    firsts = stages.keep(nodes.join(firsts, "node"), "firsts")
+    # Repeated rows go within their task, the others before the join on the same key.
+    texts = narrowed(docs, firsts).dropDuplicates(["row"]).join(firsts, "row").select("text", "node")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Order(**order.value)
@@ -307,7 +323,7 @@ def full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, order, n: int)
                 found = [i.tobytes() if set_node(i) == v else None for v, i in zip(part.column(1).to_pylist(), item_sets(part.column(0), own, n))]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], names=["node", "items"])
 
-    return texts.mapInArrow(build, "node long, items binary").where("items is not null").dropDuplicates(["node"])
+    return texts.mapInArrow(build, "node long, items binary").where("items is not null")
 
 
 def tree_join(places: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -457,7 +473,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     held = stages.keep(held, "held")
     busy = stages.keep(_busy(held, percent), "busy")
     stages.drop("held")
-    whole = stages.keep(full_sets(busy.select("node").distinct(), sets, rows, order, n), "whole")
+    whole = stages.keep(full_sets(busy.select("node").distinct(), sets, rows, order, n, stages), "whole")
 
     links, labels = None, busy.select("node", F.col("node").alias("component")).limit(0)
     for number in range(ROUNDS + 1):

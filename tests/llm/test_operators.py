@@ -356,6 +356,23 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
 
 
+def test_components_of_a_shuffled_chain(spark):
+    order = np.random.default_rng(5).permutation(300).tolist()
+    links = list(zip(order[:-1], order[1:])) + [(1000, 1001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {1000: 1000, 1001: 1000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_narrowed_keeps_every_wanted_row(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("xxhash64(id) AS row", "cast(id AS string) AS text")
+    wanted = docs.where("cast(text AS int) % 10 = 0").select("row")
+    for words, most in ((ngram_join.FILTER_WORDS, 310), (1, 3000)):
+        monkeypatch.setattr(ngram_join, "FILTER_WORDS", words)
+        kept = {r.text for r in ngram_join.narrowed(docs, wanted).collect()}
+        assert {str(k) for k in range(0, 3000, 10)} <= kept and len(kept) <= most
+
+
 # ---- 10
 
 
