@@ -1,11 +1,14 @@
 """Training, evaluation, explanation and analysis jobs on a cohort built from the given tables.
 
-A short training keeps the whole catalogue within minutes; the library trains 200 rounds.
+Models train the library's 200 rounds, once per configuration: all queries of a session share them.
 Stage tables are written once per data folder, the way the jobs would run one after another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from lociq.catalog.oracles import best_scores
@@ -30,7 +33,6 @@ from lociq.schemas import PREDICTORS
 from lociq.session import scratch_path, staged
 from lociq.sources import vcf
 
-_ROUNDS = 5
 _STAGES: dict[tuple[str, str, str], str] = {}
 _MODELS: dict[tuple[str, str, str], model.RankingModel] = {}
 _IDS = ["patient_id", "variant_id", "gene_symbol"]
@@ -91,8 +93,9 @@ def _once(t: Tables, name: str, fit) -> model.RankingModel:
     return _MODELS[key]
 
 
-def _fitted(t: Tables, kind: str) -> model.RankingModel:
-    return _once(t, kind, lambda: evaluate.fit(_stage(t, kind)[0], kind, rounds=_ROUNDS))
+def _fitted(t: Tables, kind: str, leave_out: Sequence[str] = ()) -> model.RankingModel:
+    name = " ".join([kind, *sorted(leave_out)])
+    return _once(t, name, lambda: evaluate.fit(_stage(t, kind)[0], kind, leave_out))
 
 
 @query("g1_prepared_features")
@@ -115,25 +118,25 @@ def _(t: Tables):
 @query("g4_baseline_comparison")
 def _(t: Tables):
     train, test, _ = _stage(t, "snv")
-    return evaluate.baseline_comparison(train, test, rounds=_ROUNDS)
+    return evaluate.baseline_comparison(train, test, partial(_fitted, t, "snv"))
 
 
 @query("g5_site_ablation_study")
 def _(t: Tables):
     train, test, _ = _stage(t, "snv")
-    return evaluate.ablation_study(train, test, "snv", rounds=_ROUNDS)
+    return evaluate.ablation_study(train, test, "snv", partial(_fitted, t, "snv"))
 
 
 @query("g5_deletion_ablation_study")
 def _(t: Tables):
     train, test, _ = _stage(t, "cnv")
-    return evaluate.ablation_study(train, test, "cnv", rounds=_ROUNDS)
+    return evaluate.ablation_study(train, test, "cnv", partial(_fitted, t, "cnv"))
 
 
 @query("g6_stratified_ablation_study")
 def _(t: Tables):
     train, test, patients = _stage(t, "snv")
-    return evaluate.stratified_ablation_study(train, test, patients, rounds=_ROUNDS)
+    return evaluate.stratified_ablation_study(train, test, patients, partial(_fitted, t, "snv"))
 
 
 @query("g7_feature_contributions")
@@ -145,19 +148,19 @@ def _(t: Tables):
 @query("g8_feature_importance")
 def _(t: Tables):
     train, test, _ = _stage(t, "cnv")
-    return evaluate.explanation_report(train, test, "cnv", rounds=_ROUNDS)[0]
+    return evaluate.explanation_report(train, test, "cnv", fitted=partial(_fitted, t, "cnv"))[0]
 
 
 @query("g8_example_explanations")
 def _(t: Tables):
     train, test, _ = _stage(t, "snv")
-    return evaluate.explanation_report(train, test, "snv", rounds=_ROUNDS)[1]
+    return evaluate.explanation_report(train, test, "snv", fitted=partial(_fitted, t, "snv"))[1]
 
 
 @query("e6_classification_report")
 def _(t: Tables):
     train, test, _ = _stage(t, "snv")
-    return evaluate.classification_report(train, test, "snv", rounds=_ROUNDS)
+    return evaluate.classification_report(train, test, "snv", fitted=partial(_fitted, t, "snv"))
 
 
 @query("e6_evaluation")
@@ -240,7 +243,7 @@ def _live_model(t: Tables, kind: str) -> model.RankingModel:
     train = model.lowest_of_multi_values(_stage(t, kind)[0])
     present = [c for c in names if c in train.columns]
     categories = {"snv": model.SNV_CATEGORIES, "cnv": model.CNV_CATEGORIES}[kind]
-    return _once(t, f"live-{kind}", lambda: model.train(train, present, categories, rounds=_ROUNDS))
+    return _once(t, f"live-{kind}", lambda: model.train(train, present, categories))
 
 
 @query("e1_analyze_sites")

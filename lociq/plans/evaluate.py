@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,6 +41,8 @@ ABLATIONS = {
 }
 _DROP = {"snv": model.SNV_DROP, "cnv": model.CNV_DROP}
 _CATEGORIES = {"snv": model.SNV_CATEGORIES, "cnv": model.CNV_CATEGORIES}
+# A model trained elsewhere, by the features it leaves out; reports that get none train their own.
+Fits = Callable[..., model.RankingModel]
 
 
 def fit(train: DataFrame, kind: str, leave_out: Sequence[str] = (), **settings) -> model.RankingModel:
@@ -79,27 +81,29 @@ def _stack(rows: list[DataFrame]) -> DataFrame:
     return out
 
 
-def ablation_study(train: DataFrame, test: DataFrame, kind: str, **settings) -> DataFrame:
+def ablation_study(train: DataFrame, test: DataFrame, kind: str, fitted: Fits | None = None, **settings) -> DataFrame:
     """One row of metrics per configuration."""
     rows = []
     for name, leave_out in ABLATIONS[kind].items():
-        fitted = fit(train, kind, leave_out, **settings)
-        rows.append(evaluate(scored_test(fitted, test)).select(F.lit(name).alias("ablation"), "*"))
+        one = fitted(leave_out) if fitted else fit(train, kind, leave_out, **settings)
+        rows.append(evaluate(scored_test(one, test)).select(F.lit(name).alias("ablation"), "*"))
     return _stack(rows)
 
 
-def stratified_ablation_study(train: DataFrame, test: DataFrame, tiers: DataFrame, **settings) -> DataFrame:
+def stratified_ablation_study(
+    train: DataFrame, test: DataFrame, tiers: DataFrame, fitted: Fits | None = None, **settings
+) -> DataFrame:
     """Metrics per configuration and tier (point variants)."""
     rows = []
     for name, leave_out in ABLATIONS["snv"].items():
-        fitted = fit(train, "snv", leave_out, **settings)
-        rows.append(evaluate_by_tier(scored_test(fitted, test), tiers).select(F.lit(name).alias("ablation"), "*"))
+        one = fitted(leave_out) if fitted else fit(train, "snv", leave_out, **settings)
+        rows.append(evaluate_by_tier(scored_test(one, test), tiers).select(F.lit(name).alias("ablation"), "*"))
     return _stack(rows)
 
 
-def baseline_comparison(train: DataFrame, test: DataFrame, **settings) -> DataFrame:
+def baseline_comparison(train: DataFrame, test: DataFrame, fitted: Fits | None = None, **settings) -> DataFrame:
     """Full model against ranking by one score alone."""
-    scored = scored_test(fit(train, "snv", **settings), test, "full_model_score")
+    scored = scored_test(fitted() if fitted else fit(train, "snv", **settings), test, "full_model_score")
     scored = scored.withColumn("cadd", F.col("CADD_phred").cast("string").try_cast("double"))
     return metrics.compare_rankings(
         scored,
@@ -111,22 +115,24 @@ def baseline_comparison(train: DataFrame, test: DataFrame, **settings) -> DataFr
     )
 
 
-def classification_report(train: DataFrame, test: DataFrame, kind: str, threshold: float = 0.5, **settings) -> DataFrame:
-    scored = scored_test(fit(train, kind, **settings), test)
+def classification_report(
+    train: DataFrame, test: DataFrame, kind: str, threshold: float = 0.5, fitted: Fits | None = None, **settings
+) -> DataFrame:
+    scored = scored_test(fitted() if fitted else fit(train, kind, **settings), test)
     report = metrics.classification_metrics(scored, "relevance_score", model.LABEL, threshold)
     return report.select(F.lit(kind).alias("model"), "*")
 
 
 def explanation_report(
-    train: DataFrame, test: DataFrame, kind: str, examples: int = 3, **settings
+    train: DataFrame, test: DataFrame, kind: str, examples: int = 3, fitted: Fits | None = None, **settings
 ) -> tuple[DataFrame, DataFrame]:
     """(importance per feature, evidence text of the first ``examples`` causal test rows)."""
-    fitted = fit(train, kind, **settings)
+    full = fitted() if fitted else fit(train, kind, **settings)
     ready = model.lowest_of_multi_values(test)
     ids = ["patient_id", "variant_id", "gene_symbol"]
-    importance = metrics.global_importance(explain.contributions(fitted, ready, ids))
+    importance = metrics.global_importance(explain.contributions(full, ready, ids))
     causal = ready.filter(F.col(model.LABEL) == 1)
     order = [F.asc("patient_id"), F.asc("variant_id"), F.asc_nulls_last("gene_symbol")]
     few = causal.orderBy(*order).limit(examples)
-    shown = explain.top_evidence(explain.contributions(fitted, few, ids), ids)
+    shown = explain.top_evidence(explain.contributions(full, few, ids), ids)
     return importance, explain.evidence_text(shown, ids)
