@@ -27,8 +27,11 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_per_near_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one_per_group(docs)
+    """One document of each group of near duplicates: four fifths of their five-word n-grams shared.
+
+    The four words and 85 % of ``op9_ngram_join`` are that query's own.
+    """
+    return keep_one_per_group(docs, n=5, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

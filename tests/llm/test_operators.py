@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from brute import base_secrets, base_statistics, listed, near_groups, repeats, sha, shingle_set
 from conftest import EDGES
 from lociq.llm import chat, main_text, ngram_join, quality, secret_scan, suffix_dedup, url_rules
@@ -324,6 +325,23 @@ def test_one_document_of_each_group_stays(edges):
     assert {r.doc_id for r in kept.collect()} == groups
 
 
+def test_pipeline_groups_by_five_words_and_four_fifths(spark, edges, some, folder, monkeypatch):
+    """Near copies at 0.80 of five words, which have 0.838 of four; and brute force on other texts."""
+    monkeypatch.setattr("brute.shingle_set", lambda text: shingle_set(text, 5))
+    words = [f"w{i}" for i in range(94)]
+    changed = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+    pairs = [(1, changed()), (2, changed(20, 60)), (3, changed(20, 40, 70)), (4, changed(5, 33, 50, 80))]
+    rng = np.random.default_rng(4)
+    for i in range(90):
+        pairs.append((100 + i, changed(*rng.choice(94, 1 + i % 3, replace=False).tolist()).replace("w", "v")))
+    made = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.one_per_near_group(spark, made, folder).collect()}
+    assert 2 not in kept and {1, 3, 4} <= kept and kept == {c for _, _, c in near_groups(pairs, 80)}
+    for docs, texts in ((edges, PAIRS), some):
+        wanted = {c for _, _, c in near_groups(texts, 80)}
+        assert {r.doc_id for r in corpus_pipeline.one_per_near_group(spark, docs, folder).collect()} == wanted
+
+
 @given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=9), min_size=1, max_size=10), st.sets(st.integers(0, 14), min_size=1, max_size=9))
 @settings(max_examples=300, deadline=None)
 def test_a_walk_finds_what_pairs_find(members, own):
