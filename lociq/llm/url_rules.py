@@ -1,14 +1,16 @@
 """URL filters: listed rules, and association rules mined from labelled pages.
 
-A URL is a set of tokens: its host and parent domains, its leading path segments and the names of
-its query fields.  FP-growth counts token combinations among labelled URLs; a combination whose
+A URL is a set of tokens: its host and parent domains, its path segments and the names of its query
+fields, however many.  FP-growth counts token combinations among labelled URLs; a combination whose
 URLs are bad with enough confidence, and often enough, is a rule, unless a smaller combination is
-at least as confident.  Rules match by an inverted index: each is filed under its rarest token, a
+at least as confident.  Tokens that the same labelled URLs have are counted as one, so a long URL
+that many share does not multiply combinations.  Rules match by an inverted index: each is filed under its rarest token, a
 URL looks up its own tokens and then checks the whole combination.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -26,8 +28,6 @@ LISTED = (
 )
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-#: Domains, path segments and query fields a URL is described by; longer URLs repeat their tail.
-DEPTH = 4
 #: Copies of each index entry, so that a token of a third of all URLs meets them in many tasks.
 SLICES = 32
 BAD = "!bad"
@@ -55,22 +55,37 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return (null, null) if rule is None else (rule, action)
 
 
-def url_tokens(url: Column, host: Column, path: Column, depth: int = DEPTH) -> Column:
+def url_tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens ``h:domain``, ``p:segment`` (numbers as ``#``) and ``q:field``."""
     labels = F.split(host, r"\.")
     size = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(1), F.least(size, F.lit(depth))),
+        F.sequence(F.lit(1), size),
         lambda k: F.concat(F.lit("h:"), F.array_join(F.slice(labels, size - k + 1, k), ".")),
     )
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    numbers = F.transform(F.slice(segments, 1, depth), lambda s: F.concat(F.lit("p:"), F.regexp_replace(s, r"\d+", "#")))
+    numbers = F.transform(segments, lambda s: F.concat(F.lit("p:"), F.regexp_replace(s, r"\d+", "#")))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     fields = F.filter(F.split(query, "&"), lambda f: f != "")
-    names = F.transform(F.slice(fields, 1, depth), lambda f: F.concat(F.lit("q:"), F.substring_index(f, "=", 1)))
+    names = F.transform(fields, lambda f: F.concat(F.lit("q:"), F.substring_index(f, "=", 1)))
     return F.when(host != "", F.array_distinct(F.concat(domains, numbers, names))).otherwise(F.array().cast("array<string>"))
 
 
+def token_classes(urls: DataFrame, min_support: float) -> DataFrame:
+    """``(first, members)``: tokens that at least ``min_support`` of the URLs have, by the URLs they occur in.
+
+    A class goes by its first token.  Sets of URLs are compared by their size and two 64-bit hashes.
+    There are at most (tokens a URL) / ``min_support`` tokens, whatever the input.
+    """
+    least = math.ceil(min_support * urls.count())
+    rows = urls.withColumn("url", F.monotonically_increasing_id()).select("url", F.explode("tokens").alias("token"))
+    held = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("url", F.lit(k))).alias(f"sign{k}") for k in range(2)]
+    )
+    classes = held.where(F.col("n") >= least).groupBy("n", "sign0", "sign1").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return classes.select(F.element_at("members", 1).alias("first"), "members")
+
+
 def mine_rules(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
@@ -78,11 +93,21 @@ def mine_rules(
 
     A rule has at least ``min_support`` of the labelled URLs behind it and ``min_confidence`` of
     them bad, and no part of it is as confident.  No labelled rows give no rules.
+
+    A rule with two tokens of one class has a part as confident, so only first tokens are mined; the
+    rules found hold for every member instead.
     """
-    items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
-        labelled.where(F.size("tokens") > 0).select(items.alias("items"))
-    )
+    stages = Stages(labelled.sparkSession, "mined")
+    urls = labelled.where(F.size("tokens") > 0)
+    classes = stages.keep(token_classes(urls, min_support), "classes")
+    # The empty token keeps URLs without frequent ones, which count towards the support.
+    marks = F.when(F.col("bad"), F.array(F.lit(""), F.lit(BAD))).otherwise(F.array(F.lit("")))
+    rows = urls.withColumn("url", F.monotonically_increasing_id()).select("url", F.explode(F.concat("tokens", marks)).alias("token"))
+    firsts = classes.select(F.col("first").alias("token"))
+    marked = firsts.unionByName(firsts.sparkSession.createDataFrame([("",), (BAD,)], "token string"))
+    rows = rows.join(F.broadcast(marked), "token", "left_semi").groupBy("url").agg(F.collect_list("token").alias("items"))
+    items = stages.keep(rows.select(F.array_remove("items", "").alias("items")), "items")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
     found = found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     part = found.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"))
@@ -94,7 +119,13 @@ def mine_rules(
         & (F.col("part_confidence") >= F.col("confidence"))
         & (F.size(F.array_except("part", "items")) == 0)
     )
-    rules = found.join(longer.select("items").distinct(), "items", "left_anti")
+    rules = found.join(longer.select("items").distinct(), "items", "left_anti").withColumn("first", F.explode("items"))
+    choices = rules.join(classes, "first").groupBy("items", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    every = F.expr(
+        """aggregate(choices, array(cast(array() as array<string>)),
+           (done, members) -> flatten(transform(done, d -> transform(members, m -> d || array(m)))))"""
+    )
+    rules = choices.select(F.explode(every).alias("items"), "confidence", "support").withColumn("items", F.array_sort("items"))
     return rules.withColumn("rule_id", F.array_join("items", " "))
 
 

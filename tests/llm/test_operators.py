@@ -62,6 +62,21 @@ def test_mined_rules_match_a_plain_search(spark):
     assert url_rules.judge_urls(pages.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_tokens_far_into_a_url_count(spark):
+    """In the fifth path segment, query field and domain from the right; in long URLs that many share."""
+    tail = "/".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    urls, labels = [], []
+    for i in range(240):
+        bad, w = i % 2 == 0, "bad" if i % 2 == 0 else "fine"
+        urls.append((i, [f"http://x.org/a/b/c/d/{w}", f"http://x.org/?a=1&b=2&c=3&d=4&{w}q=5", f"http://{w}h.d.c.b.org/", f"http://y.org/{tail}/{w}t"][i // 2 % 4]))
+        labels.append((i, 0 if bad else 1, 0))
+    more = ["http://new.net/1/x/y/z/u/v/bad", "http://new.net/?z=1&y=2&x=3&w=4&v=5&badq", "http://u.v.w.badh.d.c.b.org/", "http://new.net/badt", "http://new.net/a/b/c/d/fine"]
+    pages = spark.createDataFrame([*urls, *enumerate(more, 500)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all((got[i] == "block") == (i % 2 == 0) for i in range(240))
+    assert [got[500 + k] for k in range(5)] == ["block"] * 4 + ["allow"]
+
+
 # ---- 2
 
 PAGES = {
