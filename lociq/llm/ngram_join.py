@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees.
 
 A document is the set of its word n-grams in one global order, rare ones first.  Two sets with
-Jaccard J or more share many items of their first ``PREFIX`` percent, so only those prefixes are
+Jaccard J or more share many items of their first :func:`prefix_share` percent, so only those prefixes are
 shuffled, and a set goes on only if it shares as many prefix items with others as J demands of any
 pair.  Sets that are left are stored in prefix trees that others walk: overlaps counted along a
 shared path are counted once, and a subtree is left as soon as what remains cannot reach the bound.
@@ -35,9 +35,9 @@ from lociq.llm.packed import Substrings, heavy_hitters, mixed, packed, runs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N, PERCENT = 4, 85
-#: Share of a set that is shuffled; more than the least that J needs, which makes the count of
-#: shared items telling.
-PREFIX = 20
+#: Percent of a set that is shuffled beyond the least that J needs; makes the count of shared items
+#: telling.
+SPARE = 5
 #: An item with sets of so many components is worth another round of neighbours; most rounds.
 CROWD, ROUNDS = 12, 2
 #: Neighbours each set is tested against in a round.
@@ -171,8 +171,12 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def prefix_share(percent: int) -> int:
+    return min(99, 100 - percent + SPARE)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n * max(PREFIX, 100 - percent) // 100 + 1
+    return n * prefix_share(percent) // 100 + 1
 
 
 # ---- the order's statistics
@@ -235,7 +239,7 @@ def _once(doc: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def _rest(n: str, percent: int) -> Column:
-    return F.expr(f"{n} - {n} * {max(PREFIX, 100 - percent)} div 100 - 1")
+    return F.expr(f"{n} - {n} * {prefix_share(percent)} div 100 - 1")
 
 
 def _need(percent: int) -> Column:
@@ -249,7 +253,7 @@ def _busy(held: DataFrame, percent: int) -> DataFrame:
 
     The least count over all partner sizes is that of the smallest partner.
     """
-    least = F.expr(f"greatest(1, ({max(0, percent + PREFIX - 100)} * n + 99) div 100)")
+    least = F.expr(f"greatest(1, ({percent + prefix_share(percent) - 100} * n + 99) div 100)")
     nodes = held.groupBy("node", "n").count().where(F.col("count") >= least).select("node")
     left = held.join(nodes, "node", "left_semi")
     shared = left.groupBy("item").count().where("count > 1").select("item")
@@ -379,7 +383,7 @@ def _home_trees(mine: DataFrame, parts: DataFrame, percent: int, stages: Stages)
     met = apart.select("item", "node", "n", "component").join(there, "item").where(
         (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
     )
-    least = F.expr(f"greatest(1, ({max(0, percent + PREFIX - 100)} * n + 99) div 100)")
+    least = F.expr(f"greatest(1, ({percent + prefix_share(percent) - 100} * n + 99) div 100)")
     walkers = met.groupBy("node", "n", "component", "home").count().where(F.col("count") >= least)
     own = nodes.select("node", F.col("home").alias("own")).join(sizes.select(F.col("home").alias("own"), F.col("size").alias("own_size")), "own")
     walkers = walkers.join(own, "node").join(sizes, "home")

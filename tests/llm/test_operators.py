@@ -383,6 +383,23 @@ def test_prefix_share_is_enough():
         assert shared >= max(1, -(-5 * len(x) // 100)) and shared >= max(1, -(-5 * len(y) // 100))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefixes_share_more_than_one_item_at_any_bound(percent):
+    """What a set must share with some other grows with its size, and every pair at the bound does."""
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        n = int(rng.integers(40, 200))
+        x = np.unique(rng.choice(10_000, n, replace=False))
+        y = np.unique(np.r_[x[rng.random(n) < 0.95], rng.integers(0, 10_000, int(rng.integers(0, n // 8)))])
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        px, py = (s[: ngram_join.prefix_length(len(s), percent)] for s in (x, y))
+        shared = len(np.intersect1d(px, py))
+        least = [-(-(percent + ngram_join.prefix_share(percent) - 100) * len(s) // 100) for s in (x, y)]
+        assert min(least) > 1 and shared >= max(least)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
