@@ -29,7 +29,3 @@ def large_mode(monkeypatch):
     monkeypatch.setattr("lociq.operators.joins.BROADCAST_BYTES", -1)
     monkeypatch.setattr("lociq.operators.joins.HOT_KEY_ROWS", 5)
     monkeypatch.setattr("lociq.operators.ranking.GROUP_ROWS", 20)
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from lociq.operators.joins import lookup_join, spread_join
 from lociq.operators.ranking import rank_rows, running_totals, top_per_key
 
