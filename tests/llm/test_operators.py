@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import base_secrets, base_statistics, listed, near_groups, repeats, sha, shingle_set
-from conftest import EDGES
 from lociq.llm import chat, main_text, ngram_join, quality, secret_scan, suffix_dedup, url_rules
 from lociq.llm.bpe import Encoder, Vocabulary, decode_ids, encode_documents
 from lociq.llm.components import components
 from lociq.llm.exact import exact_groups, keep_first_copies
 from lociq.llm.mixing import Mix
 from lociq.llm.queries import vocabulary_path
+from odd_documents import EDGES
 
 
 def rows(df):
