@@ -10,10 +10,13 @@ from lociq.llm.bpe import encode_documents
 from lociq.llm.chat import chat_report
 from lociq.llm.common import table
 from lociq.llm.exact import exact_groups
+from lociq.llm.lexical import rank_documents
 from lociq.llm.main_text import extract_main_text
 from lociq.llm.mixing import MOST, SEED, SHARE, WEIGHTS, Mix
 from lociq.llm.ngram_join import near_duplicates
+from lociq.llm.pieces import encode_pieces
 from lociq.llm.quality import quality_report
+from lociq.llm.repair import damaged, repair_report
 from lociq.llm.secret_scan import scan
 from lociq.llm.suffix_dedup import remove_repeats
 from lociq.llm.url_rules import judge_urls
@@ -70,11 +73,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_main_text, op3_bpe_round_trip, op4_suffix_dedup, op5_exact_dedup,
         op6_secret_scan, op7_source_mix, op8_chat_format, op9_ngram_join, op10_quality_rules,
+        op11_conversation_repair, op12_lexical_search, op13_piece_round_trip,
     )
 }
 
@@ -119,4 +135,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": _OP5, "op7_source_mix": _OP7, "op8_chat_format": _OP8}
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (SELECT item, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM (SELECT *, row_number() OVER () AS item FROM benchmark)),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s),
+m AS (SELECT row, doc_id, 10 + (90 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, s WHERE n_terms > 0),
+r AS (SELECT item, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (row) GROUP BY item, item_id, row, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": _OP5,
+    "op7_source_mix": _OP7,
+    "op8_chat_format": _OP8,
+    "op12_lexical_search": _OP12,
+}

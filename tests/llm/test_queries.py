@@ -46,6 +46,9 @@ def test_query_has_its_columns_and_rows(spark, folder, name):
         "op8": (None, "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
         "op9": ("documents", "doc_id n_shingles component_id"),
         "op10": ("documents", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
+        "op11": (None, "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"),
+        "op12": (None, "item_id rank doc_id score"),
+        "op13": ("documents", "doc_id n_tokens ids_sha256 decoded_sha256"),
     }[name.split("_")[0]]
     df = QUERIES[name](spark, folder)
     columns = wanted[1].split()
