@@ -1,17 +1,14 @@
-"""Training, evaluation, explanation and analysis jobs on a cohort built from the given tables.
+"""Training, evaluation, explanation and analysis jobs on labelled rows of the given tables.
 
-Models train the library's 200 rounds, once per configuration: all queries of a session share them.
-Stage tables are written once per data folder, the way the jobs would run one after another.
+Models train the library's 200 rounds.  Labelled tables, their vectors and the models lie in the
+shared folder under the digest of the given files, so jobs that share it train each of them once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
-
 from pyspark.sql import DataFrame, functions as F
 
-from lociq.catalog.oracles import best_scores
+from lociq.catalog.oracles import best_scores, order
 from lociq.catalog.registry import Tables, query
 from lociq.catalog.relational import (
     annotations,
@@ -20,162 +17,279 @@ from lociq.catalog.relational import (
     dosage,
     gene_diseases,
     genes,
-    population,
     site_features,
     sites,
 )
+from lociq.catalog.samples import deletion_cohort, site_cohort
 from lociq.catalog.scans import patient_deletion_path, patient_site_path
-from lociq.functions.hashing import unit_hash
-from lociq.functions.text import split_symptoms
-from lociq.operators import annotate, explain, model, phenotype, sampling
-from lociq.plans import analyze, cohort, evaluate, features
-from lociq.schemas import PREDICTORS
-from lociq.session import scratch_path, staged
+from lociq.operators import annotate, explain, metrics, model, phenotype
+from lociq.plans import analyze, evaluate, features
+from lociq.plans.study import Study
+from lociq.session import files_digest, scratch_path, staged
 from lociq.sources import vcf
 
-_STAGES: dict[tuple[str, str, str], str] = {}
-_MODELS: dict[tuple[str, str, str], model.RankingModel] = {}
 _IDS = ["patient_id", "variant_id", "gene_symbol"]
 
 
-def predictor_scores(t: Tables) -> DataFrame:
-    """Predictor columns per variant; pathogenic classes get higher scores, some are missing."""
-    known = sites(t).select("variant_id", "clinvar_significance", "src_ord")
-    harmful = F.col("clinvar_significance").isin("Pathogenic", "Likely_pathogenic").cast("double")
-    columns = []
-    for name in PREDICTORS:
-        u = unit_hash(name, F.col("variant_id"))
-        if name.endswith("_pred"):
-            value = F.when(u + harmful > 1.2, "D").otherwise("T")
-        elif name in model.MULTI_VALUE_SCORES:
-            value = F.concat_ws(";", F.round(u, 4).cast("string"), F.lit("."), F.round(1 - u, 4).cast("string"))
-        else:
-            value = F.round(u * 20 + harmful * 10, 4).cast("string")
-        columns.append(F.when(u > 0.1, value).alias(name))
-    return known.select("variant_id", *columns, "src_ord")
-
-
-def _stage(t: Tables, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, patients) of a cohort of the given kind."""
-    key = (t.spark.sparkContext.applicationId, t.folder, kind)
-    if key not in _STAGES:
-        path = scratch_path(t.spark, f"training-{kind}")
-        if kind == "snv":
-            matrix = site_features(t)
-            meta, rows = cohort.build_site_cohort(matrix, annotations(t), sites(t), gene_diseases(t))
-        else:
-            matrix = deletion_features(t)
-            meta, rows = cohort.build_deletion_cohort(matrix, population(t), annotations(t))
-        meta.write.parquet(f"{path}/patients")
-        rows.write.parquet(f"{path}/rows")
-        meta, rows = t.spark.read.parquet(f"{path}/patients"), t.spark.read.parquet(f"{path}/rows")
-        symptoms = meta.select("patient_id", F.explode(split_symptoms(F.col("patient_hpo_terms"))).alias("hpo_id"))
-        scored = phenotype.with_phenotype_scores(
-            rows, symptoms, phenotype.gene_disease_ids(gene_diseases(t)), phenotype.disease_weights(annotations(t))
-        ).drop("best_matching_disease_id")
-        table = features.training_table(scored, matrix, kind)
-        if kind == "snv":
-            table = annotate.with_predictor_scores(table, predictor_scores(t))
-        table.write.parquet(f"{path}/table")
-        train, test = sampling.group_split(t.spark.read.parquet(f"{path}/table"), "patient_id")
-        train.write.parquet(f"{path}/train")
-        test.write.parquet(f"{path}/test")
-        _STAGES[key] = path
-    path = _STAGES[key]
-    return tuple(t.spark.read.parquet(f"{path}/{name}") for name in ("train", "test", "patients"))
-
-
-def _once(t: Tables, name: str, fit) -> model.RankingModel:
-    """A model trained once per session and data folder; several queries use it."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
-    if key not in _MODELS:
-        _MODELS[key] = fit()
-    return _MODELS[key]
-
-
-def _fitted(t: Tables, kind: str, leave_out: Sequence[str] = ()) -> model.RankingModel:
-    name = " ".join([kind, *sorted(leave_out)])
-    return _once(t, name, lambda: evaluate.fit(_stage(t, kind)[0], kind, leave_out))
-
-
-@query("g1_prepared_features")
+def labelled_table(t: Tables, kind: str) -> DataFrame:
+    """Labelled rows with phenotype score, feature columns and, for point variants, predictors."""
+    rows = site_cohort(t) if kind == "snv" else deletion_cohort(t)
+    scored = phenotype.with_phenotype_scores(
+        rows, t.patient_symptoms, phenotype.gene_disease_ids(gene_diseases(t)), phenotype.disease_weights(annotations(t))
+    ).drop("best_matching_disease_id")
+    if kind == "snv":
+        table = features.training_table(scored, site_features(t), kind)
+        return annotate.with_predictor_scores(table, t.predictor_rows)
+    matrix = features.cnv_features(t.deletions, genes(t), constraint(t), dosage(t), gene_diseases(t))
+    return features.training_table(scored, matrix, kind)
+
+
+def study(t: Tables, kind: str) -> Study:
+    name = f"study-{kind}-{files_digest(t.spark, t.folder)}"
+    return Study.of(t.spark, name, kind, lambda: labelled_table(t, kind))
+
+
+_PATIENTS = {"snv": "@site_cohort@", "cnv": "@deletion_cohort@"}
+
+
+def _test_patients(kind: str) -> str:
+    """Patients that the split by hash puts on the test side."""
+    return f"""SELECT patient_id FROM (SELECT patient_id, row_number() OVER (ORDER BY {order(42, 'patient_id')}, patient_id) AS nth, count(*) OVER () AS n
+        FROM (SELECT DISTINCT patient_id FROM {_PATIENTS[kind]})) WHERE nth <= ceil(2e-1 * n)"""
+
+
+def _lowest(column: str) -> str:
+    return f"list_min([try_cast(x AS DOUBLE) FOR x IN string_split({column}, ';')]) AS \"{column}\""
+
+
+_SITE_TABLE = f"""SELECT c.patient_id, c.variant_id, c.gene_symbol, c.is_causal, c.zygosity, round(coalesce(s.score, 0e0), 9) AS phenotype_similarity_score,
+        f.has_multiple_genes, f.clinvar_significance, f.review_status, round(f.oe_lof, 9) AS oe_lof, round(f.oe_lof_lower, 9) AS oe_lof_lower,
+        round(f.oe_lof_upper, 9) AS oe_lof_upper, f.oe_lof_upper_rank, round(f."pLI", 9) AS "pLI", f.haploinsufficiency_score, f.triplosensitivity_score,
+        f.gene_start_position, f.gene_end_position, f.gene_biotype, p.* EXCLUDE (variant_id, src_ord, rn)
+      FROM @site_cohort@ c LEFT JOIN ({best_scores("@site_cohort@")}) s ON s.patient_id = c.patient_id AND s.gene_symbol = c.gene_symbol
+      LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY variant_id, gene_symbol ORDER BY src_ord) AS rn FROM @site_features@) f
+        ON f.variant_id = c.variant_id AND f.gene_symbol = c.gene_symbol AND f.rn = 1
+      LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY src_ord) AS rn FROM @predictor_rows@) p ON p.variant_id = c.variant_id AND p.rn = 1"""
+
+
+@query(
+    "g1_prepared_features",
+    f"""SELECT * EXCLUDE (is_causal) REPLACE ({", ".join(_lowest(c) for c in model.MULTI_VALUE_SCORES)})
+        FROM ({_SITE_TABLE}) WHERE patient_id NOT IN ({_test_patients("snv")})""",
+)
 def _(t: Tables):
-    train = model.lowest_of_multi_values(_stage(t, "snv")[0])
+    train = model.lowest_of_multi_values(study(t, "snv").train)
     return train.select(*_IDS, *model.feature_columns(train, model.SNV_DROP))
 
 
 @query("g2_trained_scores")
 def _(t: Tables):
-    return evaluate.scored_test(_fitted(t, "snv"), _stage(t, "snv")[1]).select(*_IDS, "is_causal", "relevance_score")
+    s = study(t, "snv")
+    return s.full().score(s.test).select(*_IDS, "is_causal", "relevance_score")
+
+
+@query(
+    "g2_scored_rows",
+    f"""SELECT patient_id, variant_id, gene_symbol, is_causal, true AS is_probability FROM @site_cohort@ WHERE patient_id IN ({_test_patients("snv")})""",
+)
+def _(t: Tables):
+    """What has to hold of every score: each test row has one, and it is a probability."""
+    s = study(t, "snv")
+    scored = s.full().score(s.test)
+    return scored.select(*_IDS, "is_causal", F.col("relevance_score").between(0, 1).alias("is_probability"))
 
 
 @query("g3_ranked_test_candidates")
 def _(t: Tables):
-    scored = evaluate.scored_test(_fitted(t, "cnv"), _stage(t, "cnv")[1])
-    return model.rank_candidates(scored).select(*_IDS, "is_causal", "relevance_score", "rank")
+    s = study(t, "cnv")
+    return model.rank_candidates(s.full().score(s.test)).select(*_IDS, "is_causal", "relevance_score", "rank")
+
+
+@query(
+    "g3_ranks_of_patients",
+    f"""SELECT patient_id, count(*) AS candidates, 1 AS first_rank, count(*) AS last_rank, true AS follows_score
+        FROM @deletion_cohort@ WHERE patient_id IN ({_test_patients("cnv")}) GROUP BY patient_id""",
+)
+def _(t: Tables):
+    """Ranks are 1 to n without gaps and never go up where the score does."""
+    s = study(t, "cnv")
+    ranked = model.rank_candidates(s.full().score(s.test))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("rank"), (-F.col("relevance_score")).alias("low"))))
+    by_patient = ranked.groupBy("patient_id").agg(listed.alias("_l"), F.count_distinct("rank").alias("candidates"))
+    lows = F.col("_l.low")
+    return by_patient.select(
+        "patient_id",
+        "candidates",
+        F.get("_l", F.lit(0))["rank"].alias("first_rank"),
+        F.element_at("_l", -1)["rank"].alias("last_rank"),
+        (lows == F.array_sort(lows)).alias("follows_score"),
+    )
 
 
 @query("g4_baseline_comparison")
 def _(t: Tables):
-    train, test, _ = _stage(t, "snv")
-    return evaluate.baseline_comparison(train, test, partial(_fitted, t, "snv"))
+    s = study(t, "snv")
+    return evaluate.baseline_comparison(s.train, s.test, s.full())
+
+
+_SCORE_METRICS = f"""SELECT method, count(*) AS n_patients, avg((rank <= 1)::INT) AS top1_accuracy, avg((rank <= 5)::INT) AS top5_accuracy,
+        avg((rank <= 10)::INT) AS top10_accuracy, round(avg(1e0 / rank), 9) AS mrr FROM (
+          SELECT method, patient_id, min(nth) AS rank FROM (
+            SELECT method, patient_id, is_causal, row_number() OVER (PARTITION BY method, patient_id ORDER BY score DESC NULLS LAST, variant_id) AS nth FROM (
+              SELECT patient_id, variant_id, is_causal, unnest([{{'method': 'pathogenicity score alone', 'score': try_cast("CADD_phred" AS DOUBLE)}},
+                {{'method': 'symptom match alone', 'score': phenotype_similarity_score}}], recursive := true)
+              FROM ({_SITE_TABLE}) WHERE patient_id IN ({_test_patients("snv")})))
+          WHERE is_causal = 1 GROUP BY ALL) GROUP BY method"""
+
+
+@query("g4_single_score_baselines", _SCORE_METRICS)
+def _(t: Tables):
+    """The two rankings by one score alone, which need no model."""
+    test = study(t, "snv").test.withColumn("cadd", F.col("CADD_phred").try_cast("double"))
+    return metrics.compare_rankings(test, {n: c for n, c in evaluate.BASELINES.items() if n != "full model"})
+
+
+def _study_facts(metrics_rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a study with what has to hold of their metrics."""
+    top1, top5, top10, mrr = (F.col(c) for c in ("top1_accuracy", "top5_accuracy", "top10_accuracy", "mrr"))
+    sound = (top1 <= top5) & (top5 <= top10) & (top10 <= 1) & (top1 <= mrr) & (mrr <= 1)
+    patients = next(c for c in metrics_rows.columns if c.startswith("n_patients"))
+    auc = F.col("roc_auc").between(0, 1) if "tier" not in keys else F.col("roc_auc").isNotNull() == (F.col("tier") == "ALL")
+    return metrics_rows.select(*keys, F.col(patients).alias("n_patients"), (sound & auc).alias("sound"))
+
+
+def _facts_sql(kind: str) -> str:
+    names = ", ".join(f"('{n}')" for n in evaluate.ABLATIONS[kind])
+    return f"""SELECT ablation, n_patients, true AS sound FROM (VALUES {names}) a(ablation), (SELECT count(DISTINCT patient_id) AS n_patients
+        FROM {_PATIENTS[kind]} WHERE patient_id IN ({_test_patients(kind)}))"""
+
+
+def _ablations(t: Tables, kind: str) -> DataFrame:
+    s = study(t, kind)
+    return evaluate.ablation_study(s.train, s.test, kind, s.models())
+
+
+def _stratified(t: Tables) -> DataFrame:
+    s = study(t, "snv")
+    return evaluate.stratified_ablation_study(s.train, s.test, t.patient_tiers, s.models())
 
 
 @query("g5_site_ablation_study")
 def _(t: Tables):
-    train, test, _ = _stage(t, "snv")
-    return evaluate.ablation_study(train, test, "snv", partial(_fitted, t, "snv"))
+    return _ablations(t, "snv")
 
 
 @query("g5_deletion_ablation_study")
 def _(t: Tables):
-    train, test, _ = _stage(t, "cnv")
-    return evaluate.ablation_study(train, test, "cnv", partial(_fitted, t, "cnv"))
+    return _ablations(t, "cnv")
+
+
+@query("g5_site_ablation_facts", _facts_sql("snv"))
+def _(t: Tables):
+    return _study_facts(_ablations(t, "snv"), "ablation")
+
+
+@query("g5_deletion_ablation_facts", _facts_sql("cnv"))
+def _(t: Tables):
+    return _study_facts(_ablations(t, "cnv"), "ablation")
 
 
 @query("g6_stratified_ablation_study")
 def _(t: Tables):
-    train, test, patients = _stage(t, "snv")
-    return evaluate.stratified_ablation_study(train, test, patients, partial(_fitted, t, "snv"))
+    return _stratified(t)
+
+
+@query(
+    "g6_stratified_ablation_facts",
+    f"""SELECT ablation, tier, n_patients, true AS sound FROM (VALUES {", ".join(f"('{n}')" for n in evaluate.ABLATIONS["snv"])}) a(ablation), (
+        SELECT unnest(CASE WHEN phenotype_tier IS NULL THEN ['ALL'] ELSE ['ALL', phenotype_tier] END) AS tier, count(*) AS n_patients
+        FROM (SELECT DISTINCT patient_id FROM @site_cohort@ WHERE patient_id IN ({_test_patients("snv")})) p LEFT JOIN @patient_tiers@ USING (patient_id) GROUP BY 1)""",
+)
+def _(t: Tables):
+    return _study_facts(_stratified(t), "ablation", "tier")
 
 
 @query("g7_feature_contributions")
 def _(t: Tables):
-    test = model.lowest_of_multi_values(_stage(t, "snv")[1])
-    return explain.contributions(_fitted(t, "snv"), test, _IDS)
+    s = study(t, "snv")
+    return explain.contributions(s.full(), model.lowest_of_multi_values(s.test), _IDS)
+
+
+@query(
+    "g7_contributions_add_up",
+    f"""SELECT patient_id, variant_id, gene_symbol, {len(model.SNV_FEATURES) - 3} AS features, true AS adds_up
+        FROM @site_cohort@ WHERE patient_id IN ({_test_patients("snv")})""",
+)
+def _(t: Tables):
+    """Contributions and the base value sum to the log-odds of the row's score."""
+    s = study(t, "snv")
+    full, test = s.full(), model.lowest_of_multi_values(s.test)
+    total = explain.contributions(full, test, _IDS).groupBy(*_IDS).agg(F.sum("contribution").alias("_sum"), F.count(F.lit(1)).alias("features"))
+    score = F.col("relevance_score")
+    odds = F.log(score / (1 - score))
+    base = explain.base_value(full, test)
+    return full.score(test).join(total, _IDS).select(*_IDS, "features", (F.abs(F.col("_sum") + base - odds) < 1e-6).alias("adds_up"))
 
 
 @query("g8_feature_importance")
 def _(t: Tables):
-    train, test, _ = _stage(t, "cnv")
-    return evaluate.explanation_report(train, test, "cnv", fitted=partial(_fitted, t, "cnv"))[0]
+    s = study(t, "cnv")
+    return evaluate.explanation_report(s.train, s.test, "cnv", fitted=s.full())[0]
 
 
 @query("g8_example_explanations")
 def _(t: Tables):
-    train, test, _ = _stage(t, "snv")
-    return evaluate.explanation_report(train, test, "snv", fitted=partial(_fitted, t, "snv"))[1]
+    s = study(t, "snv")
+    return evaluate.explanation_report(s.train, s.test, "snv", fitted=s.full())[1]
+
+
+@query(
+    "g8_explained_rows",
+    f"""SELECT patient_id, variant_id, gene_symbol FROM @site_cohort@ WHERE is_causal = 1 AND patient_id IN ({_test_patients("snv")})
+        ORDER BY patient_id, variant_id, gene_symbol LIMIT 3""",
+)
+def _(t: Tables):
+    s = study(t, "snv")
+    return evaluate.explanation_report(s.train, s.test, "snv", fitted=s.full())[1].select(*_IDS)
 
 
 @query("e6_classification_report")
 def _(t: Tables):
-    train, test, _ = _stage(t, "snv")
-    return evaluate.classification_report(train, test, "snv", fitted=partial(_fitted, t, "snv"))
+    s = study(t, "snv")
+    return evaluate.classification_report(s.train, s.test, "snv", fitted=s.full())
+
+
+@query(
+    "e6_class_totals",
+    f"""SELECT 'snv' AS model, 5e-1 AS threshold, count(*) FILTER (is_causal = 1) AS positives, count(*) FILTER (is_causal = 0) AS negatives
+        FROM @site_cohort@ WHERE patient_id IN ({_test_patients("snv")})""",
+)
+def _(t: Tables):
+    s = study(t, "snv")
+    report = evaluate.classification_report(s.train, s.test, "snv", fitted=s.full())
+    return report.select(
+        "model", "threshold", F.expr("true_positives + false_negatives").alias("positives"), F.expr("true_negatives + false_positives").alias("negatives")
+    )
 
 
 @query("e6_evaluation")
 def _(t: Tables):
-    return evaluate.evaluate(evaluate.scored_test(_fitted(t, "snv"), _stage(t, "snv")[1]))
+    s = study(t, "snv")
+    return evaluate.evaluate(evaluate.scored_test(s.full(), s.test))
 
 
-@query("s16_model_round_trip")
+@query(
+    "s16_model_round_trip",
+    f"SELECT patient_id, variant_id, gene_symbol, true AS same FROM @deletion_cohort@ WHERE patient_id IN ({_test_patients('cnv')})",
+)
 def _(t: Tables):
     """Scores of a saved and reloaded model next to the original's."""
-    fitted, test = _fitted(t, "cnv"), _stage(t, "cnv")[1]
+    s = study(t, "cnv")
+    fitted = s.full()
     path = scratch_path(t.spark, "model")
     fitted.save(path)
-    scored = model.RankingModel.load(path).score(fitted.score(test, "original"), "reloaded")
-    return scored.select(*_IDS, "original", "reloaded", (F.col("original") == F.col("reloaded")).alias("same"))
+    scored = model.RankingModel.load(path).score(fitted.score(s.test, "original"), "reloaded")
+    return scored.select(*_IDS, (F.col("original") == F.col("reloaded")).alias("same"))
 
 
 def reference_tables(t: Tables) -> analyze.ReferenceTables:
@@ -237,36 +351,23 @@ def _(t: Tables):
     )
 
 
-def _live_model(t: Tables, kind: str) -> model.RankingModel:
-    """Trained on the features a live patient file has, too."""
-    names = {"snv": model.SNV_FEATURES, "cnv": model.CNV_FEATURES}[kind]
-    train = model.lowest_of_multi_values(_stage(t, kind)[0])
-    present = [c for c in names if c in train.columns]
-    categories = {"snv": model.SNV_CATEGORIES, "cnv": model.CNV_CATEGORIES}[kind]
-    return _once(t, f"live-{kind}", lambda: model.train(train, present, categories))
+def _analysis(t: Tables, kind: str, folder: str) -> analyze.Analysis:
+    return analyze.analyze_cohort(t.spark, folder, _requests(t), kind, reference_tables(t), study(t, kind).live())
 
 
 @query("e1_analyze_sites")
 def _(t: Tables):
-    listed = ["HP:0000003", "HP:0000014", "HP:0000015"]
-    return analyze.analyze_cohort(
-        t.spark, patient_site_path(t), listed, "snv", reference_tables(t), _live_model(t, "snv")
-    ).results
+    return _analysis(t, "snv", patient_site_path(t)).results
 
 
 @query("e1_top_candidate_evidence")
 def _(t: Tables):
-    listed = ["HP:0000003", "HP:0000014", "HP:0000015"]
-    return analyze.analyze_cohort(
-        t.spark, patient_site_path(t), listed, "snv", reference_tables(t), _live_model(t, "snv")
-    ).evidence
+    return _analysis(t, "snv", patient_site_path(t)).evidence
 
 
 @query("e2_analyze_deletions")
 def _(t: Tables):
-    return analyze.analyze_cohort(
-        t.spark, patient_deletion_path(t), ["HP:0000003", "HP:0000014"], "cnv", reference_tables(t), _live_model(t, "cnv")
-    ).results
+    return _analysis(t, "cnv", patient_deletion_path(t)).results
 
 
 @query(
@@ -295,5 +396,5 @@ def _(t: Tables):
 
 @query("g2_site_metrics_by_tier")
 def _(t: Tables):
-    _, test, patients = _stage(t, "snv")
-    return evaluate.evaluate_by_tier(evaluate.scored_test(_fitted(t, "snv"), test), patients)
+    s = study(t, "snv")
+    return evaluate.evaluate_by_tier(evaluate.scored_test(s.full(), s.test), t.patient_tiers)

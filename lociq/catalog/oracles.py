@@ -158,3 +158,22 @@ def number(seed: int, key: str) -> str:
 
 def order(seed: int, key: str) -> str:
     return f"md5('{seed}|' || {key})"
+
+
+def _cohort(rows: str, background: int) -> str:
+    return f"""SELECT * EXCLUDE (label, nth) FROM (SELECT r.*, row_number() OVER (PARTITION BY patient_id, label = 0
+            ORDER BY label, {order(42, "variant_id || '|' || gene_symbol")}, variant_id, gene_symbol) AS nth FROM (
+          SELECT DISTINCT *, CASE WHEN is_causal = 1 THEN 0 WHEN is_hard_negative = 1 THEN 1 ELSE 2 END AS label FROM {rows}) r)
+        WHERE (label = 0 OR nth <= {background}) AND patient_id IN (SELECT patient_id FROM {rows} WHERE is_causal = 1)"""
+
+
+_ZYGOSITY = "CASE WHEN genotype_raw IN ('1/1', '1|1') THEN 'homozygous' ELSE 'heterozygous' END AS zygosity"
+SQL_VIEWS |= {
+    "labelled_site_rows": f"""SELECT l.patient_id, l.variant_id, s.gene_symbol, l.is_causal, l.is_hard_negative, {_ZYGOSITY}
+        FROM @labelled_sites@ l JOIN (SELECT DISTINCT variant_id, gene_symbol FROM @sites@) s ON s.variant_id = l.variant_id""",
+    "labelled_deletion_rows": f"""SELECT l.patient_id, l.variant_id, g.gene_symbol, l.is_causal, l.is_hard_negative, {_ZYGOSITY}
+        FROM @labelled_deletions@ l JOIN @genes@ g ON g.chromosome = l.chromosome
+         AND g.start_position <= l.end_position AND g.end_position >= l.start_position""",
+    "site_cohort": _cohort("@labelled_site_rows@", 100),
+    "deletion_cohort": _cohort("@labelled_deletion_rows@", 30),
+}

@@ -6,22 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from lociq.catalog.oracles import number, order, unit
 from lociq.catalog.registry import Tables, query
-from lociq.catalog.relational import (
-    annotations,
-    deletion_features,
-    gene_diseases,
-    genes,
-    phenotype_inputs,
-    population,
-    site_features,
-    sites,
-)
+from lociq.catalog.relational import annotations, deletion_features, gene_diseases, genes, phenotype_inputs, sites
+from lociq.functions.variants import zygosity_from_genotype
 from lociq.operators import phenotype, profile, sampling
 from lociq.operators.intervals import gene_overlaps
+from lociq.operators.joins import lookup_join
 from lociq.operators.ranking import first_per_key, top_per_key
 from lociq.plans import cohort
+from lociq.session import staged
 
 _SEED = 42
+_LABELLED = ["patient_id", "variant_id", "gene_symbol", "is_causal", "is_hard_negative"]
 
 
 @query(
@@ -178,31 +173,67 @@ def _(t: Tables):
     return cohort.phenocopies(_sick(t), annotations(t), gene_diseases(t), sites(t), _SEED).drop("_place")
 
 
-@query("m8_site_cohort_patients")
+def labelled_site_rows(t: Tables) -> DataFrame:
+    """Labelled point variants with each of their genes."""
+    listed = sites(t).select("variant_id", "gene_symbol").distinct()
+    rows = lookup_join(t.labelled_sites, listed, "variant_id", "inner")
+    return rows.select(*_LABELLED, zygosity_from_genotype(F.col("genotype_raw")).alias("zygosity"))
+
+
+def labelled_deletion_rows(t: Tables) -> DataFrame:
+    """Labelled deletions with each gene they overlap."""
+    rows = gene_overlaps(t.labelled_deletions, genes(t))
+    return rows.select(*_LABELLED, zygosity_from_genotype(F.col("genotype_raw")).alias("zygosity"))
+
+
+def site_cohort(t: Tables) -> DataFrame:
+    return cohort.labelled_cohort(labelled_site_rows(t), cohort.BACKGROUND["snv"], _SEED)
+
+
+def deletion_cohort(t: Tables) -> DataFrame:
+    return cohort.labelled_cohort(labelled_deletion_rows(t), cohort.BACKGROUND["cnv"], _SEED)
+
+
+def _patients_sql(rows: str) -> str:
+    return f"""SELECT c.patient_id, n_causal, n_hard_negative, n_rows, phenotype_tier, coalesce(n_patient_symptoms, 0) AS n_patient_symptoms, patient_hpo_terms
+        FROM (SELECT patient_id, sum(is_causal)::BIGINT AS n_causal, sum(is_hard_negative)::BIGINT AS n_hard_negative, count(*) AS n_rows FROM {rows} GROUP BY 1) c
+        LEFT JOIN (SELECT patient_id, count(*) AS n_patient_symptoms, string_agg(hpo_id, ';' ORDER BY hpo_id) AS patient_hpo_terms FROM @symptoms@ GROUP BY 1) s USING (patient_id)
+        LEFT JOIN @patient_tiers@ USING (patient_id)"""
+
+
+_ROWS_SQL = "SELECT patient_id, variant_id, gene_symbol, is_causal, is_hard_negative, zygosity FROM"
+
+
+@query("m8_site_cohort_patients", _patients_sql("@site_cohort@"))
 def _(t: Tables):
-    return cohort.patient_meta(cohort.site_patients(site_features(t), annotations(t)), annotations(t))
+    return cohort.cohort_patients(site_cohort(t), t.patient_symptoms, t.patient_tiers)
 
 
-@query("m8_site_cohort_variants")
+@query("m8_site_cohort_variants", f"{_ROWS_SQL} @site_cohort@")
 def _(t: Tables):
-    patients = cohort.site_patients(site_features(t), annotations(t))
-    return cohort.site_rows(patients, annotations(t), sites(t), gene_diseases(t))
+    return site_cohort(t)
 
 
-@query("m8_deletion_cohort_patients")
+@query("m8_deletion_cohort_patients", _patients_sql("@deletion_cohort@"))
 def _(t: Tables):
-    return cohort.patient_meta(cohort.deletion_patients(deletion_features(t), annotations(t)), annotations(t))
+    return cohort.cohort_patients(deletion_cohort(t), t.patient_symptoms, t.patient_tiers)
 
 
-@query("m8_deletion_cohort_variants")
+@query("m8_deletion_cohort_variants", f"{_ROWS_SQL} @deletion_cohort@")
 def _(t: Tables):
-    patients = cohort.deletion_patients(deletion_features(t), annotations(t))
-    return cohort.deletion_rows(patients, deletion_features(t), population(t))
+    return deletion_cohort(t)
 
 
-@query("m8_site_cohort_summary")
+@query(
+    "m8_site_cohort_summary",
+    f"""WITH r AS (FROM @site_cohort@), p AS ({_patients_sql("r")})
+        SELECT unnest(['patients', 'patients_without_symptoms', 'variant_rows', 'hard_negatives', 'variants_per_patient']) AS measure, unnest([
+          (SELECT count(*)::DOUBLE FROM p), (SELECT count(*) FILTER (n_patient_symptoms = 0)::DOUBLE FROM p), (SELECT count(*)::DOUBLE FROM r),
+          (SELECT sum(is_hard_negative)::DOUBLE FROM r), (SELECT round(count(*) / count(DISTINCT patient_id), 9) FROM r)]) AS value""",
+)
 def _(t: Tables):
-    return profile.cohort_summary(*cohort.build_site_cohort(site_features(t), annotations(t), sites(t), gene_diseases(t)))
+    rows = staged(site_cohort(t), "cohort")
+    return profile.cohort_summary(cohort.cohort_patients(rows, t.patient_symptoms, t.patient_tiers), rows)
 
 
 @query(

@@ -77,6 +77,28 @@ _DEL_START = "1000000 + 258 * event_id"
 _DEL_END = f"{_DEL_START} + cast(floor(value * 100) as bigint)"
 _SITE = "1000000 + 172 * {k}"
 
+# Predictor columns from the measures of lineitem; none of them follows from a label.
+_PREDICTOR_VALUES = {
+    "SIFT_score": f"concat({text('l_discount')}, ';.;', {text('l_tax')})",
+    "SIFT_converted_rankscore": text("l_tax"),
+    "SIFT_pred": "case when l_quantity > 25 then 'D' else 'T' end",
+    "Polyphen2_HDIV_score": f"case when l_linenumber = 3 then '.' else concat('.;', {text('l_quantity')}) end",
+    "Polyphen2_HDIV_rankscore": text("l_discount"),
+    "Polyphen2_HDIV_pred": "case l_linenumber when 1 then 'D' when 2 then 'P' when 3 then 'B' end",
+    "Polyphen2_HVAR_score": f"concat({text('l_tax')}, ';', {text('l_quantity')}, ';x')",
+    "Polyphen2_HVAR_rankscore": "case when l_partkey % 9 = 0 then null else " + text("l_quantity") + " end",
+    "Polyphen2_HVAR_pred": "case when l_discount > 5e-2 then 'D' else 'B' end",
+    "CADD_raw": text("l_suppkey"),
+    "CADD_raw_rankscore": text("l_partkey"),
+    "CADD_phred": f"case when l_suppkey % 13 = 0 then null else {text('l_quantity')} end",
+    "GERP_NR": text("l_linenumber"),
+    "GERP_RS": text("l_tax"),
+    "phyloP100way_vertebrate": text("l_discount"),
+    "phyloP100way_vertebrate_rankscore": text("l_partkey % 100"),
+    "phastCons100way_vertebrate": text("l_suppkey % 7"),
+    "phastCons100way_vertebrate_rankscore": text("l_quantity"),
+}
+
 VIEWS: dict[str, View] = {
     # Gene loci; every tenth symbol has a second locus, some have none, some sit on a contig.
     "genes_raw": View(
@@ -151,6 +173,42 @@ VIEWS: dict[str, View] = {
             "case when l_linenumber <= 4 then 'G' else 'T' end) as variant_id",
         ],
     ),
+    # Labelled candidates of patients among the population's point variants.
+    "labelled_sites": View(
+        "orders",
+        [
+            "o_custkey as patient_id",
+            f"concat({chromosome('o_orderkey')}, '_', {text(_SITE.format(k='o_orderkey'))}, '_A_', "
+            "case when o_orderkey % 6 = 0 then 'GT' else 'G' end) as variant_id",
+            "case o_orderkey % 4 when 0 then '0/1' when 1 then '1/1' when 2 then '0|1' end as genotype_raw",
+            "cast(case when o_orderstatus = 'F' then 1 else 0 end as bigint) as is_causal",
+            "cast(case when o_orderstatus = 'P' then 1 else 0 end as bigint) as is_hard_negative",
+        ],
+    ),
+    # Labelled deletions of patients.
+    "labelled_deletions": View(
+        "events",
+        [
+            "user_id as patient_id",
+            f"{chromosome('user_id')} as chromosome",
+            f"{_DEL_START} as start_position",
+            f"{_DEL_END} as end_position",
+            "case when event_id % 3 = 0 then '0/1' when event_id % 3 = 1 then '1|1' end as genotype_raw",
+            f"concat({chromosome('user_id')}, '_', {text(_DEL_START)}, '_', {text(_DEL_END)}) as variant_id",
+            "cast(case when event_type = 'purchase' then 1 else 0 end as bigint) as is_causal",
+            "cast(case when event_type = 'error' then 1 else 0 end as bigint) as is_hard_negative",
+        ],
+    ),
+    # Predictor rows of the population's point variants, several per variant, as text.
+    "predictor_rows": View(
+        "lineitem",
+        [
+            f"concat({chromosome('l_orderkey')}, '_', {text(_SITE.format(k='l_orderkey'))}, '_A_', "
+            "case when l_orderkey % 6 = 0 then 'GT' else 'G' end) as variant_id",
+            *[f"{value} as {name}" for name, value in _PREDICTOR_VALUES.items()],
+            "(l_orderkey * 8 + l_linenumber) * 10000 + l_partkey as src_ord",
+        ],
+    ),
     # Constraint rows, several per gene.
     "constraint_raw": View(
         "customer",

@@ -12,24 +12,27 @@ from lociq.session import staged
 
 
 def first_hit_ranks(
-    df: DataFrame, group: str, score: str, label: str, tie: str, ascending: bool = False
+    df: DataFrame, group: str | Sequence[str], score: str, label: str, tie: str, ascending: bool = False
 ) -> DataFrame:
     """Position of each group's first positive row in score order, missing scores last.
 
+    ``group`` is the patient, or several columns where rankings of one patient are compared.
+
     Nothing is sorted: the best positive row of a group is one aggregate, and its position is
     one more than the number of rows that come before it.
     """
+    group = [group] if isinstance(group, str) else list(group)
     value = F.col(score).cast("double")
     key = F.struct(
         F.col(score).isNull().alias("missing"),
         F.coalesce(value if ascending else -value, F.lit(0.0)).alias("value"),
         F.col(tie).alias("tie"),
     )
-    keyed = df.select(group, key.alias("_key"), F.col(label).alias("_label"))
-    best = keyed.filter(F.col("_label") == 1).groupBy(group).agg(F.min("_key").alias("_best"))
+    keyed = df.select(*group, key.alias("_key"), F.col(label).alias("_label"))
+    best = keyed.filter(F.col("_label") == 1).groupBy(*group).agg(F.min("_key").alias("_best"))
     return (
         lookup_join(keyed, best, group, "inner")
-        .groupBy(group)
+        .groupBy(*group)
         .agg((F.count_if(F.col("_key") < F.col("_best")) + 1).alias("rank"))
     )
 
@@ -39,33 +42,37 @@ def _hit_measures(cutoffs: Sequence[int] = (1, 5, 10)) -> list[Column]:
     return [F.count("rank").alias("n_patients"), *hits, F.avg(1 / F.col("rank")).alias("mrr")]
 
 
-def ranking_metrics(ranks: DataFrame) -> DataFrame:
-    """Top-1/5/10 hit rate and mean reciprocal rank in one row."""
-    return ranks.agg(*_hit_measures())
+def ranking_metrics(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Top-1/5/10 hit rate and mean reciprocal rank, one row, or one for each of ``by``."""
+    return ranks.groupBy(*by).agg(*_hit_measures())
 
 
-def ranking_metrics_by(ranks: DataFrame, tier: str) -> DataFrame:
+def ranking_metrics_by(ranks: DataFrame, tier: str, by: Sequence[str] = ()) -> DataFrame:
     """The same for all groups together (``ALL``) and for each non-null tier."""
-    rolled = ranks.rollup(tier).agg(*_hit_measures(), F.grouping(tier).alias("_all"))
-    named = F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col(tier).cast("string"))
-    return rolled.withColumn(tier, named).filter(F.col(tier).isNotNull()).drop("_all")
+    # All rows and a row's own tier, so that ``by`` needs no grouping sets of its own.
+    own = F.col(tier).cast("string")
+    named = F.when(own.isNull(), F.array(F.lit("ALL"))).otherwise(F.array(F.lit("ALL"), own))
+    return ranks.withColumn(tier, F.explode(named)).groupBy(*by, tier).agg(*_hit_measures())
 
 
-def roc_auc(df: DataFrame, score: str, label: str, group_rows: int | None = None) -> DataFrame:
-    """Area under the ROC curve, ties counting half, as one row.
+def roc_auc(
+    df: DataFrame, score: str, label: str, group_rows: int | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Area under the ROC curve, ties counting half, as one row, or one for each of ``by``.
 
     Rows are reduced to distinct scores, written out once, before the running count of positives.
     """
+    by = list(by)
     counts = (
         df.filter(F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
     counts = staged(counts, "score-counts")
-    walked = running_totals(counts, [], [F.desc("score")], {"upto": F.col("pos")}, group_rows)
+    walked = running_totals(counts, by, [F.desc("score")], {"upto": F.col("pos")}, group_rows)
     above = F.col("upto").cast("double") - F.col("pos") / 2
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return walked.agg((F.sum(F.col("neg") * above) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    return walked.groupBy(*by).agg((F.sum(F.col("neg") * above) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
 def classification_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
@@ -95,15 +102,18 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
     )
 
 
+def stack_scores(df: DataFrame, scores: dict[str, str], keep: Sequence[str], name: str = "method") -> DataFrame:
+    """``keep``, the name and the value (``score``) of every score column, one row each."""
+    values = F.array(*[F.struct(F.lit(n).alias(name), F.col(c).cast("double").alias("score")) for n, c in scores.items()])
+    return df.select(*keep, F.explode(values).alias("_v")).select(*keep, f"_v.{name}", "_v.score")
+
+
 def compare_rankings(
     df: DataFrame, methods: dict[str, str], group: str = "patient_id", label: str = "is_causal", tie: str = "variant_id"
 ) -> DataFrame:
-    """Ranking metrics of several score columns, one row per method."""
-    out = None
-    for name, column in methods.items():
-        row = ranking_metrics(first_hit_ranks(df, group, column, label, tie)).select(F.lit(name).alias("method"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Ranking metrics of several score columns, one row per method, from one pass over the rows."""
+    stacked = stack_scores(df, methods, [group, tie, label])
+    return ranking_metrics(first_hit_ranks(stacked, ["method", group], "score", label, tie), ["method"])
 
 
 def global_importance(contributions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,6 +58,8 @@ MISSING = -1.0e9
 # Training settings.
 ROUNDS, STEP, DEPTH, SEED = 200, 0.05, 5, 42
 MIN_BINS = 64
+# Vector of every feature, from which a configuration takes its own.
+ALL_FEATURES = "all_features"
 
 
 def feature_columns(df: DataFrame, drop: Sequence[str], label: str = LABEL) -> list[str]:
@@ -110,14 +112,19 @@ class RankingModel:
     def trees(self):
         return self.pipeline.stages[-1]
 
+    def _stages(self, df: DataFrame) -> list:
+        """The steps a table still needs: none of the assembly if its vectors are there."""
+        stages = self.pipeline.stages
+        return stages[-2:] if ALL_FEATURES in df.columns and isinstance(stages[-2], VectorSlicer) else stages
+
     def assemble(self, df: DataFrame) -> DataFrame:
         """Add the ``features`` vector without scoring."""
-        return PipelineModel(self.pipeline.stages[:-1]).transform(df)
+        return PipelineModel(self._stages(df)[:-1]).transform(df)
 
     def score(self, df: DataFrame, name: str = "relevance_score") -> DataFrame:
         """Add the probability of being causal."""
-        scored = self.pipeline.transform(df).withColumn(name, F.get(vector_to_array("probability"), F.lit(1)))
-        return scored.select(*df.columns, name)
+        scored = PipelineModel(self._stages(df)).transform(df)
+        return scored.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).select(*df.columns, name)
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
@@ -129,25 +136,17 @@ class RankingModel:
 
 def _named(pipeline: PipelineModel) -> RankingModel:
     assembler = next(s for s in pipeline.stages if isinstance(s, VectorAssembler))
-    return RankingModel(pipeline, [c.removeprefix("_n_").removeprefix("_c_") for c in assembler.getInputCols()])
+    names = [c.removeprefix("_n_").removeprefix("_c_") for c in assembler.getInputCols()]
+    slicer = next((s for s in pipeline.stages if isinstance(s, VectorSlicer)), None)
+    return RankingModel(pipeline, [names[i] for i in slicer.getIndices()] if slicer else names)
 
 
-def train(
-    df: DataFrame,
-    features: Sequence[str],
-    categories: Sequence[str],
-    label: str = LABEL,
-    rounds: int = ROUNDS,
-    depth: int = DEPTH,
-    step: float = STEP,
-    seed: int = SEED,
-) -> RankingModel:
-    """Boosted trees over the given features.
+def fit_assembly(df: DataFrame, features: Sequence[str], categories: Sequence[str], output: str = "features") -> PipelineModel:
+    """Steps that put the given features of a table into one vector.
 
     Categories are indexed with an extra slot for unseen and missing values; missing numbers
     get a value of their own, because Spark's trees take no NaN.
     """
-    use_checkpoints(df.sparkSession)
     categorical = [c for c in features if c in set(categories)]
     numeric = [c for c in features if c not in set(categories)]
     filled = ", ".join(
@@ -165,14 +164,15 @@ def train(
         )
     stages.append(
         VectorAssembler(
-            inputCols=[f"_c_{c}" if c in set(categorical) else f"_n_{c}" for c in features], outputCol="features"
+            inputCols=[f"_c_{c}" if c in set(categorical) else f"_n_{c}" for c in features], outputCol=output
         )
     )
-    front = Pipeline(stages=stages).fit(df)
-    arity = 0
-    if categorical:
-        arity = max(len(labels) for labels in front.stages[1].labelsArray) + 1
-    trees = GBTClassifier(
+    return Pipeline(stages=stages).fit(df)
+
+
+def _trees(assembly: PipelineModel, label: str, rounds: int, depth: int, step: float, seed: int) -> GBTClassifier:
+    arity = max([0, *[len(labels) + 1 for s in assembly.stages if hasattr(s, "labelsArray") for labels in s.labelsArray]])
+    return GBTClassifier(
         featuresCol="features",
         labelCol=label,
         maxIter=rounds,
@@ -181,13 +181,45 @@ def train(
         seed=seed,
         maxBins=max(MIN_BINS, arity),
     )
+
+
+def train(
+    df: DataFrame,
+    features: Sequence[str],
+    categories: Sequence[str],
+    label: str = LABEL,
+    rounds: int = ROUNDS,
+    depth: int = DEPTH,
+    step: float = STEP,
+    seed: int = SEED,
+) -> RankingModel:
+    """Boosted trees over the given features."""
+    use_checkpoints(df.sparkSession)
+    front = fit_assembly(df, features, categories)
     assembled = front.transform(df).select("features", F.col(label).cast("double").alias(label))
-    return _named(PipelineModel(front.stages + [trees.fit(assembled)]))
+    return _named(PipelineModel(front.stages + [_trees(front, label, rounds, depth, step, seed).fit(assembled)]))
+
+
+def train_on_vectors(
+    vectors: DataFrame,
+    assembly: PipelineModel,
+    features: Sequence[str],
+    label: str = LABEL,
+    rounds: int = ROUNDS,
+    depth: int = DEPTH,
+    step: float = STEP,
+    seed: int = SEED,
+) -> RankingModel:
+    """Boosted trees over some of the features that ``assembly`` put into ``ALL_FEATURES``."""
+    use_checkpoints(vectors.sparkSession)
+    names = [c.removeprefix("_n_").removeprefix("_c_") for c in assembly.stages[-1].getInputCols()]
+    slicer = VectorSlicer(inputCol=ALL_FEATURES, outputCol="features", indices=[names.index(f) for f in features])
+    sliced = slicer.transform(vectors).select("features", F.col(label).cast("double").alias(label))
+    fitted = _trees(assembly, label, rounds, depth, step, seed).fit(sliced)
+    return _named(PipelineModel(assembly.stages + [slicer, fitted]))
 
 
 def rank_candidates(scored: DataFrame, patient: str = "patient_id", score: str = "relevance_score") -> DataFrame:
     """Rank 1..n of each patient's candidates by score, ties by variant and gene."""
     order = [F.desc_nulls_last(score), F.asc("variant_id"), F.asc_nulls_last("gene_symbol")]
     return rank_rows(scored, [patient], order, "rank")
-
-

@@ -1,4 +1,4 @@
-"""Labelled cohorts: causal variants, symptoms and background of made-up patients."""
+"""Who may enter a labelled cohort, and the cohort of given labelled rows."""
 
 from __future__ import annotations
 
@@ -6,20 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from lociq.functions import clinical
 from lociq.functions.clinical import disease_id
-from lociq.functions.variants import background_zygosity, zygosity_from_inheritance
 from lociq.operators import sampling
-from lociq.operators.annotate import without_match
 from lociq.operators.dedupe import most_dosage_sensitive
 from lociq.operators.joins import lookup_join
-from lociq.operators.phenotype import disease_symptoms, similar_diseases, usable_annotations
-from lociq.operators.ranking import first_per_key, rank_rows, top_per_key
+from lociq.operators.phenotype import disease_symptoms, similar_diseases
+from lociq.operators.ranking import first_per_key, top_per_key
 from lociq.session import staged
 
-# Cohort sizes.
-SNV_PATIENTS, CNV_PATIENTS, MAX_PER_GENE = 5000, 1000, 3
-SNV_BACKGROUND, UNCERTAIN_NEGATIVES, PATHOGENIC_NEGATIVES, MIN_SHARED = 100, 3, 2, 2
-CNV_BACKGROUND, CNV_NEGATIVES, GENIC_SHARE = 30, 3, 0.57
-CNV_KEEP_FRACTION, CNV_NOISE = (0.6, 0.9), (0, 2)
+# Background rows of a patient, and symptoms that similar diseases share.
+BACKGROUND = {"snv": 100, "cnv": 30}
+MIN_SHARED = 2
 MENDELIAN = [clinical.CONFIRMED, clinical.UNCONFIRMED]
 
 
@@ -59,46 +55,6 @@ def gene_inheritance(gene_diseases: DataFrame, order: str = "src_ord") -> DataFr
     return first_per_key(listed, ["gene_symbol"], [F.asc(order)]).select("gene_symbol", "inheritance_modes")
 
 
-_CAUSAL = [
-    "variant_id", "gene_symbol", "disease_name", "phenotype_mim_number", "inheritance_modes",
-]
-
-
-def _patients(eligible: DataFrame, row_key: list[str], pairs: DataFrame, n: int, seed: int) -> DataFrame:
-    """Up to ``n`` causal rows whose disease has symptoms, numbered in sample order."""
-    ided = eligible.withColumn("disease_id", disease_id(F.col("phenotype_mim_number")))
-    usable = lookup_join(ided, pairs.select("disease_id").distinct(), "disease_id", "left_semi")
-    sampled = sampling.capped_sample(usable, "gene_symbol", row_key, n, MAX_PER_GENE, seed)
-    numbered = rank_rows(sampled, [], [F.asc("sample_ord")], "patient_id")
-    return numbered.select(
-        "patient_id",
-        F.col("variant_id").alias("causal_variant_id"),
-        F.col("gene_symbol").alias("causal_gene"),
-        F.col("disease_name").alias("causal_disease"),
-        F.col("phenotype_mim_number").alias("causal_disease_mim"),
-        F.col("inheritance_modes").alias("causal_inheritance_mode"),
-        "disease_id",
-    )
-
-
-def _symptoms(patients: DataFrame, annotations: DataFrame, seed: int) -> DataFrame:
-    """Kept and noise symptoms per patient, as distinct rows."""
-    kept = sampling.weighted_symptoms(patients, usable_annotations(annotations), seed)
-    pool = annotations.filter(F.col("aspect") == "P")
-    noise = sampling.noise_symptoms(patients, pool, seed, ["src_ord", "disease_id", "hpo_id"])
-    return kept.unionByName(noise).distinct()
-
-
-def _meta(patients: DataFrame, symptoms: DataFrame, columns: list[str]) -> DataFrame:
-    sets = symptoms.groupBy("patient_id").agg(F.array_sort(F.collect_set("hpo_id")).alias("_s"))
-    joined = lookup_join(patients, sets, "patient_id", "inner")
-    return joined.select(
-        *columns,
-        F.size("_s").cast("bigint").alias("n_patient_symptoms"),
-        F.array_join("_s", ";").alias("patient_hpo_terms"),
-    )
-
-
 def phenocopies(patients: DataFrame, annotations: DataFrame, gene_diseases: DataFrame, known: DataFrame, seed: int) -> DataFrame:
     """At most one variant per patient from a gene of a disease that looks like the causal one.
 
@@ -131,179 +87,34 @@ def phenocopies(patients: DataFrame, annotations: DataFrame, gene_diseases: Data
     )
 
 
-def _rows(patients: DataFrame, background: DataFrame, causal_zygosity, other_zygosity) -> DataFrame:
-    causal = patients.select(
-        "patient_id",
-        F.col("causal_variant_id").alias("variant_id"),
-        F.col("causal_gene").alias("gene_symbol"),
-        F.lit(1).alias("is_causal"),
-        F.lit(0).alias("is_hard_negative"),
-        causal_zygosity.alias("zygosity"),
-    )
-    others = background.select(
-        "patient_id", "variant_id", "gene_symbol", F.lit(0).alias("is_causal"), "is_hard_negative",
-        other_zygosity.alias("zygosity"),
-    )
-    return causal.unionByName(others)
-
-
-def site_patients(features: DataFrame, annotations: DataFrame, n_patients: int = SNV_PATIENTS, seed: int = 42) -> DataFrame:
-    """Patients of a point-variant cohort with their tier; written out, as every later step reads them."""
-    pairs = disease_symptoms(annotations)
-    key = ["variant_id", "phenotype_mim_number", "disease_name"]
-    eligible = staged(eligible_sites(features).select(*_CAUSAL), "eligible")
-    tier = sampling.assign_tier(seed, F.lit("tier"), F.col("patient_id"))
-    patients = _patients(eligible, key, pairs, n_patients, seed).withColumn("phenotype_tier", tier)
-
-    def by_tier(setting: str, side: int):
-        out = None
-        for name, values in sampling.PHENOTYPE_TIERS.items():
-            case = F.col("phenotype_tier") == name
-            out = F.when(case, values[setting][side]) if out is None else out.when(case, values[setting][side])
-        return out
-
-    patients = patients.withColumns(
-        {
-            "keep_fraction": sampling.between(
-                by_tier("keep_fraction", 0), by_tier("keep_fraction", 1), seed, F.lit("keep"), F.col("patient_id")
-            ),
-            "n_noise": sampling.between_int(
-                by_tier("noise_symptoms", 0), by_tier("noise_symptoms", 1), seed, F.lit("noise"), F.col("patient_id")
-            ),
-        }
-    )
-    return staged(patients, "patients")
-
-
-def patient_meta(patients: DataFrame, annotations: DataFrame, seed: int = 42) -> DataFrame:
-    """Patients with the symptoms sampled for them."""
-    meta = [
-        "patient_id", "causal_variant_id", "causal_gene", "causal_disease", "causal_disease_mim",
-        "causal_inheritance_mode", "phenotype_tier",
-    ]
-    return _meta(patients, _symptoms(patients, annotations, seed), [c for c in meta if c in patients.columns])
+def labelled_cohort(rows: DataFrame, background: int, seed: int = 42) -> DataFrame:
+    """Rows of the patients that have a causal one: all causal rows and ``background`` others.
 
-
-def site_rows(
-    patients: DataFrame,
-    annotations: DataFrame,
-    known: DataFrame,
-    gene_diseases: DataFrame,
-    seed: int = 42,
-    background: int = SNV_BACKGROUND,
-) -> DataFrame:
-    """Causal variant and background of every patient: hard negatives, then general ones up to
-    ``background`` rows, counted after a variant's second listing is left out."""
-    known = staged(known.select("variant_id", "gene_symbol", "clinvar_significance"), "known")
-    pools = {name: pool.select("variant_id", "gene_symbol") for name, pool in candidate_pools(known).items()}
-    row = ["variant_id", "gene_symbol"]
-    uncertain = sampling.foreign_draws(
-        patients, pools["uncertain"], row, UNCERTAIN_NEGATIVES, seed, "uncertain"
-    )
-    pathogenic = sampling.foreign_draws(
-        patients, pools["pathogenic"], row, PATHOGENIC_NEGATIVES, seed, "pathogenic"
-    )
-    copies = phenocopies(patients, annotations, gene_diseases, known, seed)
-    general = sampling.foreign_draws(patients, pools["general"], row, background, seed, "general")
-    tagged = [p.withColumn("is_hard_negative", F.lit(1)) for p in (uncertain, pathogenic, copies)]
-    chosen = sampling.first_pool_wins([*tagged, general.withColumn("is_hard_negative", F.lit(0))], background)
-    chosen = lookup_join(chosen, gene_inheritance(gene_diseases), "gene_symbol")
-    return _rows(
-        patients,
-        chosen,
-        zygosity_from_inheritance(F.col("causal_inheritance_mode"), seed, F.lit("zygosity"), F.col("patient_id")),
-        background_zygosity(
-            F.col("inheritance_modes"), seed, F.lit("zygosity"), F.col("patient_id"), F.col("variant_id")
-        ),
-    )
-
-
-def build_site_cohort(
-    features: DataFrame,
-    annotations: DataFrame,
-    known: DataFrame,
-    gene_diseases: DataFrame,
-    n_patients: int = SNV_PATIENTS,
-    seed: int = 42,
-    background: int = SNV_BACKGROUND,
-) -> tuple[DataFrame, DataFrame]:
-    """(patients, patient variants) of a point-variant cohort."""
-    patients = site_patients(features, annotations, n_patients, seed)
-    rows = site_rows(patients, annotations, known, gene_diseases, seed, background)
-    return patient_meta(patients, annotations, seed), rows
-
-
-def deletion_patients(
-    features: DataFrame, annotations: DataFrame, n_patients: int = CNV_PATIENTS, seed: int = 42
-) -> DataFrame:
-    """Patients of a deletion cohort, written out."""
-    pairs = disease_symptoms(annotations)
-    eligible = staged(eligible_deletions(features).select(*_CAUSAL), "eligible")
-    patients = _patients(eligible, ["variant_id"], pairs, n_patients, seed).withColumns(
-        {
-            "keep_fraction": sampling.between(
-                *[F.lit(f) for f in CNV_KEEP_FRACTION], seed, F.lit("keep"), F.col("patient_id")
-            ),
-            "n_noise": sampling.between_int(
-                *[F.lit(k) for k in CNV_NOISE], seed, F.lit("noise"), F.col("patient_id")
-            ),
-        }
-    )
-    return staged(patients, "patients")
-
-
-def deletion_rows(
-    patients: DataFrame, features: DataFrame, population: DataFrame, seed: int = 42, background: int = CNV_BACKGROUND
-) -> DataFrame:
-    """Causal deletion plus hard, genic and intergenic background of every patient."""
-    slim = staged(features.select("variant_id", "gene_symbol", "haploinsufficiency_score"), "genic")
-    hard_pool = slim.filter(F.col("haploinsufficiency_score").isNotNull()).select("variant_id", "gene_symbol")
-    genic_pool = first_per_key(slim, ["variant_id"], [F.asc("gene_symbol")]).select("variant_id", "gene_symbol")
-    inter_pool = (
-        without_match(population.select("variant_id").distinct(), slim, "variant_id")
-        .withColumn("gene_symbol", F.lit(None).cast("string"))
-        .select("variant_id", "gene_symbol")
-    )
-    row = ["variant_id", "gene_symbol"]
-    hard = sampling.foreign_draws(patients, hard_pool, row, CNV_NEGATIVES, seed, "hard")
-    hard = staged(first_per_key(hard, ["patient_id", "variant_id"], [F.asc("_place")]), "hard")
-
-    # A deletion that is a hard negative already takes no place among the genic ones.
-    genic = sampling.foreign_draws(patients, genic_pool, row, background, seed, "genic")
-    genic = lookup_join(genic, hard.select("patient_id", "variant_id"), ["patient_id", "variant_id"], "left_anti")
-    genic = top_per_key(genic, ["patient_id"], [F.asc("_place")], background, rank="_nth").drop("_place")
-    genic = genic.withColumnRenamed("_nth", "_place")
-    inter = sampling.foreign_draws(patients, inter_pool, row, background, seed, "intergenic")
-    used = hard.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_used"))
-    left = F.lit(background) - F.coalesce("_used", F.lit(0))
-    genic_room = F.floor(left * F.lit(GENIC_SHARE))
-    genic = lookup_join(genic, used, "patient_id").filter(F.col("_place") <= genic_room).drop("_used")
-    inter = lookup_join(inter, used, "patient_id").filter(F.col("_place") <= left - genic_room).drop("_used")
-    chosen = sampling.first_pool_wins(
-        [
-            hard.withColumn("is_hard_negative", F.lit(1)),
-            genic.withColumn("is_hard_negative", F.lit(0)),
-            inter.withColumn("is_hard_negative", F.lit(0)),
-        ]
-    )
-    return _rows(
-        patients,
-        chosen,
-        zygosity_from_inheritance(F.col("causal_inheritance_mode"), seed, F.lit("zygosity"), F.col("patient_id")),
-        background_zygosity(
-            F.lit(None).cast("string"), seed, F.lit("zygosity"), F.col("patient_id"), F.col("variant_id")
-        ),
+    ``rows`` are given and labelled (``is_causal``, ``is_hard_negative``).  A candidate listed
+    twice keeps its strongest label; hard negatives come before other rows, which follow in
+    seeded order.
+    """
+    key = ["patient_id", "variant_id", "gene_symbol"]
+    label = F.when(F.col("is_causal") == 1, 0).when(F.col("is_hard_negative") == 1, 1).otherwise(2)
+    once = staged(first_per_key(rows.withColumn("_label", label), key, [F.asc("_label")]), "labelled")
+    causal = once.filter("_label = 0")
+    order = [F.asc("_label"), sampling.order_hash(seed, F.col("variant_id"), F.col("gene_symbol")), F.asc("variant_id"), F.asc("gene_symbol")]
+    others = top_per_key(once.filter("_label > 0"), ["patient_id"], order, background)
+    kept = lookup_join(others, causal.select("patient_id").distinct(), "patient_id", "left_semi")
+    return causal.unionByName(kept).drop("_label")
+
+
+def cohort_patients(rows: DataFrame, symptoms: DataFrame, tiers: DataFrame) -> DataFrame:
+    """One row per patient of a cohort: rows by label, tier, and the patient's own symptoms."""
+    counts = rows.groupBy("patient_id").agg(
+        F.sum("is_causal").alias("n_causal"),
+        F.sum("is_hard_negative").alias("n_hard_negative"),
+        F.count(F.lit(1)).alias("n_rows"),
     )
-
-
-def build_deletion_cohort(
-    features: DataFrame,
-    population: DataFrame,
-    annotations: DataFrame,
-    n_patients: int = CNV_PATIENTS,
-    seed: int = 42,
-    background: int = CNV_BACKGROUND,
-) -> tuple[DataFrame, DataFrame]:
-    """(patients, patient variants) of a deletion cohort."""
-    patients = deletion_patients(features, annotations, n_patients, seed)
-    return patient_meta(patients, annotations, seed), deletion_rows(patients, features, population, seed, background)
+    sets = symptoms.groupBy("patient_id").agg(F.array_sort(F.collect_set("hpo_id")).alias("_s"))
+    out = lookup_join(lookup_join(counts, sets, "patient_id"), tiers.select("patient_id", "phenotype_tier"), "patient_id")
+    return out.select(
+        "patient_id", "n_causal", "n_hard_negative", "n_rows", "phenotype_tier",
+        F.coalesce(F.size("_s"), F.lit(0)).cast("bigint").alias("n_patient_symptoms"),
+        F.array_join("_s", ";").alias("patient_hpo_terms"),
+    )

@@ -11,8 +11,9 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, memory="8g", app="tests")
+def spark(tmp_path_factory):
+    # A folder of its own: models and tables of a test run must not be found by other jobs.
+    session = local_session(8, memory="8g", app="tests", shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -29,3 +30,12 @@ def large_mode(monkeypatch):
     monkeypatch.setattr("lociq.operators.joins.BROADCAST_BYTES", -1)
     monkeypatch.setattr("lociq.operators.joins.HOT_KEY_ROWS", 5)
     monkeypatch.setattr("lociq.operators.ranking.GROUP_ROWS", 20)
+
+
+@pytest.fixture
+def short_training(monkeypatch):
+    """Models of two shallow rounds, for tests that look at what is done with a model."""
+    from lociq.plans.study import Study
+
+    whole = Study.models
+    monkeypatch.setattr(Study, "models", lambda self, names=None, **settings: whole(self, names, **{"rounds": 2, "depth": 2} | settings))

@@ -157,7 +157,7 @@ def test_evaluation_reports(spark):
     )
     train, test = df.filter("patient_id < 20"), df.filter("patient_id >= 20")
     compared = {r.method: r for r in evaluate.baseline_comparison(train, test, rounds=3, depth=2).collect()}
-    assert len(compared) == 3 and compared["Full model"].top1_accuracy >= compared["CADD-only (pathogenicity baseline)"].top1_accuracy
+    assert len(compared) == 3 and compared["full model"].top1_accuracy >= compared["pathogenicity score alone"].top1_accuracy
     ablated = {r.ablation: r for r in evaluate.ablation_study(train, test, "snv", rounds=2, depth=2).collect()}
     assert len(ablated) == 6
     assert ablated["Full model"].roc_auc > ablated["A1: without phenotype similarity"].roc_auc

@@ -44,7 +44,7 @@ def compare(spark, engine, folder, name):
 
 
 @pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
-def test_oracle(spark, engine, folder, name):
+def test_oracle(spark, engine, folder, name, short_training):
     compare(spark, engine, folder, name)
 
 

@@ -92,40 +92,17 @@ def tables(spark, seed=4):
     return k, g, a
 
 
-def check_site_cohort(spark):
-    known, gene_diseases, annotations = tables(spark)
-    features = known.join(gene_diseases.drop("src_ord"), "gene_symbol", "left")
-    meta, rows = cohort.build_site_cohort(features, annotations, known, gene_diseases, n_patients=20, background=15)
-    meta, rows = meta.cache(), rows.cache()
-    assert meta.count() == 20 and meta.filter("n_patient_symptoms = 0").isEmpty()
-    assert sorted(r.patient_id for r in meta.collect()) == list(range(1, 21))
-    assert rows.filter("is_causal = 1").count() == 20
-    assert rows.groupBy("patient_id", "variant_id").count().filter("count > 1").isEmpty()
-    background = rows.filter("is_causal = 0").join(meta, "patient_id")
-    assert background.filter("gene_symbol = causal_gene").isEmpty()
-    assert rows.groupBy("patient_id").count().agg(F.max("count")).first()[0] <= 16
-    hard = rows.filter("is_hard_negative = 1").groupBy("patient_id").count().collect()
-    assert len(hard) == 20 and all(1 <= r["count"] <= 6 for r in hard)
-    assert rows.filter("zygosity is null").isEmpty()
-    return sorted(map(tuple, rows.collect()))
-
-
-def test_site_cohort(spark):
-    assert check_site_cohort(spark) == check_site_cohort(spark)
-
-
-def test_deletion_cohort(spark):
-    known, gene_diseases, annotations = tables(spark)
-    dosage = (F.when(F.expr("int(substr(gene_symbol, 2)) % 2 = 0"), 3)).alias("haploinsufficiency_score")
-    features = known.join(gene_diseases.drop("src_ord"), "gene_symbol", "left").select("*", dosage)
-    population = features.select("variant_id").unionByName(spark.range(40).select(F.concat(F.lit("inter"), "id").alias("variant_id")))
-    meta, rows = cohort.build_deletion_cohort(features, population, annotations, n_patients=8, background=10)
-    meta, rows = meta.cache(), rows.cache()
-    assert meta.count() == 8 and rows.filter("is_causal = 1").count() == 8
-    inter = rows.filter("variant_id like 'inter%'")
-    assert inter.count() > 0 and inter.filter("gene_symbol is not null").isEmpty()
-    sizes = rows.filter("is_causal = 0").groupBy("patient_id").count().collect()
-    assert all(r["count"] <= 10 for r in sizes)
+def test_labelled_cohort(spark):
+    rows = [(p, f"v{p}_{i % 14}", f"G{i % 3}", int(i == 0 and p != 3), int(i in (1, 2)), "heterozygous") for p in range(5) for i in range(40)]
+    df = spark.createDataFrame(rows, "patient_id int, variant_id string, gene_symbol string, is_causal int, is_hard_negative int, zygosity string")
+    out = cohort.labelled_cohort(df.unionByName(df.limit(50)), 6, 1).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, cohort.labelled_cohort(df.repartition(7), 6, 1).collect()))
+    by = {p: [r for r in out if r.patient_id == p] for p in range(5)}
+    assert by[3] == [] and all(len(by[p]) == 7 for p in (0, 1, 2, 4))
+    for p in (0, 1, 2, 4):
+        assert sum(r.is_causal for r in by[p]) == 1 and sum(r.is_hard_negative for r in by[p]) == 2
+        assert len({(r.variant_id, r.gene_symbol) for r in by[p]}) == 7
+    assert {tuple(r)[1:3] for r in by[0]} != {tuple(r)[1:3] for r in by[1]}
 
 
 def test_weighted_symptoms_keep_share(spark):
