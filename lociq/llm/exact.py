@@ -2,13 +2,15 @@
 
 Every distinct text has a 64-bit hash.  A directory over the hash's leading bits names a bucket;
 a bucket with more distinct hashes than ``capacity`` is split by its next bit, and a split below
-the directory's depth doubles the directory.  Owner tasks take ranges of buckets: entries of one
-hash form a chain whose members differ in bytes.
+the directory's depth doubles the directory.  Rows are grouped by bucket, hash and text: the task
+that owns a bucket's key range compares the bytes of equal hashes, says which id of a group stays,
+and numbers the texts that share a hash as a chain.
 
 Copies are folded in the map tasks before anything is shuffled, so a text that makes up a third of
 all rows reaches its owner as one row from each map task.  Text moves once; the join of the rows
 with the index moves hashes only, and its hot keys have a single row on the index side, which AQE
-splits.
+splits.  Where whole documents are asked for (:func:`keep_first_copies`), they are what moves to
+the owners, cut to one row of each text and map task, and nothing is joined back.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lociq.llm.common import SPACES, Stages, plain, whole
+from lociq.operators.joins import lookup_join
+from lociq.operators.ranking import first_per_key
 
 #: Distinct hashes a bucket holds before it is split.
 CAPACITY = 1_000_000
@@ -65,18 +69,23 @@ def build_directory(hashes: DataFrame, capacity: int, stages: Stages) -> tuple[D
     return slots, depth
 
 
-def build_index(docs: DataFrame, directory: DataFrame, depth: int, stages: Stages, text: str = "text") -> DataFrame:
-    """``(bucket, h, chain, sha, group_size)``: one entry for each distinct text, in bucket order.
+def in_buckets(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with hash ``h`` and the bucket that the directory names for it."""
+    return lookup_join(rows.withColumn("slot", _slot(depth)), directory.select("slot", "bucket"), "slot", "inner").drop("slot")
 
-    Grouping by hash and text compares bytes; the texts stay in the grouping, the index keeps
-    their digest.
+
+def build_index(docs: DataFrame, directory: DataFrame, depth: int, stages: Stages, id_col: str = "id", text: str = "text") -> DataFrame:
+    """``(bucket, h, chain, sha, group_size, keep_id)``: one entry for each distinct text.
+
+    Grouping by bucket, hash and text compares bytes; the texts stay in the grouping, the index
+    keeps their digest.
     """
-    t = plain(docs, text).select(normalised(text).alias("t")).select(F.xxhash64("t").alias("h"), "t")
-    entries = t.groupBy("h", "t").agg(F.count(F.lit(1)).alias("group_size"))
-    entries = entries.select("h", F.sha2("t", 256).alias("sha"), "group_size").withColumn("slot", _slot(depth))
-    owned = entries.join(directory, "slot").repartitionByRange("bucket", "h")
+    t = plain(docs, id_col, text).select(F.col(f"`{id_col}`").alias("id"), normalised(text).alias("t"))
+    owned = in_buckets(t.withColumn("h", F.xxhash64("t")), directory, depth).groupBy("bucket", "h", "t")
+    entries = owned.agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("keep_id"))
+    entries = entries.select("bucket", "h", F.sha2("t", 256).alias("sha"), "group_size", "keep_id")
     chain = Window.partitionBy("bucket", "h").orderBy("sha")
-    return stages.keep(owned.withColumn("chain", F.row_number().over(chain)).drop("slot"), "index")
+    return stages.keep(entries.withColumn("chain", F.row_number().over(chain)), "index")
 
 
 def exact_groups(
@@ -96,15 +105,16 @@ def exact_groups(
     )
     hashes = stages.keep(keys.select("h").distinct(), "hashes")
     directory, depth = build_directory(hashes, capacity, stages)
-    index = build_index(docs, directory, depth, stages, text)
+    index = build_index(docs, directory, depth, stages, id_col, text)
     stages.drop("hashes", "directory")
+    # Of rows that repeat the id that stays, the first stays.
     first = keys.groupBy("h", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     groups = index.join(first, ["h", "sha"])
     return keys.join(groups, ["h", "sha"]).select(
         F.col("id").alias("doc_id"),
-        F.col("first.id").alias("keep_id"),
+        "keep_id",
         "group_size",
-        (F.col("row") == F.col("first.row")).alias("kept"),
+        (F.equal_null("id", "keep_id") & (F.col("row") == F.col("first.row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "bucket",
         "chain",
@@ -114,12 +124,15 @@ def exact_groups(
 def keep_first_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat an id and a text, one.
 
-    Join and duplicate check share one key, so the rows are shuffled once.
+    The rows move once, to the owners of their buckets: each map task sends one row of a text, and
+    the owner, comparing bytes, keeps the one with the smallest id.
     """
-
-    def key(doc_id, sha):
-        return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
-
-    kept = exact_groups(docs, capacity=capacity).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_llm_key"))
-    marked = docs.withColumn("_llm_key", key(docs["doc_id"], F.sha2(normalised("text"), 256)))
-    return marked.join(kept, "_llm_key", "left_semi").dropDuplicates(["_llm_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stages = Stages(docs.sparkSession, "exact")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key = normalised("text")
+    hashes = stages.keep(docs.select(F.xxhash64(key).alias("h")).distinct(), "hashes")
+    directory, depth = build_directory(hashes, capacity, stages)
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), key.alias("t"))
+    owned = in_buckets(rows.withColumn("h", F.xxhash64("t")), directory, depth)
+    first = first_per_key(owned, ["bucket", "h", "t"], [F.asc_nulls_last("id")])
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
