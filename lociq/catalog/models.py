@@ -6,7 +6,7 @@ shared folder under the digest of the given files, so jobs that share it train e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lociq.catalog.oracles import best_scores, order
 from lociq.catalog.registry import Tables, query
@@ -27,6 +27,7 @@ from lociq.plans import analyze, evaluate, features
 from lociq.plans.study import Study
 from lociq.session import files_digest, scratch_path, staged
 from lociq.sources import vcf
+from lociq.streaming.arrivals import arriving_lines, rank_arrivals
 
 _IDS = ["patient_id", "variant_id", "gene_symbol"]
 
@@ -351,6 +352,47 @@ def _(t: Tables):
     )
 
 
+_RANKED_ROWS = f"""WITH v AS (SELECT patient_id::VARCHAR AS patient_id, chromosome, start_position AS position, chromosome || '_' || start_position || '_A_G' AS variant_id
+            FROM @deletions@ WHERE src_ord % 10 NOT IN (3, 7) AND patient_id IN (SELECT patient_id FROM @symptoms@)),
+        listed AS (SELECT variant_id, arg_min(gene_symbol, src_ord) AS gene_symbol, min(clinvar_significance) AS clinvar_significance FROM @sites@ GROUP BY 1),
+        located AS (SELECT chromosome, position, arg_min(gene_symbol, src_ord) AS gene_symbol FROM (SELECT DISTINCT v.chromosome, v.position, g.gene_symbol, g.src_ord
+            FROM v JOIN @genes@ g ON g.chromosome = v.chromosome AND g.start_position <= v.position AND g.end_position >= v.position) GROUP BY ALL),
+        a AS (SELECT v.*, CASE WHEN l.variant_id IS NOT NULL THEN l.gene_symbol ELSE c.gene_symbol END AS gene_symbol, l.clinvar_significance, l.variant_id IS NOT NULL AS in_clinvar
+            FROM v LEFT JOIN listed l ON l.variant_id = v.variant_id LEFT JOIN located c ON c.chromosome = v.chromosome AND c.position = v.position),
+        s AS ({best_scores("a", "@weights_sum@", _FILE_SYMPTOMS)})
+        SELECT a.patient_id, a.variant_id, a.gene_symbol, a.clinvar_significance, a.in_clinvar, round(coalesce(s.score, 0e0), 9) AS phenotype_similarity_score,
+          s.disease_name AS best_matching_disease, row_number() OVER (PARTITION BY a.patient_id ORDER BY coalesce(s.score, 0e0) DESC, a.variant_id, a.gene_symbol NULLS LAST) AS rank
+        FROM a LEFT JOIN s ON s.patient_id = a.patient_id AND s.gene_symbol = a.gene_symbol"""
+_STATUS_ROWS = """SELECT patient_id::VARCHAR AS patient_file, 'snv' AS detected_type, 'snv' AS requested_mode, false AS type_mismatch,
+        count(*) FILTER (src_ord % 10 NOT IN (3, 7)) AS n_variants_parsed, CASE WHEN n_variants_parsed = 0 THEN 'nothing parsed'
+          WHEN patient_id NOT IN (SELECT patient_id FROM @symptoms@) THEN 'no symptoms' ELSE 'analysed' END AS status FROM @deletions@ GROUP BY patient_id"""
+
+
+def _arrived(t: Tables, part: str) -> DataFrame:
+    """The patient files arrive as a stream, 75 at a time, and are ranked by symptom match."""
+    out, state = scratch_path(t.spark, "ranked"), scratch_path(t.spark, "arrivals")
+    lines = arriving_lines(t.spark, patient_site_path(t), files_per_batch=75)
+    symptoms = analyze.symptom_rows(_requests(t))
+    rank_arrivals(lines, symptoms, "snv", reference_tables(t), None, out, state).awaitTermination()
+    return t.spark.read.parquet(f"{out}/{part}").drop("batch")
+
+
+@query("t1_ranked_arrivals", _RANKED_ROWS)
+def _(t: Tables):
+    return _arrived(t, "ranked").drop("relevance_score")
+
+
+@query("t1_arrival_status", _STATUS_ROWS)
+def _(t: Tables):
+    return _arrived(t, "files")
+
+
+def _in_order(ranked: DataFrame) -> DataFrame:
+    """Adds whether a row's score is no higher than that of the row ranked before it."""
+    before = F.lag("relevance_score").over(Window.partitionBy("patient_id").orderBy("rank"))
+    return ranked.withColumn("follows_score", F.coalesce(before >= F.col("relevance_score"), F.col("rank") == 1))
+
+
 def _analysis(t: Tables, kind: str, folder: str) -> analyze.Analysis:
     return analyze.analyze_cohort(t.spark, folder, _requests(t), kind, reference_tables(t), study(t, kind).live())
 
@@ -360,6 +402,21 @@ def _(t: Tables):
     return _analysis(t, "snv", patient_site_path(t)).results
 
 
+@query("e1_file_status", _STATUS_ROWS)
+def _(t: Tables):
+    return _analysis(t, "snv", patient_site_path(t)).files
+
+
+@query(
+    "e1_analysed_rows",
+    f"SELECT patient_id, variant_id, gene_symbol, clinvar_significance, in_clinvar, phenotype_similarity_score, best_matching_disease, true AS follows_score FROM ({_RANKED_ROWS})",
+)
+def _(t: Tables):
+    """Every candidate with what the file and the tables say of it, ranked as the model's score orders them."""
+    ranked = _analysis(t, "snv", patient_site_path(t)).results
+    return _in_order(ranked).drop("rank", "relevance_score")
+
+
 @query("e1_top_candidate_evidence")
 def _(t: Tables):
     return _analysis(t, "snv", patient_site_path(t)).evidence
@@ -370,6 +427,20 @@ def _(t: Tables):
     return _analysis(t, "cnv", patient_deletion_path(t)).results
 
 
+@query(
+    "e2_analysed_rows",
+    f"""WITH v AS (SELECT patient_id::VARCHAR AS patient_id, variant_id, deletion_size, src_ord FROM @deletions@
+            WHERE src_ord % 10 NOT IN (3, 7, 9) AND patient_id IN (SELECT patient_id FROM @symptoms@)),
+        a AS (SELECT v.*, o.gene_symbol FROM v LEFT JOIN @deletion_overlaps@ o ON o.src_ord = v.src_ord),
+        s AS ({best_scores("a", "@weights_sum@", _FILE_SYMPTOMS)})
+        SELECT a.patient_id, a.variant_id, a.gene_symbol, a.deletion_size, round(coalesce(s.score, 0e0), 9) AS phenotype_similarity_score,
+          s.disease_name AS best_matching_disease, true AS follows_score FROM a LEFT JOIN s ON s.patient_id = a.patient_id AND s.gene_symbol = a.gene_symbol""",
+)
+def _(t: Tables):
+    ranked = _in_order(_analysis(t, "cnv", patient_deletion_path(t)).results)
+    return ranked.drop("rank", "relevance_score", "overlap_fraction_of_gene")
+
+
 @query(
     "e3_site_matrix_size",
     """SELECT count(*) AS rows, count(disease_name) AS with_disease, count(DISTINCT variant_id) AS variants FROM @site_features@""",

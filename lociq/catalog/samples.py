@@ -76,7 +76,8 @@ def _drawn(pool: str, keys: list[str], tag: str, count: str) -> str:
     text = " || '|' || ".join(keys)
     return f"""pool AS (SELECT *, row_number() OVER (ORDER BY {order(_SEED, text)}, {', '.join(keys)}) - 1 AS nth FROM {pool}),
         size AS (SELECT count(*) AS size FROM pool),
-        asked AS (SELECT p.*, k AS draw, ({number(_SEED, f"'{tag}|' || p.patient_id")} + k) % size AS nth
+        asked AS (SELECT p.*, k AS draw, ({number(_SEED, f"'{tag}|' || p.patient_id")}
+                  + k * {sampling.STEPS}[1 + {number(_SEED, f"'step|{tag}|' || p.patient_id")} % {len(sampling.STEPS)}]) % size AS nth
                   FROM {_SICK} p, size, range(0, 200) r(k) WHERE k < least({count}, size))"""
 
 
@@ -155,10 +156,8 @@ def _(t: Tables):
     f"""WITH pairs AS (SELECT DISTINCT disease_id, hpo_id FROM @usable@),
         alike AS (SELECT a.disease_id, b.disease_id AS other_id FROM pairs a JOIN pairs b ON a.hpo_id = b.hpo_id AND a.disease_id <> b.disease_id
             WHERE a.disease_id IN (SELECT disease_id FROM {_SICK}) GROUP BY ALL HAVING count(*) >= 2),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY disease_id ORDER BY {order(_SEED, 'other_id')}, other_id) AS nth,
-            count(*) OVER (PARTITION BY disease_id) AS n FROM alike),
-        chosen AS (SELECT p.patient_id, p.causal_gene, p.causal_variant_id, s.other_id FROM {_SICK} p JOIN numbered s ON s.disease_id = p.disease_id
-            AND s.nth = {number(_SEED, "'similar|' || p.patient_id")} % s.n + 1),
+        chosen AS (SELECT p.patient_id, p.causal_gene, p.causal_variant_id, arg_min(s.other_id, {order(_SEED, "'similar|' || p.patient_id || '|' || s.other_id")}) AS other_id
+            FROM {_SICK} p JOIN alike s ON s.disease_id = p.disease_id GROUP BY ALL),
         genes_of AS (SELECT DISTINCT 'OMIM:' || phenotype_mim_number::BIGINT AS other_id, gene_symbol FROM @gene_diseases@
             WHERE phenotype_mim_number IS NOT NULL AND gene_symbol IN (SELECT gene_symbol FROM @sites@)),
         one_gene AS (SELECT * FROM (SELECT c.*, g.gene_symbol, row_number() OVER (PARTITION BY c.patient_id

@@ -440,12 +440,12 @@ def _(t: Tables):
 
 @query(
     "p11_absent_predictor_columns",
-    f"SELECT patient_id, variant_id, {', '.join(f'NULL::VARCHAR AS absent_{c}' for c in PREDICTORS[9:])} FROM @patient_sites@",
+    f"SELECT patient_id, variant_id, {', '.join(f'NULL::VARCHAR AS absent_{c}' for c in PREDICTORS)} FROM @patient_sites@",
 )
 def _(t: Tables):
     bare = t.patient_sites.withColumns({"filter_status": F.lit("PASS"), "genotype_raw": F.lit("0/1")})
     ready = model.prepare_sites(bare)
-    return ready.select("patient_id", "variant_id", *[F.col(c).alias(f"absent_{c}") for c in PREDICTORS[9:]])
+    return ready.select("patient_id", "variant_id", *[F.col(c).alias(f"absent_{c}") for c in PREDICTORS])
 
 
 @query(

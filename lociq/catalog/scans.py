@@ -8,8 +8,9 @@ from lociq.catalog.registry import Tables, query
 from lociq.catalog.relational import constraint, sites
 from lociq.operators.ranking import first_per_key
 from lociq.plans import clean
+from lociq.schemas import PREDICTOR_PLACES
 from lociq.session import scratch_path
-from lociq.sources import sinks, tables, vcf
+from lociq.sources import predictors, sinks, tables, vcf
 from lociq.sources.lines import read_lines
 from lociq.streaming.arrivals import analyze_arrivals, arriving_lines
 
@@ -317,31 +318,43 @@ def _(t: Tables):
 # --- probe, stages, sinks --------------------------------------------------------------------
 
 
-@query(
-    "s12_wide_table_probe",
-    """SELECT concat(chromosome, '_', position, '_', reference_allele, '_', alternate_allele) AS variant_id,
-        CASE WHEN src_ord % 4 = 0 THEN NULL ELSE 's' || src_ord || ';48' END AS "SIFT_score", 'v' || src_ord || '_154' AS "CADD_phred", 'v' || src_ord || '_178' AS "phastCons100way_vertebrate_rankscore"
-       FROM @sites_raw@ WHERE concat(chromosome, '_', position, '_', reference_allele, '_', alternate_allele) IN (SELECT variant_id FROM @patient_sites@)""",
-)
-def _(t: Tables):
-    raw = t.sites_raw
+def _cell(place: int, name: str) -> str:
+    cell = f"'v' || src_ord || '_{place}'"
+    return f"CASE WHEN src_ord % 4 = 0 THEN NULL ELSE 's' || src_ord || ';48' END AS \"{name}\"" if place == 48 else f'{cell} AS "{name}"'
+
+
+_SITE_ID = "concat(chromosome, '_', position, '_', reference_allele, '_', alternate_allele)"
+_WIDE = f"""SELECT {_SITE_ID} AS variant_id, {", ".join(_cell(p, n) for p, n in PREDICTOR_PLACES.items() if p > 3)}
+       FROM @sites_raw@ WHERE {_SITE_ID} IN (SELECT variant_id FROM @patient_sites@)"""
+
+
+def wide_table_path(t: Tables) -> str:
+    """All of ``sites_raw`` as lines of 380 columns in several files."""
     key = F.col("src_ord").cast("string")
     sift = F.when(F.col("src_ord") % 4 == 0, F.lit(".")).otherwise(F.concat(F.lit("s"), key, F.lit(";48")))
+    cells = F.transform(
+        F.sequence(F.lit(4), F.lit(379)), lambda p: F.when(p == 48, sift).otherwise(F.concat(F.lit("v"), key, F.lit("_"), p.cast("string")))
+    )
+    front = F.array("chromosome", F.col("position").cast("string"), "reference_allele", "alternate_allele")
+    value = F.array_join(F.concat(front, cells), "\t")
+    data = t.sites_raw.select((F.col("src_ord") % 8).alias("part"), F.col("src_ord").alias("place"), value.alias("value"))
+    return staged_files(t, "wide", _with_head(data, "part", ["#chr\tpos\tref\talt\trest"]), "part", "place")
 
-    def filler(cells: int):
-        return F.repeat(F.lit("0.5\t"), F.lit(cells))
 
-    value = F.concat(
-        F.concat_ws("\t", "chromosome", F.col("position").cast("string"), "reference_allele", "alternate_allele"),
-        F.lit("\t"), filler(44), sift, F.lit("\t"), filler(105), F.concat(F.lit("v"), key, F.lit("_154\t")), filler(23),
-        F.concat(F.lit("v"), key, F.lit("_178\t")), filler(200),
-    )
-    data = raw.select((F.col("src_ord") % 8).alias("part"), F.col("src_ord").alias("place"), value.alias("value"))
-    path = staged_files(t, "wide", _with_head(data, "part", ["#chr\tpos\tref\talt\trest"]), "part", "place")
+def _wanted(t: Tables) -> DataFrame:
     odd = t.region.select(F.concat(F.lit("not_an_id_"), F.col("r_name"), F.lit("_x_y")).alias("variant_id"))
-    needed = t.patient_sites.select("variant_id").unionByName(odd)
-    out = tables.probe_wide_table(t.spark, path, needed)
-    return out.select("variant_id", "SIFT_score", "CADD_phred", "phastCons100way_vertebrate_rankscore")
+    return t.patient_sites.select("variant_id").unionByName(odd)
+
+
+@query("s12_wide_table_probe", _WIDE)
+def _(t: Tables):
+    return predictors.probe_wide_table(t.spark, wide_table_path(t), _wanted(t)).drop("src_ord")
+
+
+@query("s12_bucketed_stage_probe", _WIDE)
+def _(t: Tables):
+    table = predictors.stage_wide_table(t.spark, wide_table_path(t), scratch_path(t.spark, "predictors"), buckets=8)
+    return predictors.probe_staged_table(table, _wanted(t)).drop("src_ord")
 
 
 @query(
@@ -351,15 +364,14 @@ def _(t: Tables):
 )
 def _(t: Tables):
     ids = t.patient_sites.select("variant_id").unionByName(t.deletions.select("variant_id"))
-    return tables.needed_keys(ids).select("variant_id", F.col("_key").alias("key"))
+    return predictors.needed_keys(ids).select("variant_id", F.col("_key").alias("key"))
 
 
-@query("s13_stage_table", "SELECT * EXCLUDE (src_ord) FROM @sites@ WHERE chromosome IN ('1', 'X', 'MT')")
+@query("s13_stage_table", "SELECT * EXCLUDE (src_ord) FROM @sites@")
 def _(t: Tables):
-    """The stage is partitioned by chromosome, so the filter prunes whole folders."""
     path = scratch_path(t.spark, "stage")
     sinks.write_stage(sites(t).drop("src_ord"), path, ["chromosome"])
-    return tables.read_stage(t.spark, path, "clinvar_clean").filter(F.col("chromosome").isin("1", "X", "MT"))
+    return tables.read_stage(t.spark, path, "clinvar_clean")
 
 
 @query(

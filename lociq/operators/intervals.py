@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lociq.functions.variants import overlap_length, ratio_if_positive
+from lociq.operators import joins
 from lociq.operators.joins import is_small, lookup_join, spread_join
 from lociq.operators.ranking import first_per_key
 
@@ -98,7 +99,9 @@ def overlap_pairs(
         .withColumn("_chrom", F.col(rc))
         .withColumnsRenamed({"_own": "_rown", "_first": "_rfirst"})
     )
-    if is_small(right):
+    # What is broadcast is the listed side: at most two bins on each level where a row can meet.
+    listings = 2 * (len(left_levels) + 1)
+    if is_small(right, joins.BROADCAST_BYTES // listings):
         joined = lhs.join(F.broadcast(rhs), keys)
     else:
         joined = spread_join(lhs, rhs, keys, "inner", hot_rows)

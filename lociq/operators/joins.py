@@ -6,14 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lociq.session import staged
+
 # A side is broadcast only when Catalyst's size estimate is at or below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Only the 1000 largest keys are examined: by counting, every other key holds less than
-# 1/1000 of the rows, which is an ordinary task on a cluster.
-MAX_HOT_KEYS = 1000
 # Rows of one key that a single task takes without being split.
 HOT_KEY_ROWS = 4_000_000
-MAX_SALTS = 512
+# Pairs of one key that a single task makes without being split.
+HOT_KEY_PAIRS = 2_000_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -25,37 +25,23 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def _hot_keys(left: DataFrame, right: DataFrame | None, on: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys above ``hot_rows`` with the number of slices for each side (at most 1000 rows)."""
+    """Keys with more than ``hot_rows`` rows or ``HOT_KEY_PAIRS`` pairs, and the slices of each side.
+
+    Every such key is listed.  They are fewer than rows / ``hot_rows`` plus the square root of
+    rows squared / pairs, which is what bounds the table that is broadcast.
+    """
     sides = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
     if right is not None:
         sides = sides.unionByName(right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    sizes = (
-        sides.groupBy(*on)
-        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        .filter(F.greatest("_l", "_r") > hot_rows)
-        .orderBy(F.greatest("_l", "_r").desc())
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-    if not sizes:
-        return None
-
-    def slices(rows: int) -> int:
-        return max(1, min(MAX_SALTS, -(-rows // hot_rows)))
-
-    schema = T.StructType(
-        [T.StructField(k, left.schema[k].dataType) for k in on]
-        + [T.StructField("_ls", T.IntegerType()), T.StructField("_rs", T.IntegerType())]
-    )
-    rows = [tuple(r[k] for k in on) + (slices(r["_l"]), slices(r["_r"])) for r in sizes]
-    return left.sparkSession.createDataFrame(rows, schema)
-
-
-def _row_slice(df: DataFrame, slices: Column) -> Column:
-    """Slice of a row.  The input partition takes part in the hash so that copies of one row
-    spread out too; partition and content are the same again when a lost task is rerun."""
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.spark_partition_id()), slices).cast("int")
+    sizes = sides.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    pairs = F.col("_l").cast("double") * F.col("_r")
+    hot = sizes.filter((F.greatest("_l", "_r") > hot_rows) | (pairs > HOT_KEY_PAIRS))
+    own = F.greatest(F.lit(1), F.ceil(F.col("_r") / hot_rows))
+    # As many slices on the left as its rows ask for, or as the pairs ask for beyond the right's.
+    by_pairs = F.least(F.col("_l"), F.ceil(pairs / HOT_KEY_PAIRS / own))
+    lefts = F.greatest(F.lit(1), F.ceil(F.col("_l") / hot_rows), by_pairs)
+    hot = staged(hot.select(*on, lefts.cast("int").alias("_ls"), own.cast("int").alias("_rs")), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def _with_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -71,6 +57,13 @@ def _with_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
     )
 
 
+def _row_slice(df: DataFrame, slices: Column) -> Column:
+    """Slice of a row.  The input partition takes part in the hash so that copies of one row
+    spread out too; partition and content are the same again when a lost task is rerun."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.spark_partition_id()), slices).cast("int")
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lociq.functions.clinical import NOT_EVALUATED
 from lociq.functions.variants import STANDARD_CHROMOSOMES
@@ -30,45 +29,38 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
-def _quartiles(df: DataFrame, column: str, group_rows: int | None) -> tuple[list[Column], DataFrame]:
-    """Quartile expressions and the distinct values with running counts they are read from."""
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).count()
-    counts = staged(values, "values")
-    size = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("values")).first()
-    walked = running_totals(
-        counts, [], [F.asc("value")], {"upto": F.col("count")}, group_rows, largest=size["values"]
-    )
-    measures = []
-    for name, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        place = share * max(size["rows"] - 1, 0)
-        low = F.min(F.when(F.col("upto") > floor(place), F.col("value")))
-        high = F.min(F.when(F.col("upto") > ceil(place), F.col("value")))
-        measures.append((low + (high - low) * F.lit(place - floor(place))).alias(name))
-    return measures, walked
-
-
 def describe(df: DataFrame, columns: Sequence[str], group_rows: int | None = None) -> DataFrame:
     """Count, mean, deviation, minimum, exact linear quartiles and maximum per column.
 
-    Quartiles are read off running counts of the distinct values, not from one collected list.
+    One pass turns all columns into counted (column, value) rows, written out once; every measure
+    is read off those.  Quartiles come from running counts along the values of a column, not from
+    one collected list.
     """
-    out = None
-    for column in columns:
-        measures, walked = _quartiles(df, column, group_rows)
-        value = F.col(column).cast("double")
-        row = df.agg(
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        ).withColumn("column", F.lit(column))
-        quartiles = walked.agg(*measures).withColumn("column", F.lit(column))
-        row = row.join(quartiles, "column").select(
-            "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.explode(values).alias("_v")).select("_v.column", "_v.value").filter(F.col("value").isNotNull())
+    counts = staged(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times")), "values")
+    weighed = F.col("value") * F.col("times")
+    # One row per column of the table.
+    means = F.broadcast(counts.groupBy("column").agg(F.sum("times").alias("count"), (F.sum(weighed) / F.sum("times")).alias("mean")))
+    walked = running_totals(counts, ["column"], [F.asc("value")], {"upto": F.col("times")}, group_rows).join(means, "column")
+    quartiles = {}
+    for name, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        place = F.lit(share) * (F.col("count") - 1)
+        low = F.min(F.when(F.col("upto") > F.floor(place), F.col("value")))
+        high = F.min(F.when(F.col("upto") > F.ceil(place), F.col("value")))
+        part = F.first(place - F.floor(place))
+        quartiles[name] = low + (high - low) * part
+    spread = F.sum(F.col("times") * F.pow(F.col("value") - F.col("mean"), F.lit(2)))
+    measured = walked.groupBy("column").agg(
+        F.first("count").alias("count"),
+        F.first("mean").alias("mean"),
+        F.sqrt(spread / F.nullif(F.first("count") - 1, F.lit(0))).alias("std"),
+        F.min("value").alias("min"),
+        *[value.alias(name) for name, value in quartiles.items()],
+        F.max("value").alias("max"),
+    )
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return named.join(measured, "column", "left").na.fill(0, ["count"])
 
 
 def mean_by_label(df: DataFrame, value: str, label: str) -> DataFrame:

@@ -32,45 +32,36 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 
 def _largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    if not group:
-        return df.count()
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
-def running_totals(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    totals: dict[str, Column],
-    group_rows: int | None = None,
-    largest: int | None = None,
-) -> DataFrame:
-    """Inclusive running sums of ``totals`` within ``group`` along a total ``order``.
-
-    Groups up to ``group_rows`` rows use a plain window.  Beyond that the rows are
-    range-partitioned by (group, order) so a group spans many tasks; each slice is summed
-    alone and lifted by the totals of the slices before it.  A slice boundary is crossed by
-    at most one group, so the lift table has fewer rows than there are slices and is
-    broadcast.  The sliced rows are checkpointed first: slice numbers must not change when
-    a lost task is rerun.  ``largest`` is the size of the largest group where already known;
-    otherwise it is counted.
-    """
-    limit = GROUP_ROWS if group_rows is None else group_rows
-    group = list(group)
-    if (_largest_group(df, group) if largest is None else largest) <= limit:
-        part = [F.col(g) for g in group] or [F.lit(0)]
-        frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
-
+def _sliced(df: DataFrame, order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
+    """Rows in order over many tasks, numbered slices, checkpointed: a rerun must not number anew."""
     use_checkpoints(df.sparkSession)
-    sliced = (
+    return (
         df.withColumns({f"_t_{name}": value for name, value in totals.items()})
-        .repartitionByRange(*[F.col(g) for g in group], *order)
+        .repartitionByRange(*order)
         .withColumn("_slice", F.spark_partition_id())
         .checkpoint()
     )
-    before = Window.partitionBy(*([F.col(g) for g in group] or [F.lit(0)])).orderBy("_slice")
-    lifts = (
+
+
+def _lifts_of_all(sliced: DataFrame, totals: Sequence[str]) -> DataFrame:
+    """What the slices before each slice sum to; one row a slice, so the driver adds them up."""
+    sums = sliced.groupBy("_slice").agg(*[F.sum(f"_t_{name}").alias(f"_b_{name}") for name in totals])
+    rows, before = [], [None] * len(totals)
+    for row in sorted(sums.collect()):
+        rows.append((row[0], *before))
+        before = [b if s is None else s if b is None else b + s for b, s in zip(before, row[1:])]
+    return sliced.sparkSession.createDataFrame(rows, sums.withColumnRenamed("_slice", "_lift").schema)
+
+
+def _lifts_of_groups(sliced: DataFrame, group: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """The same within each group; a slice boundary is crossed by at most one group, so these are
+    fewer rows than slices."""
+    before = Window.partitionBy(*group).orderBy("_slice")
+    named = [F.col(g).alias(f"_g_{g}") for g in group]
+    return (
         sliced.groupBy(*group, "_slice")
         .agg(*[F.sum(f"_t_{name}").alias(f"_s_{name}") for name in totals])
         .withColumns(
@@ -81,8 +72,34 @@ def running_totals(
         )
         .withColumn("_nth", F.row_number().over(before))
         .filter("_nth > 1")
-        .select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_slice").alias("_lift"), *[f"_b_{n}" for n in totals])
+        .select(*named, F.col("_slice").alias("_lift"), *[f"_b_{n}" for n in totals])
     )
+
+
+def running_totals(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    totals: dict[str, Column],
+    group_rows: int | None = None,
+    largest: int | None = None,
+) -> DataFrame:
+    """Inclusive running sums of ``totals`` within ``group`` along a total ``order``.
+
+    Rows are range-partitioned by (group, order) so that a group, or the whole table where there
+    are no groups, spans many tasks; each slice is summed alone and lifted by the slices before
+    it.  Only where every group has at most ``group_rows`` rows, each sorts its groups in one
+    task instead.  ``largest`` is the size of the largest group where already known; otherwise
+    it is counted.
+    """
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    group = list(group)
+    if group and (_largest_group(df, group) if largest is None else largest) <= limit:
+        frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
+
+    sliced = _sliced(df, [*[F.col(g) for g in group], *order], totals)
+    lifts = _lifts_of_groups(sliced, group, list(totals)) if group else _lifts_of_all(sliced, list(totals))
     local = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = sliced.withColumns({name: F.sum(f"_t_{name}").over(local) for name in totals})
     match = summed["_slice"] == lifts["_lift"]

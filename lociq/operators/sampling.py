@@ -72,9 +72,16 @@ def number_pool(pool: DataFrame, row_key: Sequence[str], seed: int) -> tuple[Dat
     return numbered.withColumn("_nth", F.col("_nth") - 1), size
 
 
+def _step(seed: int, tag: str) -> Column:
+    """One of ``STEPS`` for each patient."""
+    nth = hash_number(seed, F.lit("step"), F.lit(tag), F.col("patient_id")) % len(STEPS) + 1
+    return F.element_at(F.array(*[F.lit(s) for s in STEPS]), nth.cast("int"))
+
+
 def draw(patients: DataFrame, numbered: DataFrame, size: int, count: Column, seed: int, tag: str) -> DataFrame:
-    """``count`` different pool rows per patient: a run of the shuffled pool from a hashed start.
+    """``count`` different pool rows per patient: a hashed start and multiples of one of ``STEPS``.
 
+    Patients that start near each other step differently, so their rows meet by chance only.
     Adds ``_draw`` 0..count-1 and the pool's columns.
     """
     if size == 0:
@@ -86,7 +93,7 @@ def draw(patients: DataFrame, numbered: DataFrame, size: int, count: Column, see
         patients.withColumn("_want", wanted)
         .filter("_want > 0")
         .withColumn("_draw", F.explode(F.sequence(F.lit(0), F.col("_want") - 1)))
-        .withColumn("_nth", (hash_number(seed, F.lit(tag), F.col("patient_id")) + F.col("_draw")) % F.lit(size))
+        .withColumn("_nth", (hash_number(seed, F.lit(tag), F.col("patient_id")) + F.col("_draw") * _step(seed, tag)) % F.lit(size))
     )
     return lookup_join(asked.drop("_want"), numbered, ["_nth"], "inner").drop("_nth")
 
@@ -170,9 +177,8 @@ def foreign_draws(patients: DataFrame, pool: DataFrame, row_key: Sequence[str],
     asked = patients.select("patient_id", "causal_variant_id", _null_safe("causal_gene").alias("_gene"), _null_safe("causal_variant_id").alias("_variant"))
     asked = lookup_join(lookup_join(asked, blocks, "_gene"), listed, "_variant").na.fill(0, ["_start", "_length", "_listed"])
     asked = asked.withColumn("_places", F.lit(size) - F.col("_length")).filter("_places > 0")
-    step = F.element_at(F.array(*[F.lit(s) for s in STEPS]), (hash_number(seed, F.lit("step"), F.lit(tag), F.col("patient_id")) % len(STEPS) + 1).cast("int"))
     drawn = asked.withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(n) + F.col("_listed"), F.col("_places")) - 1)))
-    place = (hash_number(seed, F.lit(tag), F.col("patient_id")) + F.col("_draw") * step) % F.col("_places")
+    place = (hash_number(seed, F.lit(tag), F.col("patient_id")) + F.col("_draw") * _step(seed, tag)) % F.col("_places")
     drawn = drawn.withColumn("_nth", place).withColumn("_nth", F.col("_nth") + F.when(F.col("_nth") < F.col("_start"), 0).otherwise(F.col("_length")))
     found = lookup_join(drawn.select("patient_id", "causal_variant_id", "_draw", "_nth"), numbered, ["_nth"], "inner")
     foreign = found.filter(~F.equal_null("variant_id", "causal_variant_id"))

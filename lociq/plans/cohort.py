@@ -59,14 +59,19 @@ def phenocopies(patients: DataFrame, annotations: DataFrame, gene_diseases: Data
     """At most one variant per patient from a gene of a disease that looks like the causal one.
 
     The similar disease is picked first; if none of its other genes has a variant the patient
-    gets none.
+    gets none.  Of a disease's many alike each patient takes the one with the smallest hash: an
+    aggregate that map tasks begin, so the pairs are neither written out nor numbered.
     """
     pairs = disease_symptoms(annotations)
-    similar = staged(similar_diseases(patients.select("disease_id"), pairs, MIN_SHARED), "similar")
+    similar = similar_diseases(patients.select("disease_id"), pairs, MIN_SHARED)
     slim = patients.select("patient_id", "disease_id", "causal_gene", "causal_variant_id")
-    chosen = sampling.pick_one(
-        slim, similar.select("disease_id", "other_id"), ["disease_id"], ["other_id"], seed, F.lit("similar"), F.col("patient_id")
+    place = sampling.order_hash(seed, F.lit("similar"), F.col("patient_id"), F.col("other_id"))
+    least = (
+        lookup_join(similar.select("disease_id", "other_id"), slim.select("patient_id", "disease_id"), "disease_id", "inner")
+        .groupBy("patient_id")
+        .agg(F.min_by("other_id", place).alias("other_id"))
     )
+    chosen = lookup_join(slim, least, "patient_id", "inner")
     genes = (
         gene_diseases.filter(F.col("phenotype_mim_number").isNotNull() & F.col("gene_symbol").isNotNull())
         .select(disease_id(F.col("phenotype_mim_number")).alias("other_id"), "gene_symbol")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,25 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("stage tables to delete", default=None)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the stage tables that are written inside once the block is left, also by an error.
+
+    For work whose results are written out inside the block, such as a batch of a stream.
+    """
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        paths = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -63,6 +84,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     not take it along, and the table's real size is known to later joins.
     """
     path = scratch_path(df.sparkSession, name)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

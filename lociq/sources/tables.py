@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lociq import schemas
 from lociq.functions.text import attribute_value, empty_to_null
-from lociq.operators.joins import lookup_join
 from lociq.sources.lines import at, data_lines, fields, line_order, read_lines, without_first_lines
 
 
@@ -128,32 +127,3 @@ def read_ontology(spark: SparkSession, path: str, include_self: bool = False) ->
         F.array_join(listed, ";").alias("Parents"),
         "src_ord",
     ).filter(F.col("HPO_ID").isNotNull())
-
-
-def probe_wide_table(
-    spark: SparkSession, path: str | list[str], needed: DataFrame, places: dict[int, str] | None = None
-) -> DataFrame:
-    """Rows of a several-hundred-column TSV whose (chr, pos, ref, alt) is asked for.
-
-    The key is cut from the front of the line and joined before the line is split, so lines
-    nobody asked for are never taken apart.  ``.`` becomes null.
-    """
-    places = places or schemas.PREDICTOR_PLACES
-    lines = without_first_lines(read_lines(spark, path), 1)
-    keyed = lines.withColumn("_key", F.substring_index("value", "\t", 4))
-    hits = lookup_join(keyed, needed_keys(needed), "_key", "inner")
-    split = hits.withColumn("_f", F.split("value", "\t", max(places) + 2))
-    values = [
-        F.nullif(at(F.col("_f"), place), F.lit(".")).alias(name) for place, name in places.items() if place > 3
-    ]
-    return split.select("variant_id", *values, "src_ord")
-
-
-def needed_keys(variants: DataFrame) -> DataFrame:
-    """Join keys of variant ids; ids that do not have exactly four parts are ignored."""
-    return (
-        variants.select("variant_id")
-        .distinct()
-        .filter(F.size(F.split("variant_id", "_")) == 4)
-        .select("variant_id", F.translate("variant_id", "_", "\t").alias("_key"))
-    )

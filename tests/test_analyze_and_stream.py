@@ -1,5 +1,6 @@
 """End-to-end analysis of patient files, and files that arrive one by one."""
 
+import pathlib
 import random
 
 import pytest
@@ -9,7 +10,9 @@ from lociq.operators import model
 from lociq.operators.search import search_many, search_terms
 from lociq.plans import analyze, evaluate
 from lociq.plans.analyze import ReferenceTables, analyze_cohort
+from lociq.session import shared_dir
 from lociq.sources import vcf
+from lociq.sources.lines import read_lines
 from lociq.streaming.arrivals import analyze_arrivals, arriving_lines, rank_arrivals
 
 HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE\n"
@@ -95,13 +98,36 @@ def test_requests_are_checked(spark, reference, tmp_path):
     with pytest.raises(ValueError, match="symptom"):
         analyze_cohort(spark, str(tmp_path), [], "snv", reference, fitted)
     with pytest.raises(ValueError, match="could be parsed"):
-        analyze_cohort(spark, str(tmp_path), ["HP:1"], "cnv", reference, fitted)
+        analyze_cohort(spark, str(tmp_path), ["HP:1"], "cnv", reference, fitted, strict=True)
     requests = spark.createDataFrame([("a.vcf", '["HP:1"]')], "patient_id string, symptoms string")
     with pytest.raises(ValueError, match="symptom"):
-        analyze_cohort(spark, str(tmp_path), requests, "snv", reference, fitted)
+        analyze_cohort(spark, str(tmp_path), requests, "snv", reference, fitted, strict=True)
     (tmp_path / "junk.vcf").write_text("nothing here\n")
     with pytest.raises(ValueError, match="valid VCF"):
-        analyze_cohort(spark, str(tmp_path), ["HP:1"], "snv", reference, fitted)
+        analyze_cohort(spark, str(tmp_path), ["HP:1"], "snv", reference, fitted, strict=True)
+
+
+def broken_cohort(folder):
+    write_sites(folder)
+    (folder / "junk.vcf").write_text("nothing here\n")
+    (folder / "bare.vcf").write_text(HEAD)
+    (folder / "untold.vcf").write_text(HEAD + "17\t43094692\t.\tG\tA\t.\tPASS\tDP=1\tGT\t0/1\n")
+    return {"a.vcf": "analysed", "b.vcf": "analysed", "junk.vcf": "not a variant file", "bare.vcf": "nothing parsed", "untold.vcf": "no symptoms"}
+
+
+def told(spark):
+    names = ["a.vcf", "b.vcf", "junk.vcf", "bare.vcf"]
+    return spark.createDataFrame([(n, "HP:0003002") for n in names], "patient_id string, symptoms string")
+
+
+def test_a_broken_file_holds_up_no_other(spark, reference, tmp_path):
+    statuses = broken_cohort(tmp_path)
+    fitted = trained(spark, "snv")
+    out = analyze_cohort(spark, str(tmp_path), told(spark), "snv", reference, fitted)
+    assert {r.patient_file: r.status for r in out.files.collect()} == statuses
+    whole = analyze_cohort(spark, [str(tmp_path / n) for n in ("a.vcf", "b.vcf")], ["HP:0003002"], "snv", reference, fitted)
+    assert sorted(map(tuple, out.results.collect())) == sorted(map(tuple, whole.results.collect()))
+    assert {r.patient_id for r in out.evidence.collect()} == {"a.vcf", "b.vcf"}
 
 
 def test_symptoms_per_patient(spark, reference):
@@ -130,18 +156,35 @@ def test_arrivals_are_analysed_once(spark, tmp_path):
     assert got.count() == 6 and got.filter("patient_file = 'late.vcf'").first().variant_id == "2_9_A_T"
 
 
-def test_arriving_files_are_ranked_like_a_batch(spark, reference, tmp_path):
-    folder = tmp_path / "in"
+@pytest.mark.parametrize("with_model", [True, False])
+def test_arriving_files_are_ranked_like_a_batch(spark, reference, tmp_path, with_model):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     folder.mkdir()
-    write_sites(folder)
-    fitted = trained(spark, "snv")
-    symptoms = spark.createDataFrame([("a.vcf", "HP:0003002"), ("b.vcf", "HP:0003002")], "patient_id string, hpo_id string")
-    lines = arriving_lines(spark, str(folder), files_per_batch=1)
-    out = str(tmp_path / "out")
-    rank_arrivals(lines, symptoms, "snv", reference, fitted, out, str(tmp_path / "state")).awaitTermination(120)
-    columns = ["patient_id", "variant_id", "gene_symbol", "rank", "phenotype_similarity_score"]
-    batch = analyze_cohort(spark, str(folder), ["HP:0003002"], "snv", reference, fitted).results.select(*columns)
-    assert sorted(map(repr, spark.read.parquet(out).select(*columns).collect())) == sorted(map(repr, batch.collect()))
+    statuses = broken_cohort(folder)
+    fitted = trained(spark, "snv") if with_model else None
+    symptoms = analyze.symptom_rows(told(spark))
+
+    def run(state):
+        lines = arriving_lines(spark, str(folder), files_per_batch=2)
+        rank_arrivals(lines, symptoms, "snv", reference, fitted, out, state).awaitTermination(240)
+        return spark.read.parquet(f"{out}/ranked").drop("batch"), spark.read.parquet(f"{out}/files")
+
+    before = stage_tables(spark)
+    ranked, files = run(state)
+    assert stage_tables(spark) == before
+    variants, wanted, _ = analyze.read_cohort(read_lines(spark, str(folder)), symptoms, "snv")
+    batch = analyze.rank_cohort(variants, wanted, "snv", reference, fitted).select(*ranked.columns)
+    once = sorted(map(repr, ranked.collect()))
+    assert once == sorted(map(repr, batch.collect())) and len(once) > 0
+    assert {r.patient_file: r.status for r in files.collect()} == statuses
+    # The same batches again, as after a failure before they were committed, replace their folders.
+    ranked, files = run(str(tmp_path / "again"))
+    assert sorted(map(repr, ranked.collect())) == once and files.count() == len(statuses)
+
+
+def stage_tables(spark):
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "lociq"
+    return {p.name for p in folder.glob("*") if p.name.split("-")[0] in ("arrived", "variants", "files", "annotated", "scored")}
 
 
 def test_evaluation_reports(spark):

@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from lociq.sources import sinks, tables, vcf
+from lociq.sources import sinks, predictors, tables, vcf
 from lociq.sources.lines import read_lines, without_first_lines
 
 HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE\n"
@@ -100,7 +100,7 @@ def test_wide_probe(spark, tmp_path):
     with gzip.open(tmp_path / "w.gz", "wt") as f:
         f.write("#chr\tpos\n" + "\n".join(line("1", p) for p in range(30)) + "\n")
     needed = spark.createDataFrame([("1_3_A_G",), ("1_4_A_T",), ("1_5_A_G_x",), ("1_3_A_G",)], "variant_id string")
-    out = tables.probe_wide_table(spark, str(tmp_path / "w.gz"), needed).collect()
+    out = predictors.probe_wide_table(spark, str(tmp_path / "w.gz"), needed).collect()
     assert [(r.variant_id, r.SIFT_score, r.CADD_phred) for r in out] == [("1_3_A_G", None, "c154")]
 
 
