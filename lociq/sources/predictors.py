@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,14 @@ from lociq.sources.lines import at, read_lines, without_first_lines
 BUCKET_BYTES = 2 << 30
 
 
+@dataclass(frozen=True)
+class StagedTable:
+    """The converted table and its number of buckets."""
+
+    rows: DataFrame
+    buckets: int
+
+
 def needed_keys(variants: DataFrame) -> DataFrame:
     """Join keys of variant ids; ids that do not have exactly four parts are ignored."""
     return (
@@ -53,7 +62,8 @@ def probe_wide_table(
     places = places or schemas.PREDICTOR_PLACES
     keys = staged(needed_keys(needed), "needed-keys")
     hits = may_contain(_keyed_lines(spark, path), "_key", keys)
-    return lookup_join(_scores(hits, places), keys, "_key", "inner").drop("_key")
+    scores = _scores(hits, places)
+    return lookup_join(scores, keys, "_key", "inner").select("variant_id", *[c for c in scores.columns if c != "_key"])
 
 
 def _text_bytes(spark: SparkSession, path: str | list[str]) -> int:
@@ -71,7 +81,7 @@ def _table_name(target: str) -> str:
 
 def stage_wide_table(
     spark: SparkSession, path: str | list[str], target: str, places: dict[int, str] | None = None, buckets: int | None = None
-) -> DataFrame:
+) -> StagedTable:
     """Convert the text once: ``variant_id``, the scores and ``src_ord``, bucketed by variant under ``target``.
 
     Cells are cut out before rows move to their buckets.  The number of buckets follows from the
@@ -90,10 +100,10 @@ def stage_wide_table(
         .mode("overwrite")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    return StagedTable(spark.table(name), buckets)
 
 
-def open_staged_table(spark: SparkSession, target: str, places: dict[int, str] | None = None) -> DataFrame:
+def open_staged_table(spark: SparkSession, target: str, places: dict[int, str] | None = None) -> StagedTable:
     """A stage table that another session wrote, with its buckets."""
     places = places or schemas.PREDICTOR_PLACES
     name = _table_name(target)
@@ -106,10 +116,10 @@ def open_staged_table(spark: SparkSession, target: str, places: dict[int, str] |
         f"CREATE TABLE IF NOT EXISTS {name} (variant_id string, {cells}, src_ord struct<file: string, block: bigint, row: bigint>) "
         f"USING parquet CLUSTERED BY (variant_id) SORTED BY (variant_id) INTO {buckets} BUCKETS LOCATION '{folder}'"
     )
-    return spark.table(name)
+    return StagedTable(spark.table(name), buckets)
 
 
-def probe_staged_table(table: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows of the stage table that are asked for; only the wanted ids move."""
+def probe_staged_table(table: StagedTable, needed: DataFrame) -> DataFrame:
+    """Rows of the stage table that are asked for; the wanted ids move to its buckets, nothing else."""
     ids = staged(needed_keys(needed).select("variant_id"), "needed-ids")
-    return may_contain(table, "variant_id", ids).join(ids, "variant_id")
+    return may_contain(table.rows, "variant_id", ids).join(ids.repartition(table.buckets, "variant_id"), "variant_id")

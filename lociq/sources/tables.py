@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lociq import schemas
 from lociq.functions.text import attribute_value, empty_to_null
-from lociq.sources.lines import at, data_lines, fields, line_order, read_lines, without_first_lines
+from lociq.sources.lines import at, data_lines, fields, line_order, read_lines, whole_records, without_first_lines
 
 
 def parse_gene_annotation(lines: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _quoted(columns: list[str]) -> str:
 
 
 def _records(lines: DataFrame, columns: list[str], sep: str) -> DataFrame:
-    record = F.from_csv("value", _quoted(columns), {"sep": sep})
+    record = F.from_csv("value", _quoted(columns), {"sep": sep, "escape": '"'})
     return lines.select(record.alias("_r"), "src_ord").select(
         *[empty_to_null(F.col(f"_r.`{c}`")).alias(c) for c in columns], "src_ord"
     )
@@ -53,16 +53,16 @@ def _header(lines: DataFrame, sep: str) -> list[str]:
 def read_constraint(spark: SparkSession, path: str) -> DataFrame:
     """Header TSV of gene constraint; the needed columns as numbers."""
     lines = read_lines(spark, path)
-    table = _records(without_first_lines(lines, 1), _header(lines, "\t"), "\t")
+    table = _records(whole_records(without_first_lines(lines, 1)), _header(lines, "\t"), "\t")
     numeric = ["oe_lof", "oe_lof_lower", "oe_lof_upper", "oe_lof_upper_rank", "pLI"]
     value = {c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) for c in numeric}
     return table.withColumns(value)
 
 
 def read_dosage(spark: SparkSession, path: str, preamble: int = 4) -> DataFrame:
-    """CSV with descriptive lines before its header."""
+    """CSV with descriptive lines before its header; quoted fields may hold line breaks."""
     lines = without_first_lines(read_lines(spark, path), preamble)
-    return _records(without_first_lines(lines, 1), _header(lines, ","), ",")
+    return _records(whole_records(without_first_lines(lines, 1)), _header(lines, ","), ",")
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.operators import model
-from lociq.operators.search import search_many, search_terms
+from lociq.operators.search import search_many, search_terms, term_index
 from lociq.plans import analyze, evaluate
 from lociq.plans.analyze import ReferenceTables, analyze_cohort
 from lociq.session import shared_dir
@@ -219,3 +219,20 @@ def test_term_search(spark):
     assert search_terms(terms, "s").isEmpty()
     assert [r.HPO_ID for r in search_terms(terms, "^s", regex=True).orderBy("HPO_ID").collect()] == ["HP:0", "HP:2"]
     assert {(r.query, r.HPO_ID) for r in search_many(terms, ["seiz", "sh"]).collect()} == {("seiz", "HP:0"), ("seiz", "HP:1"), ("sh", "HP:2")}
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_term_index_equals_testing_every_term(spark, monkeypatch, large):
+    if large:
+        monkeypatch.setattr("lociq.operators.joins.BROADCAST_BYTES", -1)
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abAB éx", k=rng.randint(0, 9))) for _ in range(300)] + [None, "aaaa", "AB"]
+    terms = spark.createDataFrame([(f"HP:{i}", n, i) for i, n in enumerate(names)], "HPO_ID string, Name string, src_ord int")
+    asked = ["ab", "aaa", "a", "", "abab", "É", "éx ", "xyz", "AB", "b a"]
+    wanted = set()
+    for q in {q for q in asked if len(q) >= 2}:
+        hits = [i for i, n in enumerate(names) if n is not None and q.lower() in n.lower()]
+        wanted |= {(q, f"HP:{i}", names[i], place) for place, i in enumerate(hits[:15], 1)}
+    assert {tuple(r) for r in search_many(terms, asked).select("query", "HPO_ID", "Name", "place").collect()} == wanted
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    assert search_many(terms, queries, index=term_index(terms)).count() == len(wanted)

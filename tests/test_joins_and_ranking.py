@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
+from lociq.operators import joins
 from lociq.operators.joins import lookup_join, spread_join
 from lociq.operators.ranking import rank_rows, running_totals, top_per_key
 
@@ -77,3 +78,29 @@ def test_ranks_are_consecutive_with_ties_and_nulls(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 2.0, 2), ("a", 2.0, 3), ("b", 1.0, 4)], "g string, s double, id int")
     ranked = rank_rows(df, ["g"], [F.desc_nulls_last("s"), F.asc("id")], group_rows=1)
     assert rows(ranked.select("g", "id", "rank")) == [("a", 1, 3), ("a", 2, 1), ("a", 3, 2), ("b", 4, 1)]
+
+
+def test_every_hot_key_is_split(spark, monkeypatch):
+    """More hot keys than any list of the largest would hold, and keys that are hot by their pairs alone."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    left = spark.range(6000).select((F.col("id") % 1500).alias("k"), "id")
+    right = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = joins._hot_keys(left, right, ["k"], 3)
+    assert hot.count() == 1500 and {(r._ls, r._rs) for r in hot.collect()} == {(2, 1)}
+    assert joins.spread_join(left, right, ["k"], hot_rows=3).count() == 6000
+    monkeypatch.setattr(joins, "HOT_KEY_PAIRS", 8)
+    both = spark.range(30).select(F.lit(1).alias("k"), "id")
+    hot = joins._hot_keys(both, both.withColumnRenamed("id", "v"), ["k"], 1000).first()
+    assert hot._ls * hot._rs >= 30 * 30 // 8 // 4 and hot._ls <= 30
+    got = joins.spread_join(both, both.withColumnRenamed("id", "v"), ["k"], hot_rows=1000)
+    assert got.count() == got.distinct().count() == 900
+
+
+def test_ungrouped_totals_never_meet_in_one_task(spark):
+    df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("x"), (F.col("id") % 5).cast("double").alias("w"))
+    out = running_totals(df, [], [F.asc("x")], {"n": F.lit(1), "w_upto": F.col("w")})
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.n, r.w_upto) for r in out.orderBy("x").collect()]
+    values = [r.w for r in df.orderBy("x").collect()]
+    assert got == [(i + 1, sum(values[: i + 1])) for i in range(2000)]
+    assert running_totals(df.limit(0), [], [F.asc("x")], {"n": F.lit(1)}).count() == 0

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lociq.operators import metrics, profile
@@ -94,3 +95,17 @@ def test_duplicate_rows_and_counts(spark):
     assert sorted(r.x for r in profile.duplicate_rows(df, ["k"]).collect()) == [1, 2]
     assert {r.k: r["count"] for r in profile.value_counts(df, "k", dropna=False).collect()} == {"a": 2, "b": 1, None: 2}
     assert profile.missing_counts(df, ["k", "x"]).first() == (2, 0)
+
+
+def test_all_columns_are_described_from_one_staged_table(spark, monkeypatch):
+    written, real = [], profile.staged
+    monkeypatch.setattr(profile, "staged", lambda df, name: written.append(name) or real(df, name))
+    data = [(1.5, 7, None), (2.5, 7, None), (4.0, None, None), (4.0, -1, None), (None, 3, None)]
+    df = spark.createDataFrame(data, "a double, b long, c double")
+    got = {r["column"]: r for r in profile.describe(df, ["a", "b", "c"]).collect()}
+    assert written == ["values"]
+    frame = pd.DataFrame(data, columns=["a", "b", "c"]).astype(float).describe()
+    for column in ("a", "b"):
+        row = got[column]
+        assert [row["count"], row["mean"], row["std"], row["min"], row["p25"], row["p50"], row["p75"], row["max"]] == pytest.approx(list(frame[column]))
+    assert tuple(got["c"]) == ("c", 0, None, None, None, None, None, None, None)

@@ -130,3 +130,18 @@ def test_tier_shares(spark, seed):
     share = {r.t: r["count"] / 3000 for r in df.groupBy("t").count().collect()}
     assert share["moderately_phenotyped"] == pytest.approx(0.4, abs=0.04)
     assert share["poorly_phenotyped"] == pytest.approx(0.3, abs=0.04)
+
+
+def test_draws_of_two_patients_meet_by_chance_only(spark):
+    """Rows that pairs of patients share, against what independent draws would share."""
+    pool = spark.range(200).select(F.col("id").alias("row"), F.concat(F.lit("HP:"), "id").alias("hpo_id"))
+    numbered, size = sampling.number_pool(pool, ["row"], 3)
+    drawn = sampling.draw(spark.range(150).select(F.col("id").alias("patient_id")), numbered, size, F.lit(20), 3, "t")
+    sets = {}
+    for r in drawn.collect():
+        sets.setdefault(r.patient_id, set()).add(r.row)
+    assert all(len(s) == 20 for s in sets.values()) and len(sets) == 150
+    shared = [len(sets[a] & sets[b]) for a in sets for b in sets if a < b]
+    assert sum(shared) / len(shared) == pytest.approx(20 * 20 / 200, rel=0.1)
+    # Runs from near starts would share ten rows or more for one pair in ten.
+    assert sum(s >= 10 for s in shared) / len(shared) < 0.04

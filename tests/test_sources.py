@@ -1,10 +1,14 @@
 """Files as they are found in the wild."""
 
+import csv
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
-from lociq.sources import sinks, predictors, tables, vcf
+from lociq.operators.bloom import bloom_filter, may_contain
+from lociq.schemas import PREDICTOR_PLACES
+from lociq.sources import predictors, sinks, tables, vcf
 from lociq.sources.lines import read_lines, without_first_lines
 
 HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE\n"
@@ -30,8 +34,89 @@ def test_gzip_and_bgz(spark, tmp_path):
         f.write("#h\n1\t10\t.\tA\tG\t.\t.\tCLNSIG=Benign;GENEINFO=A:1|B:2\n")
     row = vcf.read_sites(spark, str(tmp_path / "s.vcf.gz")).first()
     assert (row.chromosome, row.position, row.gene_info_raw, row.review_status_raw) == ("1", 10, "A:1|B:2", None)
-    with pytest.raises(ValueError, match="bgz"):
-        read_lines(spark, "x.txt.bgz")
+
+
+def test_blocked_gzip_is_read_under_another_name(spark, tmp_path):
+    """Several gzip members in one file, two files by pattern."""
+    for name, count in (("a", 3), ("b", 2)):
+        (tmp_path / f"{name}.vcf.bgz").write_bytes(b"".join(gzip.compress(f"{name}\t{i}\n".encode()) for i in range(count)))
+    assert [r.value for r in read_lines(spark, str(tmp_path / "a.vcf.bgz")).orderBy("src_ord").collect()] == ["a\t0", "a\t1", "a\t2"]
+    lines = read_lines(spark, str(tmp_path / "*.bgz"))
+    assert lines.count() == 5 and {r.file_path.rsplit("/")[-1] for r in lines.collect()} == {"a.vcf.gz", "b.vcf.gz"}
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_quoted_line_breaks(spark, tmp_path, monkeypatch, sliced):
+    if sliced:
+        monkeypatch.setattr("lociq.operators.ranking.GROUP_ROWS", 2)
+    rows = [("A", "x"), ("B", 'two\nlines, "said"'), ("C", "\n\nthree\n"), ("D", ""), ("E", '""')]
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            f.write("made up\n++\nfor, a test\n++\n")
+            out = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_ALL if name == "two" else csv.QUOTE_MINIMAL)
+            out.writerows([("GENE SYMBOL", "HAPLOINSUFFICIENCY"), *rows])
+    (tmp_path / "plain.csv").write_text("a\nb\nc\nd\nGENE SYMBOL,HAPLOINSUFFICIENCY\nF,plain\n")
+    (tmp_path / "one.csv").write_text((tmp_path / "one.csv").read_text())
+    for names in (["one.csv", "plain.csv"], ["plain.csv"]):
+        got = tables.read_dosage(spark, [str(tmp_path / n) for n in names])
+        wanted = [(a, b or None) for a, b in rows] if "one.csv" in names else []
+        assert sorted((r["GENE SYMBOL"], r["HAPLOINSUFFICIENCY"]) for r in got.collect()) == sorted([*wanted, ("F", "plain")], key=str)
+    (tmp_path / "open.csv").write_text('a\nb\nc\nd\nGENE SYMBOL,HAPLOINSUFFICIENCY\nF,"never closed\n')
+    with pytest.raises(ValueError, match="never closed"):
+        tables.read_dosage(spark, str(tmp_path / "open.csv"))
+
+
+def test_bloom_filter_lets_every_wanted_key_through(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    wanted = df.filter("id % 10 = 0").select("key")
+    passed = may_contain(df.unionByName(spark.sql("select cast(null as string) as key, cast(-1 as bigint) as id")), "key", wanted)
+    assert passed.join(wanted, "key", "left_semi").count() == 2000 and passed.filter("key is null").isEmpty()
+    assert passed.count() < 2000 + 0.05 * 18_000
+    found, words = bloom_filter(wanted, "key")
+    assert found.count() <= words <= 2000
+    assert may_contain(df, "key", wanted.limit(0)).isEmpty()
+
+
+def wide_file(folder, rows):
+    cells = [[f"{i}|{p}" for p in range(4, 200)] for i in range(rows)]
+    text = "".join("\t".join(["1", str(i), "A", "G", *cells[i]]) + "\n" for i in range(rows))
+    (folder / "wide.txt").write_text("#h\n" + text)
+    return str(folder / "wide.txt")
+
+
+def exchanged(df):
+    """Columns of everything the plan shuffles."""
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, out = [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            out.append({node.output().apply(i).name() for i in range(node.output().size())})
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_no_text_line_is_shuffled(spark, tmp_path, large_mode):
+    path = wide_file(tmp_path, 300)
+    needed = spark.range(0, 600, 3).select(F.format_string("1_%d_A_G", "id").alias("variant_id"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probed = predictors.probe_wide_table(spark, path, needed)
+        assert exchanged(probed) and all("value" not in columns for columns in exchanged(probed))
+        target = str(tmp_path / "stage")
+        table = predictors.stage_wide_table(spark, path, target, buckets=5)
+        staged = predictors.probe_staged_table(table, needed)
+        assert exchanged(staged) and all(not columns & set(PREDICTOR_PLACES.values()) for columns in exchanged(staged))
+        rows = sorted(map(tuple, probed.drop("src_ord").collect()))
+        assert len(rows) == 100 and rows[0][1] == "0|48"
+        assert sorted(map(tuple, staged.drop("src_ord").collect())) == rows
+        spark.sql(f"DROP TABLE {predictors._table_name(target)}")
+        again = predictors.probe_staged_table(predictors.open_staged_table(spark, target), needed)
+        assert sorted(map(tuple, again.drop("src_ord").collect())) == rows
+        assert all(not columns & set(PREDICTOR_PLACES.values()) for columns in exchanged(again))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_patient_sites_skip_bad_rows(spark, tmp_path):
