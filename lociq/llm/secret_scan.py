@@ -1,9 +1,10 @@
 """Secret scans: three fixed patterns and a battery of randomness tests.
 
-A long token is compared with what its encoding (digits, hex, base32, base64 and so on) would give
-if it were random: a chi-squared test of alphabet uniformity, a runs test of character classes and
-a lag-1 serial correlation.  Each gives a p-value under the ordinary hypothesis, letters as the
-corpus's own long tokens have them; the three are combined by Fisher's method.  Discoveries are
+A long token is compared with what its encoding (hex, base32, base64 and so on) would give if it
+were random: a chi-squared test of alphabet uniformity, a runs test of character classes and a
+lag-1 serial correlation.  Each gives a p-value under the ordinary hypothesis, letters as European
+prose has them; they are combined by Fisher's method.  Digits alone are never called random: all
+their frequencies are ordinary.  Discoveries are
 controlled per length class by Benjamini-Hochberg over a histogram of all p-values, so short
 tokens, which are many and weak, do not set the level of long ones.
 
@@ -31,7 +32,7 @@ CLASSES = 8
 #: p-values are binned by powers of 10^-0.25; a bin counts as its upper edge.
 LEVELS = 160
 FALSE_SHARE = 0.001
-#: Share of neighbouring characters of one class in ordinary tokens, and in random ones.
+#: Share of neighbouring characters of different classes in ordinary tokens.
 ORDINARY_SWITCH = 0.12
 
 
@@ -71,6 +72,7 @@ def alphabet_size(token: Column) -> Column:
     """Letters of the smallest usual encoding that the token fits."""
     return (
         F.when(token.rlike("^[0-9]+$"), 10)
+        .when(token.rlike("^[a-z]+$|^[A-Z]+$") & ~token.rlike("^([a-f]+|[A-F]+)$"), 26)
         .when(token.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 16)
         .when(token.rlike("^[A-Z2-7]+=*$|^[a-z2-7]+=*$"), 32)
         .when(token.rlike("^[0-9a-z]+$|^[0-9A-Z]+$"), 36)
@@ -79,46 +81,89 @@ def alphabet_size(token: Column) -> Column:
     ).cast("double")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _moments(token: Column) -> Column:
+    """One walk along a token: sums of its codes, their squares and their neighbours' products."""
+    start = {name: F.lit(0.0).alias(name) for name in ("sum", "squares", "lagged", "first", "last")}
+
+    def step(done: Column, letter: Column) -> Column:
+        code = F.ascii(letter).cast("double")
+        return F.struct(
+            (done["sum"] + code).alias("sum"),
+            (done["squares"] + code * code).alias("squares"),
+            (done["lagged"] + done["last"] * code).alias("lagged"),
+            F.when(done["first"] > 0, done["first"]).otherwise(code).alias("first"),
+            code.alias("last"),
+        )
+
+    return F.aggregate(F.split(token, ""), F.struct(*start.values()), step)
+
+
+def _letter_squares(token: Column, length: Column) -> Column:
+    """Sum of the squared counts of a token's letters; there are at most 66 of them."""
+    letters = F.array_distinct(F.split(token, ""))
+    return F.aggregate(
+        letters, F.lit(0.0), lambda a, c: a + F.pow((length - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0))
+    )
+
+
 def battery(token: Column) -> Column:
     """Combined -ln p of "this is an ordinary token"; 0 where the token fails as a random one.
 
     Ordinary letters are far from uniform: their chi-squared grows with the length.  With squared
     letter frequencies summing to ``s`` the expected index is ``k s n``, against ``k`` for random
-    tokens, so the observed index is held against the ordinary one.
+    tokens, so the observed index is held against the ordinary one.  Where the encoding has digits
+    or both cases, their runs are tested too; letters of one case have no such runs, and the other
+    two tests decide.  Time is in proportion to the token's length.
     """
-    n = F.length(token).cast("double")
-    k = alphabet_size(token)
-    letters = F.split(token, "")
-    distinct = F.array_distinct(letters)
-    squares = F.aggregate(
-        distinct, F.lit(0.0), lambda a, c: a + F.pow((n - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0))
+    core = F.regexp_replace(token, "[^0-9A-Za-z]", "")
+    measured = F.struct(
+        F.length(token).cast("double").alias("n"),
+        alphabet_size(token).alias("k"),
+        _letter_squares(token, F.length(token)).alias("letters"),
+        F.size(F.array_distinct(F.split(token, ""))).alias("distinct"),
+        # Separators join the words of ordinary names; only digits and cases make runs.
+        F.greatest(F.length(core) - 1, F.lit(1)).cast("double").alias("places"),
+        F.regexp_count(core, F.lit("[0-9]+|[A-Z]+|[a-z]+")).cast("double").alias("runs"),
+        token.rlike("^([a-z]+|[A-Z]+)$").alias("one_case"),
+        _moments(token).alias("codes"),
     )
-    chi = k / n * squares - n
+    return bound(measured, lambda m: bound(_tests(m), lambda t: _combined(m, t)))
+
+
+def _tests(m: Column) -> Column:
+    """The three statistics of a measured token."""
+    n, k, codes = m["n"], m["k"], m["codes"]
+    chi = k / n * m["letters"] - n
     df = k - 1
-    # Under uniform letters: chi has mean k - 1 and variance 2 (k - 1).
-    uniform = F.abs(chi - df) / F.sqrt(2 * df) < 4
     # Under ordinary text the sum of squared frequencies is about 0.065 whatever the alphabet.
     shift = F.greatest(n * (k * 0.065 - 1), F.lit(0.0))
-    z_chi = (df + shift - chi) / F.sqrt(2 * (df + 2 * shift))
-    # Separators join the words of ordinary names; only digits and cases make runs.
-    core = F.regexp_replace(token, "[^0-9A-Za-z]", "")
-    places = F.greatest(F.length(core) - 1, F.lit(1)).cast("double")
-    runs = F.regexp_count(core, F.lit("[0-9]+|[A-Z]+|[a-z]+")).cast("double")
-    z_runs = (runs - 1 - places * ORDINARY_SWITCH) / F.sqrt(places * ORDINARY_SWITCH * (1 - ORDINARY_SWITCH))
-    codes = F.transform(letters, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(codes, lambda x: x - mean)
-    spread = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    size = F.size(letters)
-    lagged = F.aggregate(
-        F.zip_with(F.slice(off, 1, size - 1), F.slice(off, 2, size - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x
+    mean = codes["sum"] / n
+    spread = codes["squares"] - n * mean * mean
+    lagged = codes["lagged"] - mean * (2 * codes["sum"] - codes["first"] - codes["last"]) + (n - 1) * mean * mean
+    places = m["places"]
+    return F.struct(
+        # Under uniform letters: chi has mean k - 1 and variance 2 (k - 1).
+        (F.abs(chi - df) / F.sqrt(2 * df) < 4).alias("uniform"),
+        ((df + shift - chi) / F.sqrt(2 * (df + 2 * shift))).alias("z_chi"),
+        ((m["runs"] - 1 - places * ORDINARY_SWITCH) / F.sqrt(places * ORDINARY_SWITCH * (1 - ORDINARY_SWITCH))).alias("z_runs"),
+        F.when(spread > 1e-9, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0)).alias("serial"),
     )
-    serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-    random_like = uniform & (F.abs(serial) < 3.5) & (runs >= 3) & (F.size(distinct) >= 8)
-    # Fisher: -2 (ln p1 + ln p2 + ln p3) is chi-squared with 6 degrees, whose tail is a short sum.
+
+
+def _combined(m: Column, t: Column) -> Column:
+    random_like = t["uniform"] & (F.abs(t["serial"]) < 3.5) & ((m["runs"] >= 3) | m["one_case"]) & (m["distinct"] >= 8)
     # An ordinary token alternates letters of low and high code, which pulls the correlation down.
-    x = _log_upper_tail(z_chi) + _log_upper_tail(z_runs) + _log_upper_tail(1.0 - F.abs(serial))
-    return F.when(random_like, F.greatest(x - F.log(1 + x + x * x / 2), F.lit(0.0))).otherwise(0.0)
+    two = _log_upper_tail(t["z_chi"]) + _log_upper_tail(1.0 - F.abs(t["serial"]))
+    three = two + _log_upper_tail(t["z_runs"])
+    # Fisher: -2 (ln p1 + ... + ln pj) is chi-squared with 2j degrees, whose tail is a short sum.
+    of_two = bound(two, lambda x: x - F.log(1 + x))
+    of_three = bound(three, lambda x: x - F.log(1 + x + x * x / 2))
+    return F.when(random_like, F.greatest(F.when(m["one_case"], of_two).otherwise(of_three), F.lit(0.0))).otherwise(0.0)
 
 
 def length_class(n: Column) -> Column:

@@ -89,13 +89,13 @@ def token_classes(urls: DataFrame, min_support: float) -> DataFrame:
 def mine_rules(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
-    """``(rule_id, items, confidence, support)`` from ``(tokens, bad)``.
+    """``(rule_id, items, choices, confidence, support)`` from ``(tokens, bad)``.
 
     A rule has at least ``min_support`` of the labelled URLs behind it and ``min_confidence`` of
     them bad, and no part of it is as confident.  No labelled rows give no rules.
 
-    A rule with two tokens of one class has a part as confident, so only first tokens are mined; the
-    rules found hold for every member instead.
+    A rule with two tokens of one class has a part as confident, so only first tokens are mined
+    (``items``); the rules found hold for any member of each class (``choices``).
     """
     stages = Stages(labelled.sparkSession, "mined")
     urls = labelled.where(F.size("tokens") > 0)
@@ -120,21 +120,22 @@ def mine_rules(
         & (F.size(F.array_except("part", "items")) == 0)
     )
     rules = found.join(longer.select("items").distinct(), "items", "left_anti").withColumn("first", F.explode("items"))
-    choices = rules.join(classes, "first").groupBy("items", "confidence", "support").agg(F.collect_list("members").alias("choices"))
-    every = F.expr(
-        """aggregate(choices, array(cast(array() as array<string>)),
-           (done, members) -> flatten(transform(done, d -> transform(members, m -> d || array(m)))))"""
+    # A rule stays one rule on classes: each of its choices is a list of tokens of which one is enough.
+    choices = rules.join(classes, "first").groupBy("items", "confidence", "support").agg(
+        F.array_sort(F.collect_list("members")).alias("choices")
     )
-    rules = choices.select(F.explode(every).alias("items"), "confidence", "support").withColumn("items", F.array_sort("items"))
-    return rules.withColumn("rule_id", F.array_join("items", " "))
+    return choices.withColumn("rule_id", F.array_join(F.transform("choices", lambda m: F.array_join(m, "|")), " "))
 
 
 def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Each rule under the token that fewest of the labelled URLs have, once per slice."""
+    """Each rule under every token of the choice that fewest of the labelled URLs have, once per slice."""
     often = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    filed = rules.withColumn("token", F.explode("items")).join(often, "token", "left")
-    rarest = filed.groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    return rules.join(rarest, "rule_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    filed = rules.select("rule_id", F.explode("choices").alias("choice"))
+    # Tokens of a choice are held by the same labelled URLs, so its first one shows how often.
+    filed = filed.withColumn("token", F.element_at("choice", 1)).join(often, "token", "left")
+    rarest = filed.groupBy("rule_id").agg(F.min_by("choice", F.struct(F.coalesce("count", F.lit(0)), "choice")).alias("choice"))
+    indexed = rules.join(rarest, "rule_id").withColumn("token", F.explode("choice")).drop("choice")
+    return indexed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
 
 
 def judge_urls(
@@ -170,7 +171,7 @@ def judge_urls(
     probes = urls.where(F.col("rule").isNull()).select(
         "row", "tokens", F.explode("tokens").alias("token"), F.pmod(F.xxhash64("row"), F.lit(SLICES)).cast("int").alias("slice")
     )
-    hits = probes.join(index.hint("merge"), ["token", "slice"]).where(F.size(F.array_except("items", "tokens")) == 0)
+    hits = probes.join(index.hint("merge"), ["token", "slice"]).where(F.forall("choices", lambda c: F.arrays_overlap(c, F.col("tokens"))))
     best = hits.groupBy("row").agg(F.max_by("rule_id", F.struct("confidence", "support", "rule_id")).alias("mined_rule"))
     judged = urls.join(best.hint("merge"), "row", "left")
     verdict = F.coalesce("action", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
