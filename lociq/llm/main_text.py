@@ -3,8 +3,10 @@
 A page is a sequence of words and tags.  Words score positive and tags negative, by weights learned
 from labelled pages: those that mark their article themselves.  A linear scan finds the contiguous
 region with the highest score; blocks inside it that belong to menus, notices, forms and the like
-are taken out, and the rest is the text.  On a page that marks its article, words outside the mark
-score negative.
+are taken out, and the rest is the text.  A mark is one more weight: a word outside it is worth the
+less, the more of the page's words the mark holds, from nearly 1 beside a teaser that is marked to
+-1 where everything else is marked.  Where it is worth less than nothing the marked regions are the
+text, all of them; where it is worth something, the scan runs over the whole page.
 
 Weights are log-odds of counts over all labelled pages.  A feature is a tag
 from a fixed list, so the table of weights has a fixed size.
@@ -203,6 +205,15 @@ def scored(found: list[Block]) -> list[tuple[Block, str]]:
     return [(b, "apart" if b.apart else ("article" if b.article else "outside") if marked else "plain") for b in found]
 
 
+def outside_weight(found: list[tuple[Block, str]]) -> float:
+    """Worth of a word outside the mark: 1 less twice the share of words that the mark holds."""
+    words = Counter()
+    for b, context in found:
+        words[context] += b.n_words
+    total = words["article"] + words["outside"]
+    return 1.0 - 2.0 * words["article"] / total if total else 1.0
+
+
 def count_features(page: str) -> Counter:
     """Words and tags inside and outside the article of one labelled page; empty for others."""
     counts = Counter()
@@ -260,14 +271,16 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     found, scores = scored(blocks(page)), []
+    outside = outside_weight(found)
+    if outside < 0:
+        # Every marked block scores above zero and every other below: the marked regions, all of them.
+        return " ".join(b.text for b, context in found if context == "article")
     for b, context in found:
-        if context == "plain":
-            scores.append(b.n_words + sum(weights.get(feature(t), weights["other"]) for t in b.tags))
-        else:
-            cost = LEAST_COST * len(b.tags)
-            scores.append({"article": max(b.n_words - cost, LEAST_COST), "outside": -b.n_words - cost, "apart": 0.0}[context])
+        cost = -sum(weights.get(feature(t), weights["other"]) for t in b.tags)
+        worth = {"article": 1.0, "plain": 1.0, "outside": outside, "apart": 0.0}[context]
+        scores.append(worth * b.n_words - cost if context != "apart" else 0.0)
     start, end = best_region(scores)
-    return " ".join(b.text for b, context in found[start:end] if context in ("article", "plain"))
+    return " ".join(b.text for b, context in found[start:end] if context != "apart")
 
 
 def extract_main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociq.llm import secret_scan, url_rules
+from lociq.llm import main_text, secret_scan, url_rules
 
 
 def test_classes_of_many_tokens_give_one_rule(spark):
@@ -100,3 +100,31 @@ def test_long_tokens_take_linear_time(spark):
     got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
     assert time.time() - begin < 60
     assert "random:0:100000" in got[1]
+
+
+def paragraphs(n, words=60, name="word"):
+    return [" ".join(f"{name}{i}x{k}" for k in range(words)) + "." for i in range(n)]
+
+
+def in_tags(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize("place", ["before", "after"])
+def test_a_marked_teaser_does_not_take_the_body(place):
+    body = paragraphs(10)
+    teaser = "<article><h3>Read this</h3></article>"
+    page = f"<html><body><nav>Home</nav>{teaser if place == 'before' else ''}<div>{in_tags(body)}</div>{teaser if place == 'after' else ''}<footer>c</footer></body></html>"
+    weights = {"other": -0.5, "p": -0.01, "/p": -0.01}
+    text = main_text.main_text(page, weights)
+    assert " ".join(body) in text and len(text) <= len(" ".join(body)) + 12
+
+
+def test_all_marked_regions_are_the_text():
+    first, second = paragraphs(1, 30, "first"), paragraphs(5, 60, "second")
+    between = " ".join(f"between{k}" for k in range(40))
+    page = f"<body><article>{in_tags(first)}</article><div>{between}</div><article>{in_tags(second)}</article></body>"
+    assert main_text.main_text(page, {"other": -0.5}) == " ".join([*first, *second])
+    # Where the mark holds little of the page, what lies between belongs to the region.
+    page = f"<body><div>{in_tags(second)}</div><article>{in_tags(first)}</article><div>{in_tags(second)}</div></body>"
+    assert main_text.main_text(page, {"other": -0.5}) == " ".join([*second, *first, *second])
