@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lociq.catalog.oracles import best_scores
+from lociq.catalog.oracles import best_scores, order
 from lociq.catalog.registry import Tables, query
 from lociq.operators import annotate, dedupe, intervals, metrics, phenotype, profile, sampling, search
 from lociq.operators.joins import lookup_join
@@ -721,11 +721,15 @@ def _(t: Tables):
 
 @query(
     "u2_leakage_check",
-    "SELECT o_custkey FROM orders WHERE false",
+    f"""WITH g AS (SELECT o_custkey, row_number() OVER (ORDER BY {order(42, 'o_custkey')}, o_custkey) <= ceil(2e-1 * count(*) OVER ()) AS in_test
+            FROM (SELECT DISTINCT o_custkey FROM orders)),
+        s AS (SELECT in_test, count(*) AS rows, count(DISTINCT o_custkey) AS groups FROM orders JOIN g USING (o_custkey) GROUP BY 1)
+        SELECT sum(rows) FILTER (NOT in_test)::BIGINT AS train_rows, sum(rows) FILTER (in_test)::BIGINT AS test_rows,
+          sum(groups) FILTER (NOT in_test)::BIGINT AS train_groups, sum(groups) FILTER (in_test)::BIGINT AS test_groups, 0 AS shared_groups FROM s""",
 )
 def _(t: Tables):
     train, test = sampling.group_split(t.orders, "o_custkey")
-    return sampling.shared_groups(train, test, "o_custkey")
+    return sampling.leakage_report(train, test, "o_custkey")
 
 
 @query(

@@ -60,27 +60,22 @@ def phenotype_scores(
     """Best disease of every distinct (patient, gene) pair that scores above zero.
 
     Score = weight of the disease's symptoms the patient has / weight of all its symptoms.
-    Each (patient, disease) is scored once, whatever number of genes or variants lead to it.
-    Symptoms are matched on (patient, symptom) and scores on (patient, disease): both sides are
-    distinct there and a key repeats at most once per disease or gene, so neither a frequent
-    patient nor a frequent gene ends up in one task.  Scores are rounded to 12 digits so that
-    the order in which weights happen to be summed cannot decide between equal diseases.
+    A disease's weights and a patient's symptoms are arrays, bounded by the ontology's vocabulary,
+    so a candidate disease is one row from the first join to the score: nothing is expanded to
+    symptoms and nothing joined back.  Scores are rounded to 12 digits so that the order in which
+    weights happen to be summed cannot decide between equal diseases.
     """
     pairs = candidates.select("patient_id", "gene_symbol").filter(F.col("gene_symbol").isNotNull()).distinct()
+    symptoms = patient_symptoms.groupBy("patient_id").agg(F.collect_set("hpo_id").alias("_has"))
+    listed = F.array_sort(F.collect_list(F.struct("hpo_id", "weight")))
+    diseases = weights.groupBy("disease_id").agg(listed.alias("_listed"), F.sum("weight").alias("_total")).filter("_total > 0")
     expanded = lookup_join(pairs, genes_to_diseases, "gene_symbol", "inner")
-    probes = expanded.select("patient_id", "disease_id").distinct()
-    symptoms = patient_symptoms.select("patient_id", "hpo_id").distinct()
-    totals = weights.groupBy("disease_id").agg(F.sum("weight").alias("_total")).filter("_total > 0")
-    listed = lookup_join(probes, weights, "disease_id", "inner")
-    scored = (
-        listed.join(symptoms, ["patient_id", "hpo_id"], "left_semi")
-        .groupBy("patient_id", "disease_id")
-        .agg(F.sum("weight").alias("_matched"))
-    )
-    scored = lookup_join(scored, totals, "disease_id", "inner", sized_by=probes).select(
-        "patient_id", "disease_id", F.round(F.col("_matched") / F.col("_total"), 12).alias("score")
-    )
-    ranked = expanded.join(scored.filter("score > 0"), ["patient_id", "disease_id"])
+    # Patients without symptoms score nothing, so they go before diseases are looked up.
+    told = lookup_join(expanded, symptoms, "patient_id", "inner", sized_by=pairs)
+    met = lookup_join(told, diseases, "disease_id", "inner")
+    own = F.filter("_listed", lambda x: F.array_contains("_has", x["hpo_id"]))
+    matched = F.aggregate(own, F.lit(0.0), lambda total, x: total + x["weight"])
+    ranked = met.withColumn("score", F.round(matched / F.col("_total"), 12)).filter("score > 0")
     best = first_per_key(
         ranked, ["patient_id", "gene_symbol"], [F.desc("score"), F.asc("disease_ord"), F.asc("disease_id")]
     )

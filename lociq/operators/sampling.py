@@ -215,3 +215,17 @@ def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -
 def shared_groups(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
     """Groups found on both sides; must be empty."""
     return train.select(group).intersect(test.select(group))
+
+
+def leakage_report(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
+    """One row: rows and groups of either side, and groups found on both, which must be none."""
+    sides = train.select(group, F.lit(1).alias("_train")).unionByName(test.select(group, F.lit(0).alias("_train")))
+    groups = sides.groupBy(group).agg(F.sum("_train").alias("_in_train"), F.count(F.lit(1)).alias("_rows"))
+    in_train, in_test = F.col("_in_train") > 0, F.col("_rows") > F.col("_in_train")
+    return groups.agg(
+        F.coalesce(F.sum("_in_train"), F.lit(0)).alias("train_rows"),
+        F.coalesce(F.sum(F.col("_rows") - F.col("_in_train")), F.lit(0)).alias("test_rows"),
+        F.count_if(in_train).alias("train_groups"),
+        F.count_if(in_test).alias("test_groups"),
+        F.count_if(in_train & in_test).alias("shared_groups"),
+    )
