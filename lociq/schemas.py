@@ -2,16 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_TYPES = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "i": T.IntegerType()}
-
-
-def _table(text: str) -> T.StructType:
-    fields = [item.split(":") for item in text.split()]
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
-
-
 # The per-variant predictor columns and their place in the wide table.
 PREDICTOR_PLACES = {
     0: "chr",
@@ -39,51 +29,65 @@ PREDICTOR_PLACES = {
 }
 PREDICTORS = [name for place, name in PREDICTOR_PLACES.items() if place > 3]
 
+# Column types of every stage table, as DDL.
 TABLES = {
-    "clinvar_raw": _table(
-        "chromosome:s position:l reference_allele:s alternate_allele:s gene_info_raw:s "
-        "clinvar_significance_raw:s review_status_raw:s"
+    "clinvar_raw": (
+        "chromosome string, position bigint, reference_allele string, alternate_allele string, "
+        "gene_info_raw string, clinvar_significance_raw string, review_status_raw string"
     ),
-    "clinvar_clean": _table(
-        "variant_id:s chromosome:s position:l reference_allele:s alternate_allele:s gene_symbol:s "
-        "has_multiple_genes:b clinvar_significance:s review_status:s"
+    "clinvar_clean": (
+        "variant_id string, chromosome string, position bigint, reference_allele string, "
+        "alternate_allele string, gene_symbol string, has_multiple_genes boolean, "
+        "clinvar_significance string, review_status string"
     ),
-    "sv_raw": _table(
-        "chromosome:s start_position:l variant_filter:s sv_type_raw:s end_position_raw:s "
-        "sv_length_raw:s allele_frequency_raw:s"
+    "sv_raw": (
+        "chromosome string, start_position bigint, variant_filter string, sv_type_raw string, "
+        "end_position_raw string, sv_length_raw string, allele_frequency_raw string"
     ),
-    "sv_clean": _table(
-        "variant_id:s chromosome:s start_position:l end_position:l deletion_size:l "
-        "deletion_size_from_coords:l allele_frequency:d"
+    "sv_clean": (
+        "variant_id string, chromosome string, start_position bigint, end_position bigint, "
+        "deletion_size bigint, deletion_size_from_coords bigint, allele_frequency double"
     ),
-    "genes": _table("chromosome:s start_position:l end_position:l gene_symbol:s gene_id:s gene_biotype:s"),
-    "constraint": _table("gene_symbol:s oe_lof:d oe_lof_lower:d oe_lof_upper:d oe_lof_upper_rank:d pLI:d"),
-    "dosage": _table(
-        "gene_symbol:s haploinsufficiency_label:s haploinsufficiency_score:i "
-        "triplosensitivity_label:s triplosensitivity_score:i"
+    "genes": (
+        "chromosome string, start_position bigint, end_position bigint, gene_symbol string, gene_id string, "
+        "gene_biotype string"
     ),
-    "hpo_terms": _table("HPO_ID:s Name:s Definition:s Parents:s"),
-    "hpo_annotations": _table(
-        "disease_id:s disease_name:s hpo_id:s frequency:s frequency_numeric:d onset:s qualifier:s is_negated:b aspect:s"
+    "constraint": (
+        "gene_symbol string, oe_lof double, oe_lof_lower double, oe_lof_upper double, "
+        "oe_lof_upper_rank double, pLI double"
     ),
-    "gene_disease": _table(
-        "gene_symbol:s mim_number:s disease_name:s phenotype_mim_number:s mapping_key:s phenotype_type:s "
-        "inheritance_modes:s"
+    "dosage": (
+        "gene_symbol string, haploinsufficiency_label string, haploinsufficiency_score int, "
+        "triplosensitivity_label string, triplosensitivity_score int"
     ),
-    "morbidmap": _table(
-        "gene_symbol:s gene_mim_number:s disease_name:s phenotype_mim_number:s mapping_key:s phenotype_type:s "
-        "inheritance_modes:s cyto_location:s"
+    "hpo_terms": "HPO_ID string, Name string, Definition string, Parents string",
+    "hpo_annotations": (
+        "disease_id string, disease_name string, hpo_id string, frequency string, frequency_numeric double, "
+        "onset string, qualifier string, is_negated boolean, aspect string"
     ),
-    "mim2gene": _table("mim_number:s mim_entry_type:s entrez_gene_id:s gene_symbol:s ensembl_gene_id:s"),
-    "mim_titles": _table("mim_number:s prefix:s preferred_disease_name:s preferred_symbol:s"),
-    "dbnsfp_scores": _table("variant_id:s " + " ".join(f"{c}:s" for c in PREDICTORS)),
-    "patients_meta": _table(
-        "patient_id:l causal_variant_id:s causal_gene:s causal_disease:s causal_disease_mim:s "
-        "causal_inheritance_mode:s phenotype_tier:s n_patient_symptoms:l patient_hpo_terms:s"
+    "gene_disease": (
+        "gene_symbol string, mim_number string, disease_name string, phenotype_mim_number string, "
+        "mapping_key string, phenotype_type string, inheritance_modes string"
     ),
-    "patient_variants": _table(
-        "patient_id:l variant_id:s gene_symbol:s is_causal:i is_hard_negative:i zygosity:s simulated_read_depth:i "
-        "simulated_genotype_quality:i simulated_filter_status:s"
+    "morbidmap": (
+        "gene_symbol string, gene_mim_number string, disease_name string, phenotype_mim_number string, "
+        "mapping_key string, phenotype_type string, inheritance_modes string, cyto_location string"
+    ),
+    "mim2gene": (
+        "mim_number string, mim_entry_type string, entrez_gene_id string, gene_symbol string, "
+        "ensembl_gene_id string"
+    ),
+    "mim_titles": "mim_number string, prefix string, preferred_disease_name string, preferred_symbol string",
+    "dbnsfp_scores": ", ".join(["variant_id string", *[f"{c} string" for c in PREDICTORS]]),
+    "patients_meta": (
+        "patient_id bigint, causal_variant_id string, causal_gene string, causal_disease string, "
+        "causal_disease_mim string, causal_inheritance_mode string, phenotype_tier string, "
+        "n_patient_symptoms bigint, patient_hpo_terms string"
+    ),
+    "patient_variants": (
+        "patient_id bigint, variant_id string, gene_symbol string, is_causal int, is_hard_negative int, "
+        "zygosity string, simulated_read_depth int, simulated_genotype_quality int, "
+        "simulated_filter_status string"
     ),
 }
 
@@ -96,7 +100,3 @@ GENEMAP_COLUMNS = [
 MIM2GENE_COLUMNS = ["mim_number", "mim_entry_type", "entrez_gene_id", "gene_symbol", "ensembl_gene_id"]
 MIM_TITLE_COLUMNS = ["prefix", "mim_number", "preferred_title_raw", "alternative_titles_raw", "included_titles_raw"]
 MORBIDMAP_COLUMNS = ["phenotype_raw", "gene_symbols_raw", "gene_mim_number", "cyto_location"]
-
-
-def all_string(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
