@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lociq.catalog.oracles import number, order, unit
 from lociq.catalog.registry import Tables, query
-from lociq.catalog.relational import annotations, deletion_features, gene_diseases, genes, phenotype_inputs, sites
+from lociq.catalog.relational import annotations, deletion_features, gene_diseases, genes, phenotype_inputs, population, sites
 from lociq.functions.variants import zygosity_from_genotype
 from lociq.operators import phenotype, profile, sampling
 from lociq.operators.intervals import gene_overlaps
