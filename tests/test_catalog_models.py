@@ -76,6 +76,14 @@ def test_training_vectors_lie_in_one_partition_when_small(spark, rows):
     assert evaluate.stage_vectors(rows.repartition(9), assembly).rdd.getNumPartitions() == 1
 
 
+def test_training_vectors_are_dealt_to_the_cores_when_larger(spark, rows, monkeypatch):
+    monkeypatch.setattr(evaluate, "LEAST_TASK_BYTES", 40 * 8 * 2)
+    assembly = evaluate.fit_assembly(rows, "snv")
+    vectors = evaluate.stage_vectors(rows.repartition(40), assembly)
+    assert 1 < vectors.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert vectors.count() == rows.count()
+
+
 def test_no_feature_follows_from_a_label(spark, folder):
     """No column of the labelled views or the predictors but the labels reads what the labels are made of."""
     t = Tables(spark, folder)
