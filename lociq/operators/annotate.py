@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lociq.operators.dedupe import keep_first
 from lociq.operators.intervals import gene_at
-from lociq.operators.joins import lookup_join
+from lociq.operators.joins import is_small, lookup_join
+from lociq.session import staged
 
 
 def with_gene_evidence(
@@ -47,9 +48,15 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
     A variant listed in ``known`` takes its first row there; the others get the first gene
     whose span contains the position.  Each distinct variant is resolved once and the result
     joined back, so a variant carried by many patients is searched a single time.
+
+    Of a large table the distinct variants and their matches are written out: both are read
+    several times, and every time would shuffle the whole table again.
     """
     key = ["variant_id", "chromosome", "position"]
-    distinct = variants.select(*key).distinct()
+    keep = (lambda df, name: df) if is_small(variants) else staged
+    counted = keep(variants.groupBy(*key).agg(F.count(F.lit(1)).alias("_l")), "distinct-variants")
+    # A row with a null key finds nothing below.
+    distinct = counted.drop("_l").dropna(subset=key)
     listed = keep_first(known, ["variant_id"], [F.asc(order)]).select(
         "variant_id",
         F.col("gene_symbol").alias("_listed_gene"),
@@ -58,9 +65,9 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
         F.col("has_multiple_genes").alias("_multi"),
         F.lit(True).alias("_listed"),
     )
-    matched = lookup_join(distinct, listed, "variant_id")
+    matched = keep(lookup_join(distinct, listed, "variant_id"), "matched-variants")
     unlisted = matched.filter(F.col("_listed").isNull())
-    located = gene_at(unlisted, genes, order, sized_by=variants).withColumnRenamed("gene_symbol", "_located_gene")
+    located = gene_at(unlisted, genes, order, sized_by=distinct).withColumnRenamed("gene_symbol", "_located_gene")
     # Distinct variants of one position differ in their alleles only, so no position is hot here.
     resolved = matched.join(located, ["chromosome", "position"], "left")
     in_known = F.coalesce("_listed", F.lit(False))
@@ -72,7 +79,7 @@ def annotate_sites(variants: DataFrame, known: DataFrame, genes: DataFrame, orde
         F.coalesce("_multi", F.lit(False)).alias("has_multiple_genes"),
         in_known.alias("in_clinvar"),
     )
-    return lookup_join(variants, resolved, key)
+    return lookup_join(variants, resolved, key, sizes=counted)
 
 
 def with_features(rows: DataFrame, features: DataFrame, columns: list[str], order: list) -> DataFrame:

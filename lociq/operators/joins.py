@@ -24,16 +24,21 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return estimated_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def _hot_keys(left: DataFrame, right: DataFrame | None, on: Sequence[str], hot_rows: int) -> DataFrame | None:
+def _hot_keys(
+    left: DataFrame, right: DataFrame | None, on: Sequence[str], hot_rows: int, sizes: DataFrame | None = None
+) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows or ``HOT_KEY_PAIRS`` pairs, and the slices of each side.
 
     Every such key is listed.  They are fewer than rows / ``hot_rows`` plus the square root of
     rows squared / pairs, which is what bounds the table that is broadcast.
     """
-    sides = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-    if right is not None:
-        sides = sides.unionByName(right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    sizes = sides.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    if sizes is None:
+        sides = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+        if right is not None:
+            sides = sides.unionByName(right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+        sizes = sides.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    else:
+        sizes = sizes.select(*on, "_l", F.lit(0).cast("bigint").alias("_r"))
     pairs = F.col("_l").cast("double") * F.col("_r")
     hot = sizes.filter((F.greatest("_l", "_r") > hot_rows) | (pairs > HOT_KEY_PAIRS))
     own = F.greatest(F.lit(1), F.ceil(F.col("_r") / hot_rows))
@@ -71,12 +76,14 @@ def spread_join(
     how: str = "inner",
     hot_rows: int | None = None,
     sized_by: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffled equi-join with the hot keys cut into slices.
 
     Finding hot keys costs one pre-aggregated count over the key columns.  Where ``left`` is
     itself the result of joins, ``sized_by`` names a cheaper table with the same keys (such as
-    the table it started from) to count instead.
+    the table it started from) to count instead.  ``sizes`` holds the count where the caller has
+    it: every key of ``left`` once, with its rows as ``_l``; for joins that slice the left only.
 
     Inner joins slice both sides of a hot key and meet every pair of slices once.  Outer,
     semi and anti joins slice the left side only, so every left row is still seen once.
@@ -85,7 +92,9 @@ def spread_join(
     hot_rows = hot_rows or HOT_KEY_ROWS
     on = list(on)
     inner = how == "inner"
-    hot = _hot_keys(left if sized_by is None else sized_by, right if inner else None, on, hot_rows)
+    if inner and sizes is not None:
+        raise ValueError("an inner join counts both sides")
+    hot = _hot_keys(left if sized_by is None else sized_by, right if inner else None, on, hot_rows, sizes)
     if hot is None:
         return left.join(right, on, how)
 
@@ -111,6 +120,7 @@ def lookup_join(
     how: str = "left",
     hot_rows: int | None = None,
     sized_by: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a reference table.
 
@@ -120,4 +130,4 @@ def lookup_join(
     on = [on] if isinstance(on, str) else list(on)
     if is_small(right):
         return left.join(F.broadcast(right), on, how)
-    return spread_join(left, right, on, how, hot_rows, sized_by)
+    return spread_join(left, right, on, how, hot_rows, sized_by, sizes)

@@ -104,3 +104,30 @@ def test_ungrouped_totals_never_meet_in_one_task(spark):
     values = [r.w for r in df.orderBy("x").collect()]
     assert got == [(i + 1, sum(values[: i + 1])) for i in range(2000)]
     assert running_totals(df.limit(0), [], [F.asc("x")], {"n": F.lit(1)}).count() == 0
+
+
+def test_known_sizes_spare_the_count(spark, large_mode):
+    left = spark.range(40).select(F.when(F.col("id") > 3, F.col("id") % 4).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (None, "c")], "k long, w string")
+    sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("_l"))
+    assert rows(lookup_join(left, right, "k", sizes=sizes)) == rows(left.join(right, "k", "left"))
+    with pytest.raises(ValueError, match="counts both sides"):
+        spread_join(left, right, ["k"], "inner", sizes=sizes)
+
+
+def test_distinct_variants_are_resolved_once(spark, large_mode, monkeypatch):
+    from lociq.operators import annotate
+
+    written = []
+    real = annotate.staged
+    monkeypatch.setattr(annotate, "staged", lambda df, name: written.append(name) or real(df, name))
+    variants = spark.createDataFrame(
+        [(p, v, c, x) for p in range(9) for v, c, x in [("a", "1", 5), ("b", "1", 50), (None, "1", 5), ("a", None, 5), ("d", "2", 7)]],
+        "patient_id long, variant_id string, chromosome string, position long",
+    )
+    known = spark.createDataFrame([("a", "GA", "Benign", "r", True, 1)], "variant_id string, gene_symbol string, clinvar_significance string, review_status string, has_multiple_genes boolean, src_ord long")
+    genes = spark.createDataFrame([("1", 40, 60, "GB", "x", 1)], "chromosome string, start_position long, end_position long, gene_symbol string, gene_biotype string, src_ord long")
+    found = annotate.annotate_sites(variants, known, genes).select("variant_id", "chromosome", "gene_symbol", "in_clinvar")
+    expected = [("a", "1", "GA", True), ("b", "1", "GB", False), (None, "1", None, None), ("a", None, None, None), ("d", "2", None, False)]
+    assert rows(found) == sorted(expected * 9, key=repr)
+    assert written == ["distinct-variants", "matched-variants"]
