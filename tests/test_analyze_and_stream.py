@@ -182,6 +182,30 @@ def test_arriving_files_are_ranked_like_a_batch(spark, reference, tmp_path, with
     assert sorted(map(repr, ranked.collect())) == once and files.count() == len(statuses)
 
 
+def test_arrivals_reduce_the_reference_tables_once(spark, reference, tmp_path, monkeypatch):
+    """No batch runs over the whole annotation or gene table again; rows are those of one batch run."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    write_sites(folder)
+    symptoms = spark.createDataFrame([("a.vcf", "HP:0003002"), ("b.vcf", "HP:1"), ("gone.vcf", "HP:1")], "patient_id string, hpo_id string")
+    variants, wanted, _ = analyze.read_cohort(read_lines(spark, str(folder)), symptoms, "snv")
+    assert sorted(r.patient_id for r in wanted.collect()) == ["a.vcf", "b.vcf"]
+    whole = analyze.rank_cohort(variants, wanted, "snv", reference, None)
+
+    def again(*args, **kwargs):
+        raise AssertionError("reduced in a batch")
+
+    for name in ("disease_weights", "gene_disease_ids", "first_locus"):
+        monkeypatch.setattr(analyze, name, again)
+    out = str(tmp_path / "out")
+    lines = arriving_lines(spark, str(folder), files_per_batch=1)
+    rank_arrivals(lines, symptoms, "snv", reference, None, out, str(tmp_path / "state")).awaitTermination(240)
+    ranked = spark.read.parquet(f"{out}/ranked")
+    assert ranked.select("batch").distinct().count() == 2
+    ranked = ranked.drop("batch")
+    assert sorted(map(repr, ranked.collect())) == sorted(map(repr, whole.select(*ranked.columns).collect()))
+
+
 def stage_tables(spark):
     folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "lociq"
     return {p.name for p in folder.glob("*") if p.name.split("-")[0] in ("arrived", "variants", "files", "annotated", "scored")}

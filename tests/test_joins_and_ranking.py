@@ -131,3 +131,13 @@ def test_distinct_variants_are_resolved_once(spark, large_mode, monkeypatch):
     expected = [("a", "1", "GA", True), ("b", "1", "GB", False), (None, "1", None, None), ("a", None, None, None), ("d", "2", None, False)]
     assert rows(found) == sorted(expected * 9, key=repr)
     assert written == ["distinct-variants", "matched-variants"]
+
+
+def test_few_rows_cut_a_large_lookup_table(spark):
+    """A large reference table is cut to the keys of a small left side before it is shuffled."""
+    left = spark.sql("SELECT * FROM VALUES (1L, 'a'), (1L, 'b'), (CAST(NULL AS BIGINT), 'c'), (-5L, 'd') AS t(k, v)")
+    right = spark.range(6_000_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    out = joins.lookup_join(left, right, "k")
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.select("v", "w").collect())) == [("a", 2), ("b", 2), ("c", None), ("d", None)]
+    assert joins.lookup_join(left, right, "k", "left_anti").count() == 2
