@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lociq.catalog.registry import Tables, query
@@ -9,7 +11,7 @@ from lociq.catalog.relational import constraint, sites
 from lociq.operators.ranking import first_per_key
 from lociq.plans import clean
 from lociq.schemas import PREDICTOR_PLACES
-from lociq.session import scratch_path
+from lociq.session import delete, scratch_path
 from lociq.sources import predictors, sinks, tables, vcf
 from lociq.sources.lines import read_lines
 from lociq.streaming.arrivals import analyze_arrivals, arriving_lines
@@ -31,17 +33,18 @@ def staged_lines(t: Tables, name: str, lines: DataFrame, gzip: bool = False) ->
     return path
 
 
-def staged_files(t: Tables, name: str, lines: DataFrame, key: str, place: str) -> str:
+def staged_files(t: Tables, name: str, lines: DataFrame, key: str, place: str, value: Column | str = "value") -> str:
     """Write one file per key, its lines in order of ``place``, in ``patient=<key>`` folders.
 
-    Making a file costs more than its lines, so the number of tasks is given and not left to
+    ``value`` is worked out after the lines are in place: what a long line is made of moves, not
+    the line.  Making a file costs more than its lines, so the number of tasks is given and not left to
     their bytes, and the tasks put their files in place themselves, not the driver one by one.
     """
     path = scratch_path(t.spark, name)
     tasks = max(4 * t.spark.sparkContext.defaultParallelism, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = lines.select(F.col(key).alias("patient"), F.col(place).alias("_place"), "value")
+    ordered = lines.select(F.col(key).alias("patient"), F.col(place).alias("_place"), *[c for c in lines.columns if c not in (key, place)])
     ordered = ordered.repartition(tasks, "patient").sortWithinPartitions("patient", "_place")
-    writer = ordered.select("patient", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer = ordered.select("patient", (F.col(value) if isinstance(value, str) else value).alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.partitionBy("patient").text(path)
     return path
 
@@ -334,17 +337,35 @@ _WIDE = f"""SELECT {_SITE_ID} AS variant_id, {", ".join(_cell(p, n) for p, n in
        FROM @sites_raw@ WHERE {_SITE_ID} IN (SELECT variant_id FROM @patient_sites@)"""
 
 
-def wide_table_path(t: Tables) -> str:
-    """All of ``sites_raw`` as lines of 380 columns in several files."""
+# Lines of 380 columns, of some 4 KB each, that lie on disk at a time.
+WIDE_ROWS = 250_000
+
+
+def wide_table_slices(t: Tables) -> Iterator[str]:
+    """All of ``sites_raw`` as lines of 380 columns in several files, a slice of the rows at a time.
+
+    The text is many times as large as the table, so a slice is deleted when the next one is asked for.
+    """
+    n = max(1, -(-t.sites_raw.count() // WIDE_ROWS))
+    for i in range(n):
+        path = _wide_files(t, t.sites_raw.filter(F.pmod(F.xxhash64("src_ord"), F.lit(n)) == i))
+        yield path
+        delete(t.spark, path)
+
+
+def _wide_files(t: Tables, rows: DataFrame) -> str:
     key = F.col("src_ord").cast("string")
     sift = F.when(F.col("src_ord") % 4 == 0, F.lit(".")).otherwise(F.concat(F.lit("s"), key, F.lit(";48")))
     cells = F.transform(
         F.sequence(F.lit(4), F.lit(379)), lambda p: F.when(p == 48, sift).otherwise(F.concat(F.lit("v"), key, F.lit("_"), p.cast("string")))
     )
-    front = F.array("chromosome", F.col("position").cast("string"), "reference_allele", "alternate_allele")
+    front_names = ["chromosome", "position", "reference_allele", "alternate_allele"]
+    front = F.array(*[F.col(c).cast("string") for c in front_names])
     value = F.array_join(F.concat(front, cells), "\t")
-    data = t.sites_raw.select((F.col("src_ord") % 8).alias("part"), F.col("src_ord").alias("place"), value.alias("value"))
-    return staged_files(t, "wide", _with_head(data, "part", ["#chr\tpos\tref\talt\trest"]), "part", "place")
+    data = rows.select((F.col("src_ord") % 8).alias("part"), F.col("src_ord").alias("place"), F.lit(None).cast("string").alias("value"), "src_ord", *front_names)
+    heads = _with_head(data, "part", ["#chr\tpos\tref\talt\trest"]).filter(F.col("value").isNotNull())
+    lines = data.unionByName(heads, allowMissingColumns=True)
+    return staged_files(t, "wide", lines, "part", "place", F.coalesce("value", value))
 
 
 def _wanted(t: Tables) -> DataFrame:
@@ -354,12 +375,14 @@ def _wanted(t: Tables) -> DataFrame:
 
 @query("s12_wide_table_probe", _WIDE)
 def _(t: Tables):
-    return predictors.probe_wide_table(t.spark, wide_table_path(t), _wanted(t)).drop("src_ord")
+    return predictors.probe_wide_slices(t.spark, wide_table_slices(t), _wanted(t)).drop("src_ord")
 
 
 @query("s12_bucketed_stage_probe", _WIDE)
 def _(t: Tables):
-    table = predictors.stage_wide_table(t.spark, wide_table_path(t), scratch_path(t.spark, "predictors"), buckets=8)
+    target, table = scratch_path(t.spark, "predictors"), None
+    for path in wide_table_slices(t):
+        table = predictors.stage_wide_table(t.spark, path, target, buckets=8, append=table is not None)
     return predictors.probe_staged_table(table, _wanted(t)).drop("src_ord")
 
 

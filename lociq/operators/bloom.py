@@ -25,12 +25,15 @@ def bloom_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return places.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), words
 
 
-def may_contain(df: DataFrame, key: str, keys: DataFrame, keys_column: str | None = None) -> DataFrame:
+def may_contain(
+    df: DataFrame, key: str, keys: DataFrame, keys_column: str | None = None, filter: tuple[DataFrame, int] | None = None
+) -> DataFrame:
     """Rows whose key may be among ``keys``: all that are, and a few that are not.
 
     The filter's size is bounded, so it is broadcast and ``df`` does not move.  Null keys go.
+    ``filter`` is the result of :func:`bloom_filter` where the caller has it.
     """
-    found, words = bloom_filter(keys, keys_column or key)
+    found, words = filter or bloom_filter(keys, keys_column or key)
     out = df.filter(F.col(f"`{key}`").isNotNull())
     for nth in (1, 2):
         place = _place(F.col(f"`{key}`"), nth, words)

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lociq import schemas
-from lociq.operators.bloom import may_contain
+from lociq.operators.bloom import bloom_filter, may_contain
 from lociq.operators.joins import lookup_join
 from lociq.session import staged
 from lociq.sources.lines import at, read_lines, without_first_lines
@@ -59,10 +60,25 @@ def probe_wide_table(
     spark: SparkSession, path: str | list[str], needed: DataFrame, places: dict[int, str] | None = None
 ) -> DataFrame:
     """Rows of the text table whose (chr, pos, ref, alt) is asked for."""
+    return probe_wide_slices(spark, [path], needed, places)
+
+
+def probe_wide_slices(
+    spark: SparkSession, slices: Iterable[str | list[str]], needed: DataFrame, places: dict[int, str] | None = None
+) -> DataFrame:
+    """The same for a table that comes in slices, each read once.
+
+    What the filter lets through of a slice is written out, so a slice may go when the next is
+    asked for; one join at the end keeps what is really wanted of all of them.
+    """
     places = places or schemas.PREDICTOR_PLACES
     keys = staged(needed_keys(needed), "needed-keys")
-    hits = may_contain(_keyed_lines(spark, path), "_key", keys)
-    scores = _scores(hits, places)
+    words, n = bloom_filter(keys, "_key")
+    found = (staged(words, "needed-filter"), n)
+    scores = None
+    for path in slices:
+        hits = staged(_scores(may_contain(_keyed_lines(spark, path), "_key", keys, filter=found), places), "probed")
+        scores = hits if scores is None else scores.unionByName(hits)
     return lookup_join(scores, keys, "_key", "inner").select("variant_id", *[c for c in scores.columns if c != "_key"])
 
 
@@ -80,12 +96,18 @@ def _table_name(target: str) -> str:
 
 
 def stage_wide_table(
-    spark: SparkSession, path: str | list[str], target: str, places: dict[int, str] | None = None, buckets: int | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    target: str,
+    places: dict[int, str] | None = None,
+    buckets: int | None = None,
+    append: bool = False,
 ) -> StagedTable:
     """Convert the text once: ``variant_id``, the scores and ``src_ord``, bucketed by variant under ``target``.
 
     Cells are cut out before rows move to their buckets.  The number of buckets follows from the
-    size of the text.
+    size of the text.  With ``append`` the rows, a further slice of the text, join those that are there
+    in as many buckets.
     """
     places = places or schemas.PREDICTOR_PLACES
     buckets = buckets or max(1, math.ceil(_text_bytes(spark, path) / BUCKET_BYTES))
@@ -97,7 +119,7 @@ def stage_wide_table(
         .write.bucketBy(buckets, "variant_id")
         .sortBy("variant_id")
         .option("path", f"{target}/buckets={buckets}")
-        .mode("overwrite")
+        .mode("append" if append else "overwrite")
         .saveAsTable(name)
     )
     return StagedTable(spark.table(name), buckets)

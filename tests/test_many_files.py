@@ -1,11 +1,14 @@
 """Many patient files: few listing tasks, files made by many tasks, one pass over the lines."""
 
+import pathlib
 import uuid
 
 from pyspark.sql import functions as F
 
+from lociq.catalog import QUERIES, scans
 from lociq.catalog.registry import Tables
 from lociq.catalog.scans import staged_files
+from lociq.session import shared_dir
 from lociq.sources import vcf
 from lociq.sources.lines import LISTING_TASKS, read_lines
 
@@ -50,3 +53,18 @@ def test_types_are_detected_in_one_pass(spark, tmp_path):
     found = vcf.detect_types(read_lines(spark, str(tmp_path)))
     assert {r.patient_file: r.detected_type for r in found.collect()} == {"header": "snv", "early": "cnv", "late": "snv", "noted": "snv"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("text") == 1
+
+
+def test_wide_text_lies_on_disk_a_slice_at_a_time(spark, folder, monkeypatch):
+    """The rows are the same in one slice or several, and no slice is left behind."""
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "lociq"
+
+    def run(name):
+        before = set(shared.glob("wide-*"))
+        found = sorted(map(repr, QUERIES[name](spark, folder).collect()))
+        assert set(shared.glob("wide-*")) == before
+        return found
+
+    whole = run("s12_wide_table_probe")
+    monkeypatch.setattr(scans, "WIDE_ROWS", 600)
+    assert run("s12_wide_table_probe") == whole and run("s12_bucketed_stage_probe") == whole and whole
