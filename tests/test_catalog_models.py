@@ -8,7 +8,7 @@ from lociq.catalog.registry import Tables
 from lociq.operators import model
 from lociq.plans import evaluate
 from lociq.plans.study import LIVE, Study
-from lociq.session import kept, kept_path
+from lociq.session import exists, kept, kept_path
 
 
 @pytest.fixture
@@ -116,3 +116,17 @@ def test_kept_builds_once_and_survives_a_broken_build(spark):
         kept(spark, "kept/two", build)
 
     assert spark.read.parquet(kept(spark, "kept/two", beaten)).count() == 3 and len(built) == 3
+
+
+def test_configurations_of_the_same_features_share_a_training(spark, rows, trained):
+    """Without simulated columns, leaving the quality features out is the full model: five trainings for six names."""
+    study = Study.of(spark, "shared-trainings", "snv", lambda: rows)
+    fitted = study.models()
+    assert list(fitted) == list(evaluate.ABLATIONS["snv"]) and len(trained) == 5
+    assert fitted[evaluate.FULL].features == fitted["A4: without quality features"].features
+
+
+def test_a_study_keeps_its_rows_once(spark, rows):
+    study = Study.of(spark, "rows-once", "snv", lambda: rows)
+    assert not exists(spark, f"{kept_path(spark, 'rows-once')}/data/table")
+    assert study.train.count() + study.test.count() == rows.count()
